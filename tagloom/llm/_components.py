@@ -41,10 +41,8 @@ def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
     components meet the bucket's next nodes, in numbers that double; small buckets all at once. No
     pair within a component is needed, and none between components is left out.
     """
-    counted = members.distinct()
-    heads = counted.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a < top").select("bucket", "a")
-    pairs = counted.join(heads, "bucket").where("node != a").select("a", "bucket", F.col("node").alias("b"))
-    shared = stash(pairs)
+    head = F.min("node").over(Window.partitionBy("bucket"))
+    shared = stash(members.withColumn("a", head).where("node != a").select("a", "bucket", F.col("node").alias("b")).distinct())
     links = stash(verify(shared.select("a", "b").distinct()))
     component = stash(connected(links))
     everyone = shared.select("bucket", F.col("b").alias("node")).unionByName(shared.select("bucket", F.col("a").alias("node")).distinct())
