@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from ._tables import table
 
 
+def held_out(id: str, parts: int, rest: int):
+    return F.crc32(F.col(id).cast("string").cast("binary")) % parts == rest
+
+
+def op1_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .likelihood import score_likelihood
+
+    return score_likelihood(table(spark, sf_dir, "documents"), ~held_out("doc_id", 7, 2))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import line_dedup_digest
 
@@ -36,10 +46,6 @@ def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_digest(table(spark, sf_dir, "documents"))
 
 
-def held_out(id: str, parts: int, rest: int):
-    return F.crc32(F.col(id).cast("string").cast("binary")) % parts == rest
-
-
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_toxicity, train
 
@@ -55,6 +61,12 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_codec import codec_digest
+
+    return codec_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import pii_digest
 

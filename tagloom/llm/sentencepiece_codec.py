@@ -153,12 +153,13 @@ def encode(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, chun
             yield pa.RecordBatch.from_arrays([*batch.columns, _text.lists(pieces, counts, pa.int32())], [*batch.schema.names, name])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("size", pa.int32()), ("bytes", pa.binary())])
         for batch in batches:
             for value in batch.column(0):
                 data = b" " + value.as_py().encode()
                 k1, k2 = (int(x) for x in _both(data))
                 for n, at in enumerate(range(0, len(data), chunk)):
-                    yield pa.RecordBatch.from_pylist([{"k1": k1, "k2": k2, "n": n, "size": min(chunk, len(data) - at), "bytes": data[at : at + chunk + longest - 1]}])
+                    yield pa.RecordBatch.from_pylist([{"k1": k1, "k2": k2, "n": n, "size": min(chunk, len(data) - at), "bytes": data[at : at + chunk + longest - 1]}], arrow)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(key, sent)
