@@ -40,6 +40,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", c["n_words"].alias("n_words"), c["n_hit"].alias("n_hit"), F.size(c["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(c["items"], ","), 256).alias("items_sha256"), c["contaminated"].alias("contaminated"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by labels whose crc32(doc_id as text) mod 5 is not 0; the others test it (``held_out``)."""
+    from .cotraining import quality_scores
+
+    scores = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0)))
+    return scores.withColumn("held_out", held_out("doc_id", 5, 0))
+
+
 def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import audio_digest
 
