@@ -123,6 +123,9 @@ class _Builder(HTMLParser):
             else:
                 self.body = self.at = Node("element", "body", self.html, self.getpos()[0])
 
+        elif self.body is not None and self.at in (self.html, self.root) and tag not in ("head", "body", "html"):
+            self.at = self.body  # content after the end of the body
+
     def _close(self, names: frozenset | set, stop: set) -> None:
         node = self.at
         while node.kind == "element" and node.name not in stop:
@@ -162,8 +165,8 @@ class _Builder(HTMLParser):
         node = self.at
         while node.kind == "element" and node.name != tag:
             node = node.parent
-        if node.kind == "element" and node.name not in ("html", "body"):
-            self.at = self.html if node.name == "head" else node.parent
+        if node.kind == "element":
+            self.at = node.parent
 
     def handle_data(self, data: str) -> None:
         if self.at in (self.root, self.html, self.head) and not data.strip():

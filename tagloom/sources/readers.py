@@ -71,6 +71,11 @@ def _checked(df: DataFrame, name: str, ignore_errors: bool) -> DataFrame:
 def read_html_objects(spark: SparkSession, paths: str | list[str], filename: bool = False, maximum_file_size: int | None = None) -> DataFrame:
     """One row per file; an empty file is an empty document."""
     df = _objects(spark, paths, "html", filename, maximum_file_size)
+    # Spark plans no task for a file of no bytes
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    names = spark.createDataFrame([(p,) for p in _binary(spark, paths).inputFiles()], "filename string")
+    empty = names.join(_binary(spark, paths).select(plain("path").alias("p")), plain(F.col("filename")) == F.col("p"), "left_anti")
+    df = df.unionByName(empty.select("filename", F.lit("").alias("html")).select(*df.columns))
     return df.withColumn("html", F.when(F.col("html") == "", "<html></html>").otherwise(F.col("html")))
 
 
