@@ -1,11 +1,10 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are words (ASCII letters, digits, all non-ASCII) and their byte prefixes, hashed into 2**20
-buckets. Spark counts each bucket's labelled documents over all labelled training rows; the
-``features`` buckets with the highest chi-square are kept. The machine (bias, weights and pairwise
-factors over present buckets) is then fitted on at most ``most_rows`` labelled rows per label, those
-of smallest hash of their id; rows so left out are made up for by weights. Scoring is one pass
-without a shuffle over all texts.
+buckets. At most ``most_rows`` labelled rows of each label are used, those of smallest hash of their
+id; the rest is made up for by weights. Among their buckets the ``features`` of highest chi-square are
+kept, and the machine (bias, weights and pairwise factors over present buckets) is fitted on them.
+Scoring is one pass without a shuffle over all texts.
 
 Null and empty texts have no terms and get the score of the bias alone. Labels that are null or name
 no document are ignored; a document with several label rows counts once for each. Without labelled
@@ -98,10 +97,16 @@ def fit(rows: np.ndarray, places: np.ndarray, y: np.ndarray, weight: np.ndarray,
     return Machine(buckets, float(b), w.astype(np.float64), v.astype(np.float64))
 
 
-def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", features: int = 1024, most_rows: int = 8000, rank: int = 8, epochs: int = 400) -> Machine:
-    """A machine fitted to ``label`` (0 or 1) of ``labels``, found in ``docs`` by ``id``."""
+def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", features: int = 1024, most_rows: int = 10_000, rank: int = 8, epochs: int = 400) -> Machine:
+    """A machine fitted to ``label`` (0 or 1) of ``labels``, found in ``docs`` by ``id``.
+
+    ``most_rows`` bounds the labelled rows of each label; with the ids so bounded, they are broadcast
+    to the documents, whose texts never move.
+    """
     labels = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
-    known = stash(docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(labels, "id"))
+    totals = {r["y"]: r["n"] for r in labels.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    some = [labels.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most_rows) for y in (0, 1)]
+    known = stash(docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(some[0].unionByName(some[1])), "id"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << BITS), np.int32)
@@ -110,16 +115,15 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
             rows, buckets = present(*_text.utf8(batch.column("text")))
             for k in (0, 1):
                 sums[k] += np.bincount(buckets[y[rows] == k], minlength=1 << BITS).astype(np.int32)
-        some = np.flatnonzero(sums.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[0, some].astype(np.int64)), pa.array(sums[1, some].astype(np.int64))], ["bucket", "n0", "n1"])
+        found = np.flatnonzero(sums.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[0, found].astype(np.int64)), pa.array(sums[1, found].astype(np.int64))], ["bucket", "n0", "n1"])
 
-    totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = totals.get(0, 0), totals.get(1, 0)
+    sampled = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n0, n1 = sampled.get(0, 0), sampled.get(1, 0)
     if not n0 + n1:
         return Machine(np.zeros(0, np.int64), -35.0, np.zeros(0), np.zeros((0, rank)))
-    n = n0 + n1
     df, off = F.col("n0") + F.col("n1"), F.col("n1") * F.lit(n0) - F.col("n0") * F.lit(n1)
-    chi = off.cast("double") * off / (df * (F.lit(n) - df) + 1.0)
+    chi = off.cast("double") * off / (df * (F.lit(n0 + n1) - df) + 1.0)
     best = known.mapInArrow(counted, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(df >= 3).orderBy(chi.desc(), "bucket").limit(features)
     buckets = np.array(sorted(r["bucket"] for r in best.collect()), np.int64)
     place = Machine(buckets, 0.0, buckets, buckets[:, None]).places()
@@ -129,22 +133,12 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
             rows, places = present(*_text.utf8(batch.column("text")), place)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), _text.lists(places, np.bincount(rows, minlength=batch.num_rows), pa.int32())], ["id", "y", "x"])
 
-    parts = []
-    for y, total in ((0, n0), (1, n1)):
-        some = known.where(F.col("y") == y)
-        if total > most_rows:  # the hash's range keeps some more than asked for; the order cuts the rest
-            key = F.xxhash64(F.col("id")).bitwiseAND((1 << 40) - 1)
-            some = some.where(key < int((1 << 40) * min(1.0, 1.2 * most_rows / total + 0.001)))
-            chosen = some.mapInArrow(selected, T.StructType([known.schema["id"], T.StructField("y", T.IntegerType()), T.StructField("x", T.ArrayType(T.IntegerType()))])).orderBy(key, "id").limit(most_rows)
-        else:
-            chosen = some.mapInArrow(selected, T.StructType([known.schema["id"], T.StructField("y", T.IntegerType()), T.StructField("x", T.ArrayType(T.IntegerType()))]))
-        got = chosen.select("x").toArrow().column("x").combine_chunks()
-        parts.append((y, got, total))
-    counts = np.concatenate([np.diff(x.offsets.to_numpy()) if len(x) else np.zeros(0, np.int32) for _, x, _ in parts])
-    y = np.concatenate([np.full(len(x), k, np.float32) for k, x, _ in parts])
-    weight = np.concatenate([np.full(len(x), total / max(1, len(x)), np.float64) for _, x, total in parts])
-    places = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for _, x, _ in parts]).astype(np.int64)
-    return fit(np.repeat(np.arange(len(counts)), counts), places, y, weight, buckets, rank, epochs)
+    schema = T.StructType([known.schema["id"], T.StructField("y", T.IntegerType()), T.StructField("x", T.ArrayType(T.IntegerType()))])
+    got = known.mapInArrow(selected, schema).orderBy(F.xxhash64("id"), "id", "y").toArrow()
+    x, y = got.column("x").combine_chunks(), got.column("y").to_numpy().astype(np.float32)
+    counts = np.diff(x.offsets.to_numpy())
+    weight = np.where(y == 1, totals.get(1, 0) / max(1, n1), totals.get(0, 0) / max(1, n0))
+    return fit(np.repeat(np.arange(len(counts)), counts), x.flatten().to_numpy(zero_copy_only=False).astype(np.int64), y, weight, buckets, rank, epochs)
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
