@@ -127,6 +127,15 @@ def windows(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray
     return first, mix(total)
 
 
+def sort_within(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """``values`` sorted within each run of equal ``rows``."""
+    values = values.copy()
+    edges = np.append(np.flatnonzero(np.diff(rows, prepend=-1)), len(rows)).tolist()
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        values[a:b].sort()
+    return values
+
+
 def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of the given ranges one after another, and the offsets of the ranges in them."""
     sizes = ends - starts

@@ -33,27 +33,29 @@ _I64 = np.int64
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, row and number within the row (empty lines count) of each line with ink, stripped."""
     starts, ends, rows = _text.spans(data, offsets, _NEWLINE)
-    inked = np.concatenate([[0], np.cumsum(_INK[data])])
-    some = inked[ends] > inked[starts]
-    starts, ends, rows = starts[some], ends[some], rows[some]
     breaks = np.concatenate([[0], np.cumsum(data == 10)])
     number = breaks[starts] - breaks[offsets[rows]]
-    ink = np.flatnonzero(_INK[data])
-    return ink[np.searchsorted(ink, starts)], ink[np.searchsorted(ink, ends) - 1] + 1, rows, number
-
-
-def char_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of each shingle of SHINGLE characters, in order of row; shorter rows have one, empty ones none."""
-    chars = np.flatnonzero((data & 0xC0) != 0x80)
-    bounds = np.append(chars, len(data))
-    of = np.searchsorted(offsets, chars, "right") - 1
-    per = np.bincount(of, minlength=len(offsets) - 1)
-    last = np.cumsum(per)[of]
-    index = np.arange(len(chars))
-    first = np.cumsum(per)[of] - per[of]
-    keep = np.flatnonzero((index + SHINGLE <= last) | (index == first))
-    to = np.minimum(keep + SHINGLE, last[keep])
-    return of[keep], _text.Hasher(data)(chars[keep], bounds[to])
+    if len(starts) and (~_INK[data[starts]] | ~_INK[data[ends - 1]]).any():
+        ink = np.flatnonzero(_INK[data])
+        at, to = np.searchsorted(ink, starts), np.searchsorted(ink, ends)
+        some = to > at
+        rows, number = rows[some], number[some]
+        starts, ends = ink[at[some]], ink[to[some] - 1] + 1
+    return starts, ends, rows, number
+
+
+def char_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher: _text.Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the line and hash of each of its SHINGLE-character shingles, in order of line; shorter lines have one, empty ones none."""
+    begins = (data & 0xC0) != 0x80
+    chars = np.append(np.flatnonzero(begins), len(data))
+    before = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(begins, out=before[1:])
+    first = before[starts]
+    per = before[ends] - first
+    count = np.maximum(per - SHINGLE + 1, np.minimum(per, 1))
+    of = np.repeat(np.arange(len(starts)), count)
+    at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(of))
+    return of, hasher(chars[at], chars[at + np.repeat(np.minimum(per, SHINGLE), count)])
 
 
 def minhashes(of: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -61,12 +63,10 @@ def minhashes(of: np.ndarray, found: np.ndarray) -> np.ndarray:
     begin = np.flatnonzero(np.diff(of, prepend=-1))
     x = (found >> np.uint64(32)).astype(np.uint32)
     random = np.random.default_rng(11)
-    out = np.empty((BANDS * ROWS, len(begin)), np.uint32)
-    for k, (a, b) in enumerate(random.integers(0, 1 << 32, (BANDS * ROWS, 2), dtype=np.uint32)):
-        v = x * (a | np.uint32(1)) + b
-        v ^= v >> np.uint32(15)
-        v *= np.uint32(0x2C1B3C6D)
-        out[k] = np.minimum.reduceat(v, begin)
+    out, v = np.empty((BANDS * ROWS, len(begin)), np.uint32), np.empty_like(x)
+    for k, a in enumerate(random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)):
+        np.multiply(x, a | np.uint32(1), out=v)  # a permutation of the 32-bit hashes
+        np.minimum.reduceat(v, begin, out=out[k])
     return out
 
 
@@ -85,21 +85,22 @@ def line_table(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(id, text).mapInArrow(listed, schema)
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Bytes, starts, ends and hashes of the distinct lines of each slice."""
-    for batch in _text.slices(batches, "text"):
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Bytes, starts, ends and hashes of the distinct lines of each slice, and its hasher."""
+    for batch in _text.slices(batches, "text", _text.SLICE_BYTES // 4):
         data, offsets = _text.utf8(batch.column(0))
         starts, ends, _, _ = line_spans(data, offsets)
-        nodes, at = np.unique(_text.Hasher(data)(starts, ends), return_index=True)
-        yield data, starts[at], ends[at], nodes
+        hasher = _text.Hasher(data)
+        nodes, at = np.unique(hasher(starts, ends), return_index=True)
+        yield data, starts[at], ends[at], nodes, hasher
 
 
 def _members(docs: DataFrame) -> DataFrame:
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, starts, ends, nodes in _once(batches):
+        for data, starts, ends, nodes, hasher in _once(batches):
             if not len(nodes):
                 continue
-            of, found = char_shingles(*_text.gather(data, starts, ends))
+            of, found = char_shingles(data, starts, ends, hasher)
             minima = minhashes(of, found).astype(np.uint64)
             for band in range(BANDS):
                 key = np.full(len(nodes), band + 1, np.uint64)
@@ -114,7 +115,7 @@ def _verifier(docs: DataFrame):
     """Keeps the pairs of lines whose shingle sets are similar enough; fetches only the texts of candidates."""
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, starts, ends, nodes in _once(batches):
+        for data, starts, ends, nodes, _ in _once(batches):
             yield pa.RecordBatch.from_arrays([pa.array(nodes.view(_I64)), _text.strings(data, starts, ends)], ["node", "line"])
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,9 +123,9 @@ def _verifier(docs: DataFrame):
             n = batch.num_rows
             sets = []
             for name in ("ta", "tb"):
-                of, found = char_shingles(*_text.utf8(batch.column(name)))
-                order = np.lexsort((found, of))
-                of, found = of[order], found[order]
+                data, offsets = _text.utf8(batch.column(name))
+                of, found = char_shingles(data, offsets[:-1], offsets[1:], _text.Hasher(data))
+                found = _text.sort_within(of, found)
                 new = np.ones(len(of), bool)
                 new[1:] = (of[1:] != of[:-1]) | (found[1:] != found[:-1])
                 sets.append((of[new], found[new]))
