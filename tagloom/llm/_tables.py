@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,10 +24,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: computed once, and nothing is lost with an executor."""
+    """``df`` written as a table in the shared folder and read again: computed once, and nothing is lost with an executor.
+
+    The shuffle files of the computation go when it ends, so that a long job's disk holds one step's shuffles.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
