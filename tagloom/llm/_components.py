@@ -10,25 +10,33 @@ from pyspark.sql import functions as F
 from ._tables import stash
 
 
+#: Orders under which buckets choose their heads.
+HEADS = 8
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node of ``edges`` (a over b) has one edge up at most, to a node without any: then all is settled."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def connected(links: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) for every node of ``links`` (columns a, b).
 
-    Large-star and small-star steps alternate until the links no longer change, in some log of the
+    Large-star and small-star steps alternate until only stars are left, in some log of the
     diameter rounds. Each step is an aggregation and a join; no neighbourhood is gathered.
     """
-    edges = stash(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+    edges = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     while True:
+        edges = stash(edges)
+        if _stars(edges):
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = stash(small.distinct())
-        row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(row) == mark:
-            break
-        mark = tuple(row)
+        edges = small.distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
@@ -36,15 +44,16 @@ def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
     """Components of the graph whose links are those pairs sharing a bucket that ``verify`` keeps.
 
     ``members`` has columns bucket and node; ``verify`` takes pairs (a, b) and returns the linked ones.
-    First every node meets its bucket's smallest node. Buckets that are then in one component are
-    done, so groups of near copies cost one pair a member. In the others, nodes of different
-    components meet the bucket's next nodes, in numbers that double; small buckets all at once. No
+    First every node meets its bucket's head, the least under one of ``HEADS`` orders that the bucket's
+    number picks: in a group of near copies, which share many buckets, each meets several heads, and
+    nearly all end in one component by some pairs a member. Buckets in one component are done. In the others, nodes of different
+    components meet the bucket's next nodes, eight times as many each time; small buckets all at once. No
     pair within a component is needed, and none between components is left out.
     """
-    head = F.min("node").over(Window.partitionBy("bucket"))
+    head = F.min(F.struct(F.xxhash64("node", F.pmod("bucket", F.lit(HEADS))), "node")).over(Window.partitionBy("bucket"))["node"]
     shared = stash(members.withColumn("a", head).where("node != a").select("a", "bucket", F.col("node").alias("b")).distinct())
-    links = stash(verify(shared.select("a", "b").distinct()))
-    component = stash(connected(links))
+    links = stash(verify(shared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    component = connected(links)
     everyone = shared.select("bucket", F.col("b").alias("node")).unionByName(shared.select("bucket", F.col("a").alias("node")).distinct())
 
     def unsettled(rows: DataFrame) -> DataFrame:
@@ -53,21 +62,21 @@ def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
         split = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
         return now.join(split, "bucket", "left_semi")
 
-    ranked = unsettled(everyone).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node")))
+    ranked = unsettled(everyone).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")))
     size = ranked.groupBy("bucket").agg(F.max("rank").alias("size"))
     still = stash(ranked.join(size, "bucket"))
     done = 1
     while not still.isEmpty():
-        to = max(2 * done, small if done == 1 else 0)
+        to = 8 * done if done > 1 else small
         now = (F.col("size") <= small) | F.col("rank").between(done + 1, to)
         centers = still.where(now & (F.col("rank") > 1)).select("bucket", F.col("node").alias("a"), F.col("component").alias("of"), F.col("rank").alias("at"))
         # a center meets the nodes after it, and in small rounds every pair comes up once
-        meet = still.join(centers, "bucket").where("rank > at and component != of").select("a", F.col("node").alias("b")).distinct()
+        meet = still.join(centers, "bucket").where("rank > at and component != of").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         more = stash(verify(meet))
-        if not more.isEmpty():
-            joined = component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))
-            component = stash(connected(joined))
-        done = to
-        rest = still.where(F.col("size") > done).select("bucket", "node", "rank", "size")
-        still = stash(unsettled(rest))
+        done, rest = to, still.where(F.col("size") > to)
+        if more.isEmpty():
+            still = rest
+        else:
+            component = connected(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")))
+            still = stash(unsettled(rest.select("bucket", "node", "rank", "size")))
     return component
