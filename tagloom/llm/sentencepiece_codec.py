@@ -32,7 +32,7 @@ from ._tables import own_columns, stash
 
 CHUNK = 1 << 15
 #: Bytes of text whose distinct units are encoded together.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 _kept: dict = {}
 
 
