@@ -54,7 +54,7 @@ def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
     shared = stash(members.withColumn("a", head).where("node != a").select("a", "bucket", F.col("node").alias("b")).distinct())
     links = stash(verify(shared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
     component = connected(links)
-    everyone = shared.select("bucket", F.col("b").alias("node")).unionByName(shared.select("bucket", F.col("a").alias("node")).distinct())
+    everyone = shared.select("bucket", F.col("b").alias("node"), F.lit(1).alias("place")).unionByName(shared.select("bucket", F.col("a").alias("node"), F.lit(0).alias("place")).distinct())
 
     def unsettled(rows: DataFrame) -> DataFrame:
         """Rows with their present component, of buckets that have more than one."""
@@ -62,7 +62,8 @@ def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
         split = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
         return now.join(split, "bucket", "left_semi")
 
-    ranked = unsettled(everyone).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")))
+    # rank 1 is the bucket's own head, which has met all the others
+    ranked = unsettled(everyone).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("place", F.xxhash64("node"), "node"))).drop("place")
     size = ranked.groupBy("bucket").agg(F.max("rank").alias("size"))
     still = stash(ranked.join(size, "bucket"))
     done = 1

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.llm import _text, cotraining, decontaminate, jaccard, likelihood, lines, media, pii, sentencepiece_codec, substrings, toxicity
-from tagloom.llm._components import connected
+from tagloom.llm._components import HEADS, bucket_components, connected
 from tagloom.llm._pieces import Vocabulary, best
 
 from . import brute
@@ -65,6 +65,20 @@ def test_connected(spark):
     assert found == brute.components({x for p in links for x in p}, links)
 
 
+@pytest.mark.parametrize("size", [3, 40])
+def test_buckets_with_an_unlinked_head(spark, size):
+    """The node of least hash is linked to another of its bucket, whose head is linked to none."""
+    bucket = F.lit(3).cast("long")
+    hashes = spark.range(1000).select("id", F.xxhash64("id").alias("h"), F.xxhash64("id", F.pmod(bucket, F.lit(HEADS))).alias("head")).collect()
+    least, head = min(hashes, key=lambda r: r["h"])["id"], min(hashes, key=lambda r: r["head"])["id"]
+    assert least != head
+    nodes = [least, head, *(k for k in range(size) if k not in (least, head))][:size]
+    links = spark.createDataFrame([(min(least, nodes[-1]), max(least, nodes[-1]))], "a long, b long")
+    members = spark.createDataFrame([(3, k) for k in nodes], "bucket long, node long")
+    found = {r["node"]: r["component"] for r in bucket_components(members, lambda pairs: pairs.join(links, ["a", "b"], "left_semi")).collect()}
+    assert found == {k: min(least, nodes[-1]) for k in (least, nodes[-1])}
+
+
 def test_jaccard(docs):
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()}
     assert found == brute.jaccard(texts(docs))
