@@ -118,7 +118,7 @@ def packed_shingles(texts: DataFrame, ranges: int, prefix: bool) -> DataFrame:
             n = np.bincount(of, minlength=batch.num_rows)
             h1 = _sums(of, _text.mix(found + np.uint64(1)), batch.num_rows)
             begin = np.concatenate([[0], np.cumsum(n)])
-            length = np.where(n > 3, n - needed(n) + np.maximum(1, n // 20) if prefix else n, 0)
+            length = np.where(n > 2, n - needed(n) + np.maximum(1, n // 20) if prefix else n, 0)
             some = np.arange(len(of)) - begin[of] < length[of]
             parts.append((found[some], h1[of[some]]))
             held += int(some.sum())
@@ -196,7 +196,7 @@ def signatures(of: np.ndarray, found: np.ndarray, rows: int) -> tuple[np.ndarray
     out_rows, out_keys = [], []
     for ahead in (0, 1):
         b = band + ahead
-        b[n < 4] = 0  # sets that only link with equal ones
+        b[n < 3] = 0  # sets that only link with equal ones; a set of 3 links with sets of 4, as the smaller partner
         parts = 2 * (tops[np.minimum(b, len(tops) - 1)] - 1) // 7 + 1
         some = b[of] > 0
         o, h = of[some], found[some]
@@ -300,7 +300,7 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
     source = docs.select(F.col(text).alias("text"))
     seen = shared_counts(packed_shingles(source, max(1, total * 3 // 10 // RANGE), True))
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * SHARE / 100) / 20))
-    alive = stash(classes.where("n > 3").join(seen, "h1").where(F.col("k") >= least).select(F.col("rep").alias(id), "n", "h1"))
+    alive = stash(classes.where("n > 2").join(seen, "h1").where(F.col("k") >= least).select(F.col("rep").alias(id), "n", "h1"))
     # an id with several texts keeps them all: each is a row of its class' representative
     some = stash(docs.where(F.col(text).isNotNull()).select(id, text).join(alive.select(id).distinct(), id, "left_semi").select(F.col(id).alias("node"), F.col(text).alias("text")))
     total = alive.agg(F.sum("n")).first()[0] or 0

@@ -98,6 +98,24 @@ def test_jaccard_group_of_near_copies(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df).collect()} == brute.jaccard(dict(rows))
 
 
+def test_jaccard_of_three_in_four(spark):
+    """Documents of 7 words that are one of 8 words less its first or last: 3 shingles of 4."""
+    words = [f"s{k}" for k in range(8)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:7])), (3, " ".join(words[1:])), (4, " ".join(words[:6])), (5, "a b c d e f g"), (6, "b c d e f g"), (7, "c d e f g"), (8, "z a b c d e f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df).collect()}
+    assert found == brute.jaccard(dict(rows)) and found[2] == found[3] == (3, 1)
+
+
+def test_signatures_of_three_in_four():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        y = np.unique(rng.integers(1, 1 << 62, 4).astype(np.uint64))
+        x = np.delete(y, rng.integers(0, 4))
+        rows, keys = jaccard.signatures(np.array([0] * 3 + [1] * 4), np.concatenate([x, y]), 2)
+        assert set(keys[rows == 0].tolist()) & set(keys[rows == 1].tolist())
+
+
 def test_signatures_miss_no_link():
     """Any two sets within the threshold share a signature."""
     rng = np.random.default_rng(5)
