@@ -12,7 +12,6 @@ Null and empty texts are one block of spaces. Bytes that are no such WAV file ra
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -21,6 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._tables import own_columns
@@ -28,8 +28,12 @@ from ._tables import own_columns
 RATE = 8000
 UP, DOWN = 1, 2
 FRAME, HOP, MELS, BLOCK = 200, 80, 40, 16
+#: Milliseconds from frame to frame.
+MS = HOP * 1000 * DOWN / (RATE * UP)
 FLOOR = np.float32(-11.5)
 PAD = 192
+#: Bytes before the samples in the files that ``wav`` makes.
+HEADER = 44
 
 
 def payload_of(data: bytes) -> bytes:
@@ -100,9 +104,8 @@ _AT_ONCE = 4096
 
 
 def log_mel(x: np.ndarray, rate: float) -> np.ndarray:
-    """Log energies of overlapped frames, one row of MELS each; short sounds are padded to one frame."""
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
+    """Log energies of overlapped frames, one row of MELS each; silence fills the last frame."""
+    x = np.pad(x, (0, max(0, FRAME - len(x)) or -(len(x) - FRAME) % HOP))
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     bank, out = mel_bank(rate, 129), np.empty((len(frames), MELS), np.float32)
     for at in range(0, len(frames), _AT_ONCE):
@@ -136,11 +139,10 @@ def blocks(mel: np.ndarray) -> np.ndarray:
     return full.reshape(-1, BLOCK, MELS)
 
 
-def digest(media: bytes) -> str:
-    """Features as text: frames, segments and their time, mean and checksum of the rounded energies."""
-    mel, spans = features(media)
+def digest(mel: np.ndarray, active: int) -> str:
+    """Features as text: frames, segments and their time (``active`` frames), mean and checksum of the rounded energies."""
     rounded = np.rint(mel * 100).astype("<i4")
-    return f"frames={len(mel)};segments={len(spans)};active_ms={int((spans[:, 1] - spans[:, 0]).sum())};mean={int(rounded.sum()) // rounded.size};crc={zlib.crc32(rounded.tobytes()):08x}"
+    return f"frames={len(mel)};segments={len(segments(mel.mean(1)))};active_ms={round(active * MS)};mean={int(rounded.sum()) // rounded.size};crc={zlib.crc32(rounded.tobytes()):08x}"
 
 
 def store_audio(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -168,13 +170,12 @@ def mel_blocks(media: DataFrame, id: str = "doc_id", column: str = "media") -> D
         for batch in batches:
             for key, value in zip(batch.column(0), batch.column(1), strict=True):
                 mel, spans = features(value.as_py() or wav(payload_of(b"")))
-                ms = HOP * 1000 * DOWN / (RATE * UP)
-                on = np.zeros(len(mel) + 1, np.int64)
-                for a, b in np.rint(spans / ms).astype(int):
+                on = np.zeros(len(mel), np.int64)
+                for a, b in np.rint(spans / MS).astype(int):
                     on[a:b] = 1
                 parts = blocks(mel)
-                start = np.rint(np.arange(len(parts)) * BLOCK * ms).astype(np.int64)
-                end = np.rint(np.minimum((np.arange(len(parts)) + 1) * BLOCK, len(mel)) * ms).astype(np.int64)
+                start = np.rint(np.arange(len(parts)) * BLOCK * MS).astype(np.int64)
+                end = np.rint(np.minimum((np.arange(len(parts)) + 1) * BLOCK, len(mel)) * MS).astype(np.int64)
                 active = np.add.reduceat(on, np.arange(0, len(mel), BLOCK)) if len(mel) else on[:0]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([key.as_py()] * len(parts), batch.schema.field(0).type), pa.array(range(len(parts)), pa.int32()), pa.array(start), pa.array(end), _flat(parts), pa.array(active.astype(np.int32))],
@@ -194,17 +195,37 @@ def tensor_type() -> pa.DataType:
 
 
 def audio_digest(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: what was stored, read back and heard. Media files stay inside their task."""
+    """One row per document: what was stored, and what is heard in its blocks. Media files and blocks are not shuffled."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[id].dataType), *T.StructType.fromDDL("n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").fields])
+    stored = store_audio(docs.select(id, text), text)
+    media = F.col(stored.columns[-1])
+    payload = F.substring(media, HEADER + 1, (1 << 31) - 1)
+    told = F.struct(
+        F.col(id).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, -16, 16)).alias("tail_crc32"), F.octet_length(media).cast("long").alias("media_bytes"), F.sha2(media, 256).alias("media_sha256"),
+    )
 
     def heard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks come in order, a document after the other; block 0 begins the next one."""
+        parts, active, end, row = [], 0, 0, None
+
+        def said() -> pa.RecordBatch:
+            frames = np.concatenate(parts).reshape(-1, MELS)[: round(end / MS)]
+            return pa.RecordBatch.from_arrays([*row.flatten(), pa.array([digest(frames, active)])], schema.fieldNames())
+
         for batch in batches:
-            out = []
-            for value in batch.column(1):
-                data = (value.as_py() or "").encode()
-                media = wav(payload_of(data))
-                back = samples_of(media)
-                out.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), digest(media)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in zip(*out, strict=True))], schema.fieldNames()) if out else pa.RecordBatch.from_pylist([], pa.schema([(f, t) for f, t in [("doc_id", batch.schema.field(0).type), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]]))
-
-    return docs.select(id, text).mapInArrow(heard, schema)
+            told, number, stop, mel, on = batch.columns
+            number, stop, on = (x.to_numpy() for x in (number, stop, on))
+            flat = mel.flatten().to_numpy().reshape(-1, BLOCK * MELS)
+            cuts = np.flatnonzero((number == 0) | (np.arange(len(number)) == 0))
+            for a, b in zip(cuts, [*cuts[1:], len(number)], strict=False):
+                if number[a] == 0:
+                    if parts:
+                        yield said()
+                    parts, active, row = [], 0, told.slice(int(a), 1)
+                parts.append(flat[a:b].copy())
+                active, end = active + int(on[a:b].sum()), int(stop[b - 1])
+        if parts:
+            yield said()
+
+    return mel_blocks(stored.select(told.alias("told"), media.alias("media")), "told", "media").select("id", "block", "end_ms", "mel", "active").mapInArrow(heard, schema)

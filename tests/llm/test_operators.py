@@ -348,6 +348,25 @@ def test_audio_parts(odd):
         media.samples_of(b"nope")
 
 
+@pytest.mark.parametrize("k", range(1, 12))
+def test_audio_hears_the_end(k):
+    """The last word counts at every length, as every sample is in a frame."""
+    heard = [media.features(media.wav(("some words " * 300)[: 192 * k - 5].encode() + last))[0] for last in (b" tail", b" town")]
+    assert len(heard[0]) == 1 + max(0, -(-(96 * k - media.FRAME) // media.HOP)) and not np.array_equal(np.rint(heard[0] * 100), np.rint(heard[1] * 100))
+
+
+def test_audio_digest_is_of_the_blocks(spark):
+    rows = [(1, "some words " * 90 + "tail"), (2, "some words " * 90 + "town"), (3, None), (4, "x" * 70000), (1, "again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = media.audio_digest(df).collect()
+    assert [r["doc_id"] for r in found] == [1, 2, 3, 4, 1] and found[0]["feature"] != found[1]["feature"]
+    blocks = media.mel_blocks(media.store_audio(df.where("doc_id = 4"))).orderBy("block").collect()
+    says = dict(x.split("=") for x in found[3]["feature"].split(";"))
+    assert int(says["frames"]) * media.MS == blocks[-1]["end_ms"] and int(says["active_ms"]) == sum(r["active"] for r in blocks) * media.MS
+    mel = np.array([r["mel"] for r in blocks], np.float32).reshape(-1, media.MELS)[: int(says["frames"])]
+    assert says["crc"] == f"{zlib.crc32(np.rint(mel * 100).astype('<i4').tobytes()):08x}"
+
+
 def test_machine_learns_interactions():
     """Toxic only where both terms meet, which no sum of weights can say."""
     rng = np.random.default_rng(0)
