@@ -196,6 +196,34 @@ def parse_html(text: str | None) -> Node | None:
     return _numbered(builder.root)
 
 
+_BAD = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
+_NAME = "A-Za-z_:\xc0-\xd6\xd8-\xf6\xf8-\u02ff\u0370-\u037d\u037f-\u1fff\u200c\u200d\u2070-\u218f\u2c00-\u2fef\u3001-\ud7ff"
+_NO_NAME = re.compile(f"[^{_NAME}0-9.\xb7\u0300-\u036f\u203f\u2040-]")
+
+
+def _chars(text: str) -> str:
+    """``text`` with a replacement mark for each character that XML does not have."""
+    return _BAD.sub("\ufffd", text)
+
+
+def _name(name: str) -> str:
+    """``name`` with _ for what no XML name has."""
+    name = _NO_NAME.sub("_", name)
+    return name if re.match(f"[{_NAME}]", name) else f"_{name}"
+
+
+def _attributes(attrs: dict) -> str:
+    out: dict[str, str] = {}
+    for plain in (True, False):  # a name that had to be changed gives way to one that is so written
+        for k, v in attrs.items():
+            name = _name(k)
+            if (name == k) == plain:
+                while name in out:
+                    name += "_"
+                out[name] = v
+    return "".join(f' {k}="{escape(_chars(v), True)}"' for k, v in out.items())
+
+
 def escape(text: str, quote: bool = False) -> str:
     text = text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace("\r", "&#13;")
     return text.replace('"', "&quot;").replace("\n", "&#10;").replace("\t", "&#9;") if quote else text
@@ -203,22 +231,23 @@ def escape(text: str, quote: bool = False) -> str:
 
 def serialize(node: Node, indent: str | None = None, depth: int = 0) -> str:
     """XML of a node, without a declaration; ``indent`` starts a line for each child where there is no text."""
+    if node.kind == "cdata" or node.kind == "text" and node.parent is not None and node.parent.name in ("script", "style") and "<" in node.text:
+        return "<![CDATA[" + _chars(node.text).replace("]]>", "]]]]><![CDATA[>") + "]]>"
     if node.kind == "text":
-        return escape(node.text) if node.parent is None or node.parent.name not in ("script", "style") or "<" not in node.text else f"<![CDATA[{node.text}]]>"
-    if node.kind == "cdata":
-        return f"<![CDATA[{node.text}]]>"
+        return escape(_chars(node.text))
     if node.kind == "comment":
-        return f"<!--{node.text}-->"
+        return "<!--" + re.sub("-(?=-|$)", "- ", _chars(node.text)) + "-->"
     if node.kind == "pi":
         return f"<?{node.name} {node.text}?>" if node.text else f"<?{node.name}?>"
     if node.kind == "attribute":
-        return f'{node.name}="{escape(node.text, True)}"'
+        return f'{_name(node.name)}="{escape(_chars(node.text), True)}"'
     if node.kind == "root":
         return "".join(serialize(c, indent, depth) for c in node.children)
-    head = f"<{node.name}" + "".join(f' {k}="{escape(v, True)}"' for k, v in node.attrs.items())
+    name = _name(node.name)
+    head = f"<{name}" + _attributes(node.attrs)
     if not node.children:
         return head + "/>"
     if indent is not None and not any(c.kind in ("text", "cdata") and c.text.strip() for c in node.children):
         pad = "\n" + indent * (depth + 1)
-        return head + ">" + "".join(pad + serialize(c, indent, depth + 1) for c in node.children if c.kind != "text") + "\n" + indent * depth + f"</{node.name}>"
-    return head + ">" + "".join(serialize(c) for c in node.children) + f"</{node.name}>"
+        return head + ">" + "".join(pad + serialize(c, indent, depth + 1) for c in node.children if c.kind != "text") + "\n" + indent * depth + f"</{name}>"
+    return head + ">" + "".join(serialize(c) for c in node.children) + f"</{name}>"

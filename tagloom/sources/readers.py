@@ -276,13 +276,25 @@ def _stashed(df: DataFrame) -> str:
     return path
 
 
-def html_records(column: Column, record_element: str) -> Column:
-    """The records of an HTML document as well-formed XML on one line each."""
+def html_records(column: Column, record_element: str, ignore_errors: bool = False) -> Column:
+    """The records of an HTML document as well-formed XML on one line each.
+
+    Records that are no XML even so (deeper than 256 levels) are an error, or left out with ``ignore_errors``.
+    """
     path = record_element if record_element.startswith("/") else f"//{record_element}" if record_element else "/html/*"
 
     def cut(text: str | None) -> list[str]:
-        found = [serialize(n).replace("\r", "").replace("\n", "&#10;") for n in select(_rows._html(text), path)]
-        return [x for x in found if _rows.valid(x)]
+        out = []
+        for n in select(_rows._html(text), path):
+            try:
+                x = serialize(n).replace("\r", "").replace("\n", "&#10;")
+            except RecursionError:
+                x = ""
+            if _rows.valid(x):
+                out.append(x)
+            elif not ignore_errors:
+                raise ValueError("an HTML record cannot be written as XML")
+        return out
 
     forms, kind = M._arrow(cut, "array<string>")
     forms[1].__annotations__ = {"a": pa.Array, "return": pa.Array}
@@ -297,7 +309,7 @@ def read_html(spark: SparkSession, paths: str | list[str], **options) -> DataFra
 
 def _html_rows(pages: DataFrame, o: Options) -> DataFrame:
     spark = pages.sparkSession
-    records = pages.select(F.explode(html_records(F.col("html"), o.record_element)).alias("value"))
+    records = pages.select(F.explode(html_records(F.col("html"), o.record_element, o.ignore_errors)).alias("value"))
 
     def rooted(batches):
         """The records of a partition between one root's tags, since a file is one document."""

@@ -68,3 +68,15 @@ def test_record_tags():
     assert R.record_tags("<r><!-- <x> --><a/><b>t</b><a/></r>") == ["a", "b"]
     assert R.record_tags("<r><q><a/></q></r>", "q") == ["a"]
     assert R.record_tags("<r><a/></r>", max_depth=0) == ["r"]
+
+
+def test_html_records_survive(spark):
+    """Names, characters, comments and scripts that XML does not have."""
+    items = ['<li @click="x" _click="z" id="1"><b>a</b>', '<li id="2"><b>b\x01c</b>', '<li id="3"><!-- x -- y ---><b>d</b>', '<li id="4"><script>a<b]]>c</script><b>e</b>', '<li id="5" 1a="q"><b>f</b>']
+    rows = R.parse_html(spark, f"<ul>{''.join(items)}</ul>", record_element="li")
+    assert sorted((r["id"], r["b"]) for r in rows.select("id", "b").collect()) == [("1", "a"), ("2", "b\ufffdc"), ("3", "d"), ("4", "e"), ("5", "f")]
+    assert R.parse_html(spark, '<body><p @click="x">t</p>').columns == ["p"]
+    deep = "<ul><li>x<li>" + "<i>" * 300 + "</ul>"
+    with pytest.raises(Exception, match="cannot be written"):
+        R.parse_html(spark, deep, record_element="li")
+    assert R.parse_html(spark, deep, record_element="li", ignore_errors=True).count() == 1
