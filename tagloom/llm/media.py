@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import _text
 from ._tables import own_columns
 
 RATE = 8000
@@ -32,6 +33,8 @@ FRAME, HOP, MELS, BLOCK = 200, 80, 40, 16
 MS = HOP * 1000 * DOWN / (RATE * UP)
 FLOOR = np.float32(-11.5)
 PAD = 192
+#: Bytes of texts or blocks that a task hands on together.
+AT_ONCE = 1 << 20
 #: Bytes before the samples in the files that ``wav`` makes.
 HEADER = 44
 
@@ -150,11 +153,9 @@ def store_audio(docs: DataFrame, text: str = "text") -> DataFrame:
     name = own_columns(docs, "media")["media"]
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                part = batch.slice(row, 1)
-                value = part.column(text)[0].as_py() or ""
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([wav(payload_of(value.encode()))], pa.binary())], [*batch.schema.names, name])
+        for batch in _text.slices(batches, text, AT_ONCE):
+            media = [wav(payload_of((value.as_py() or "").encode())) for value in batch.column(text)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(media, pa.binary())], [*batch.schema.names, name])
 
     return docs.mapInArrow(stored, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
 
@@ -168,7 +169,15 @@ def mel_blocks(media: DataFrame, id: str = "doc_id", column: str = "media") -> D
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, value in zip(batch.column(0), batch.column(1), strict=True):
+            done, held, out = 0, 0, []
+
+            def told(upto: int, batch=batch) -> pa.RecordBatch:
+                """The blocks of rows ``done`` to ``upto``."""
+                keys = batch.column(0).slice(done, upto - done).take(pa.array(np.repeat(np.arange(upto - done), [len(x[0]) for x in out])))
+                number, start, end, mel, active = (np.concatenate(c) for c in zip(*out, strict=True))
+                return pa.RecordBatch.from_arrays([keys, pa.array(number.astype(np.int32)), pa.array(start), pa.array(end), _flat(mel), pa.array(active.astype(np.int32))], ["id", "block", "start_ms", "end_ms", "mel", "active"])
+
+            for row, value in enumerate(batch.column(1)):
                 mel, spans = features(value.as_py() or wav(payload_of(b"")))
                 on = np.zeros(len(mel), np.int64)
                 for a, b in np.rint(spans / MS).astype(int):
@@ -177,10 +186,13 @@ def mel_blocks(media: DataFrame, id: str = "doc_id", column: str = "media") -> D
                 start = np.rint(np.arange(len(parts)) * BLOCK * MS).astype(np.int64)
                 end = np.rint(np.minimum((np.arange(len(parts)) + 1) * BLOCK, len(mel)) * MS).astype(np.int64)
                 active = np.add.reduceat(on, np.arange(0, len(mel), BLOCK)) if len(mel) else on[:0]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key.as_py()] * len(parts), batch.schema.field(0).type), pa.array(range(len(parts)), pa.int32()), pa.array(start), pa.array(end), _flat(parts), pa.array(active.astype(np.int32))],
-                    ["id", "block", "start_ms", "end_ms", "mel", "active"],
-                )
+                out.append((np.arange(len(parts)), start, end, parts, active))
+                held += len(parts)
+                if held * BLOCK * MELS * 4 >= AT_ONCE:
+                    yield told(row + 1)
+                    done, held, out = row + 1, 0, []
+            if out:
+                yield told(batch.num_rows)
 
     return media.select(id, column).mapInArrow(cut, schema)
 
@@ -217,14 +229,17 @@ def audio_digest(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
             told, number, stop, mel, on = batch.columns
             number, stop, on = (x.to_numpy() for x in (number, stop, on))
             flat = mel.flatten().to_numpy().reshape(-1, BLOCK * MELS)
+            out = []
             cuts = np.flatnonzero((number == 0) | (np.arange(len(number)) == 0))
             for a, b in zip(cuts, [*cuts[1:], len(number)], strict=False):
                 if number[a] == 0:
                     if parts:
-                        yield said()
+                        out.append(said())
                     parts, active, row = [], 0, told.slice(int(a), 1)
                 parts.append(flat[a:b].copy())
                 active, end = active + int(on[a:b].sum()), int(stop[b - 1])
+            if out:
+                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
         if parts:
             yield said()
 
