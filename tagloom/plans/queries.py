@@ -263,6 +263,14 @@ def read_xml(spark, sf_dir):
     return readers.read_xml(spark, customer_files(spark, sf_dir), record_element="customer")
 
 
+@query("SELECT (SELECT count(*) FROM customer) AS customers, (SELECT count(*) FROM nation) AS nations")
+def read_xml_two_tags(spark, sf_dir):
+    """Records of all tags below the root, the second of which is only in other files."""
+    path = _folder(spark)
+    readers.write_xml(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("_id"), F.col("n_name").alias("title")), path, "customers", "nation")
+    return readers.read_xml(spark, [customer_files(spark, sf_dir), path]).agg(F.count("key").alias("customers"), F.count("id").alias("nations"))
+
+
 @query("SELECT c_custkey AS key, c_name AS name FROM customer")
 def read_xml_columns(spark, sf_dir):
     return readers.read_xml(spark, customer_files(spark, sf_dir), record_element="customer", columns="key bigint, name string")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -132,6 +133,64 @@ def record_tags(head: str, root_element: str = "", max_depth: int = 10) -> list[
     return out or [seen[0][1]]
 
 
+def all_tags(spark: SparkSession, paths: list[str], head: str, o: Options) -> list[str]:
+    """Tags of the records in all files: children of the roots, or of ``root_element`` where that is found; the roots at depth 0.
+
+    Each file is one stream of pieces that end in ">", parsed in order; nothing but names is kept.
+    """
+    m = F.col("_metadata")
+    pieces = spark.read.option("lineSep", ">").text(paths).select(m["file_path"].alias("path"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+
+    def told(batches):
+        path, parser, found, depth, inside = None, None, set(), 0, []
+
+        def start(name, _):
+            nonlocal depth
+            if depth < 2:
+                found.add(("child" if depth else "root", name))
+            if inside and inside[-1] == depth:
+                found.add(("inside", name))
+            depth += 1
+            if o.root_element and name == o.root_element:
+                inside.append(depth)
+
+        def end(_):
+            nonlocal depth
+            if inside and inside[-1] == depth:
+                inside.pop()
+            depth -= 1
+
+        def feed(text, last=False):
+            nonlocal parser
+            try:
+                if parser is not None:
+                    parser.Parse(text, last)
+            except expat.ExpatError as e:
+                if not o.ignore_errors:
+                    raise ValueError(f"{path} is not valid XML ({e}); name its record_element") from e
+                parser = None
+
+        for batch in batches:
+            for p, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if p != path:
+                    feed("", True)
+                    path, parser, depth, inside = p, expat.ParserCreate(), 0, []
+                    parser.StartElementHandler, parser.EndElementHandler = start, end
+                    value = value.removeprefix("\ufeff").lstrip()
+                # the last piece has no ">": only white space may stand there
+                feed(value if not value.strip() else value + ">")
+        feed("", True)
+        yield pa.RecordBatch.from_pydict({"kind": [k for k, _ in found], "tag": [t for _, t in found]}, pa.schema([("kind", pa.string()), ("tag", pa.string())]))
+
+    ordered = pieces.repartition("path").sortWithinPartitions("path", "block", "at").select("path", "value")
+    found = sorted((x["kind"], x["tag"]) for x in ordered.mapInArrow(told, "kind string, tag string").distinct().collect())
+    of = lambda kind: [t for k, t in found if k == kind]
+    tags = of("root") if o.max_depth == 0 else of("inside") or of("child") or of("root")
+    # those of the first file's beginning in their order
+    first = record_tags(head, o.root_element, o.max_depth)
+    return [t for t in first if t in tags] + [t for t in tags if t not in first]
+
+
 def first_seen(head: str, tag: str) -> list[str]:
     """Attributes and children of the records of ``tag``, in the order in which they first come."""
     order, at = [], None
@@ -215,17 +274,16 @@ def _renamed(name: str, o: Options) -> str:
 
 
 def _records(spark: SparkSession, paths: list[str], tag: str, head: str, o: Options) -> DataFrame:
-    path = ",".join(paths)
     name = tag.removeprefix("//")
     if o.columns is not None:
         wanted = _schema(o.columns)
-        have = _source(spark, name, o).load(path).columns
+        have = _source(spark, name, o).load(paths).columns
         fields = [T.StructField(f.name if f.name in have or f"_{f.name}" not in have else f"_{f.name}", f.dataType) for f in wanted.fields]
-        df = _source(spark, name, o).schema(T.StructType(fields)).load(path)
+        df = _source(spark, name, o).schema(T.StructType(fields)).load(paths)
         return df.select(*(["_metadata"] if o.filename else []), *(F.col(f"`{a.name}`").alias(b.name) for a, b in zip(fields, wanted.fields, strict=True)))
-    inferred = _source(spark, name, o).load(path).schema
+    inferred = _source(spark, name, o).load(paths).schema
     fields = [T.StructField(f.name, T.StringType() if f.name.startswith("_") and f.name != "_corrupt_record" else _opaque(f.dataType, o.max_depth - 2, o.force_list, f.name)) for f in inferred.fields]
-    df = _source(spark, name, o).schema(T.StructType(fields)).load(path)
+    df = _source(spark, name, o).schema(T.StructType(fields)).load(paths)
     narrow = _flags(df, [f for f in fields if not f.name.startswith("_")]) if not o.all_varchar else {}
     order = {n: k for k, n in enumerate(first_seen(head, name))}
     rank = lambda f: order.get(f.name.removeprefix("_"), len(order))
@@ -249,12 +307,12 @@ def read_xml(spark: SparkSession, paths: str | list[str], **options) -> DataFram
     """Records of XML files as typed rows; see ``Options`` for the parameters.
 
     Without ``record_element`` the records are the root's children; children of several tags give the
-    union of their columns. ``streaming``, ``sample_files``, ``sample_size`` and ``union_by_name`` are
+    union of their columns, which takes a pass over all files to find the tags. ``streaming``, ``sample_files``, ``sample_size`` and ``union_by_name`` are
     accepted: Spark always reads record by record and infers over all files.
     """
     o, paths = Options(**options), _paths(paths)
     head = _head(spark, paths[0])
-    tags = [o.record_element.removeprefix("//")] if o.record_element else record_tags(head, o.root_element, o.max_depth)
+    tags = [o.record_element.removeprefix("//")] if o.record_element else all_tags(spark, paths, head, o)
     if not tags:
         raise ValueError(f"no element found in {paths[0]}")
     df = _records(spark, paths, tags[0], head, o)

@@ -80,3 +80,22 @@ def test_html_records_survive(spark):
     with pytest.raises(Exception, match="cannot be written"):
         R.parse_html(spark, deep, record_element="li")
     assert R.parse_html(spark, deep, record_element="li", ignore_errors=True).count() == 1
+
+
+def test_late_tags(spark, tmp_path):
+    """A second tag after hundreds of lines, or in another file only, across splits of a file."""
+    rows = "\n".join(f"<a><n>{k}</n><!-- <z/> > --></a>" for k in range(3000))
+    (tmp_path / "1.xml").write_text(f'<?xml version="1.0" encoding="UTF-8"?>\n<r>\n{rows}\n<b><m>x</m></b>\n</r>\n')
+    (tmp_path / "2.xml").write_text("<r><c><k>1</k></c><q><d/></q></r>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        df = R.read_xml(spark, str(tmp_path / "*.xml"))
+        assert df.columns[:1] == ["n"] and {"m", "k", "d"} <= set(df.columns)
+        assert [df.where(f"{c} is not null").count() for c in "nmk"] == [3000, 1, 1] and df.count() == 3003
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert R.read_xml(spark, str(tmp_path / "*.xml"), root_element="q", columns="x string").count() == 1
+    (tmp_path / "3.xml").write_text("<r><c></r>")
+    with pytest.raises(Exception, match="not valid XML"):
+        R.read_xml(spark, str(tmp_path / "*.xml"))
