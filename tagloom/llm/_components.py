@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import stash
 
 
-#: Orders under which buckets choose their heads.
-HEADS = 8
-
-
 def _stars(edges: DataFrame) -> bool:
     """Whether every node of ``edges`` (a over b) has one edge up at most, to a node without any: then all is settled."""
     ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
@@ -40,44 +36,66 @@ def connected(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], small: int = 24) -> DataFrame:
+def _pairs(left: str = "a", right: str = "b"):
+    return F.least(left, right).alias("a"), F.greatest(left, right).alias("b")
+
+
+def bucket_components(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], share: int = 75, small: int = 24) -> DataFrame:
     """Components of the graph whose links are those pairs sharing a bucket that ``verify`` keeps.
 
-    ``members`` has columns bucket and node; ``verify`` takes pairs (a, b) and returns the linked ones.
-    First every node meets its bucket's head, the least under one of ``HEADS`` orders that the bucket's
-    number picks: in a group of near copies, which share many buckets, each meets several heads, and
-    nearly all end in one component by some pairs a member. Buckets in one component are done. In the others, nodes of different
-    components meet the bucket's next nodes, eight times as many each time; small buckets all at once. No
-    pair within a component is needed, and none between components is left out.
+    ``shared`` has distinct rows bucket and node, of buckets with several nodes; ``verify`` takes pairs (a, b) and
+    returns the linked ones; ``sets`` gives the set (node, item) of each node of a table, and a link needs at least ``share`` %
+    of the union of two sets in common.
+
+    1. Every node meets its bucket's head, the node that shares most with others: of a group of near copies that is
+       the text they come from, or one close to it, and nearly all the group gets into one component by a pair a member.
+    2. Buckets in one component are done. In the others no pair within a component is needed, and none between
+       components is left out: in buckets of up to ``small`` nodes all such pairs meet.
+    3. Nodes of larger buckets meet where they share rare items; see ``rare_pairs``.
+    """
+    size = shared.groupBy("bucket").agg(F.count("*").alias("size"))
+    weight = shared.join(size, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
+    head = shared.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", F.xxhash64("node").alias("h"), "node")).alias("head"))
+    ranked = stash(shared.join(head, "bucket").select("bucket", "node", F.col("head")["node"].alias("head")))
+    star = ranked.where("node != head").select(*_pairs("node", "head")).distinct()
+    component = connected(stash(verify(star)))
+
+    now = ranked.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("bucket", "size")
+    still = stash(now.join(split, "bucket"))
+    few = still.where((F.col("size") <= small) & (F.col("node") != F.col("head"))).select("bucket", "node", "component")
+    other = few.select("bucket", F.col("node").alias("to"), F.col("component").alias("of"))
+    met = few.join(other, "bucket").where("node < to and component != of").select(*_pairs("node", "to"))
+    many = still.where(F.col("size") > small).select("node", "component").distinct()
+    more = stash(verify(met.unionByName(rare_pairs(many, sets, share)).distinct()))
+    if more.isEmpty():
+        return component
+    return connected(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")))
+
+
+def rare_pairs(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], share: int) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` in different components, with every pair whose sets have ``share`` % of their union in common.
+
+    Items are ordered from the rarest among ``nodes`` on. Two such sets share one of the first few items of each:
+    what stands before, in the smaller and in the larger set, would leave too few in common. So a passage that very many
+    nodes hold brings none of them together unless it makes up most of two sets; where the first common item stands
+    bounds what two sets can have in common, and drops the rest.
     """
-    head = F.min(F.struct(F.xxhash64("node", F.pmod("bucket", F.lit(HEADS))), "node")).over(Window.partitionBy("bucket"))["node"]
-    shared = stash(members.withColumn("a", head).where("node != a").select("a", "bucket", F.col("node").alias("b")).distinct())
-    links = stash(verify(shared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
-    component = connected(links)
-    everyone = shared.select("bucket", F.col("b").alias("node"), F.lit(1).alias("place")).unionByName(shared.select("bucket", F.col("a").alias("node"), F.lit(0).alias("place")).distinct())
-
-    def unsettled(rows: DataFrame) -> DataFrame:
-        """Rows with their present component, of buckets that have more than one."""
-        now = rows.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-        return now.join(split, "bucket", "left_semi")
-
-    # rank 1 is the bucket's own head, which has met all the others
-    ranked = unsettled(everyone).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("place", F.xxhash64("node"), "node"))).drop("place")
-    size = ranked.groupBy("bucket").agg(F.max("rank").alias("size"))
-    still = stash(ranked.join(size, "bucket"))
-    done = 1
-    while not still.isEmpty():
-        to = 8 * done if done > 1 else small
-        now = (F.col("size") <= small) | F.col("rank").between(done + 1, to)
-        centers = still.where(now & (F.col("rank") > 1)).select("bucket", F.col("node").alias("a"), F.col("component").alias("of"), F.col("rank").alias("at"))
-        # a center meets the nodes after it, and in small rounds every pair comes up once
-        meet = still.join(centers, "bucket").where("rank > at and component != of").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        more = stash(verify(meet))
-        done, rest = to, still.where(F.col("size") > to)
-        if more.isEmpty():
-            still = rest
-        else:
-            component = connected(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")))
-            still = stash(unsettled(rest.select("bucket", "node", "rank", "size")))
-    return component
+    items = stash(sets(nodes.select("node")).distinct())
+    often = items.groupBy("item").agg(F.count("*").alias("often"))
+    ordered = items.join(often, "item").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("items"))
+    n = F.col("n")
+    least = lambda of, union: F.floor((of * share + union - 1) / union)  # noqa: E731  smallest count of at least share % of union parts
+    # with another of its size or more, a set shares 2 * share / (100 + share) of itself; with any other, share %
+    ahead = F.col("n") - F.when(F.col("near"), least(2 * n, F.lit(100 + share))).otherwise(least(n, F.lit(100))) + 1
+    told = ordered.withColumn("n", F.size("items").cast("long"))
+
+    def front(near: bool) -> DataFrame:
+        some = told.withColumn("near", F.lit(near)).select("node", "n", F.posexplode(F.slice("items", F.lit(1), ahead.cast("int"))).alias("at", "one"))
+        return some.join(nodes, "node").select(F.col("one")["item"].alias("item"), "node", "component", "n", "at")
+
+    right = front(False).select("item", *(F.col(c).alias(f"{c}2") for c in ("node", "component", "n", "at")))
+    both = front(True).join(right, "item").where("component != component2 and (n < n2 or n = n2 and node < node2)")
+    # so many items at most are in common, and so many are needed
+    able = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) * (100 + share) >= (F.col("n") + F.col("n2")) * share
+    return both.where(able).select(*_pairs("node", "node2"))

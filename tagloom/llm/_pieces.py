@@ -63,10 +63,9 @@ class Vocabulary:
         hasher, keys, ids = _text.Hasher(packed), [], []
         for k, a, b in zip(usable, bounds[:-1], bounds[1:], strict=True):
             at = np.arange(a + 1, b + 1)
-            keys.append(hasher.raw(np.full(len(at), a), at))
+            keys.append(hasher(np.full(len(at), a), at))
             ids.append(np.append(np.full(len(at) - 1, -1), k))
-        lengths = np.concatenate([np.arange(1, len(x) + 1) for x in keys])
-        keys, ids = np.concatenate(keys) + lengths.astype(np.uint64), np.concatenate(ids)
+        keys, ids = np.concatenate(keys), np.concatenate(ids)
         order = np.lexsort((-ids, keys))
         keys, ids = keys[order], ids[order]
         first = np.ones(len(keys), bool)
@@ -104,7 +103,7 @@ class Vocabulary:
             if not len(alive):
                 break
             p = place[alive]
-            key = hasher.raw(p, p + length) + np.uint64(length)
+            key = hasher(p, p + length)
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             hit = self.keys[at] == key
             alive, at = alive[hit], at[hit]

@@ -18,8 +18,9 @@ link when ``100 * |x & y| >= 75 * |x | y|``. Equal sets are one class, whose sma
 3. Verification. Candidate pairs are checked exactly on their texts; see ``bucket_components`` for how
    connected groups avoid all pairs.
 
-Null and empty texts have no set and are alone; repeated ids count once, with any of their rows' texts
-linked under that id.
+Null and empty texts have no set and are alone. Rows of one id are one document, whose texts are linked
+under that id, and so are rows whose id is null; their component is the smallest id that is not null, or
+null. Shingles are hashed to 64 bits, and classes are told apart by such sums.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import _text
+from . import _packed, _text
 from ._components import bucket_components, connected
 from ._tables import stash
 
@@ -75,108 +76,42 @@ def _sums(of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return total[ends[1:]] - total[ends[:-1]]
 
 
+def _classes(batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row and hash of each shingle of a batch, and the set size and class of each row."""
+    of, found = shingles(batch.column(text))
+    return of, found, np.bincount(of, minlength=batch.num_rows), _sums(of, _text.mix(found + np.uint64(1)), batch.num_rows)
+
+
 def class_keys(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """doc, n (set size) and class hash halves h1, h2 of each row."""
-    schema = T.StructType([T.StructField("doc", docs.schema[id].dataType), *T.StructType.fromDDL("n long, h1 long, h2 long").fields])
+    """doc, n (set size) and node (the class' hash) of each row."""
+    schema = T.StructType([T.StructField("doc", docs.schema[id].dataType), *T.StructType.fromDDL("n long, node long").fields])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.slices(batches, text):
-            of, found = shingles(batch.column(1))
-            n = batch.num_rows
-            h1, h2 = _sums(of, _text.mix(found + np.uint64(1)), n), _sums(of, _text.mix(found ^ np.uint64(0xA5A5A5A5)), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(of, minlength=n)), pa.array(h1.view(_I64)), pa.array(h2.view(_I64))], schema.fieldNames())
+            _, _, n, node = _classes(batch, text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node.view(_I64))], schema.fieldNames())
 
     return docs.select(id, text).mapInArrow(keyed, schema)
 
 
 def needed(n):
-    """Shingles that any link of a set of ``n`` needs in common; numpy arrays, columns and numbers."""
+    """Shingles that any link of a set of ``n`` needs in common."""
     return (n * SHARE + 99) // 100
 
 
-def packed_shingles(texts: DataFrame, ranges: int, prefix: bool) -> DataFrame:
-    """Shingles of ``texts`` (column text), or of their prefixes, packed by range of the hash: rows of arrays, not of shingles."""
-
-    def flush(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        found, h1 = (np.concatenate(x) for x in zip(*parts, strict=True))
-        at = ((found >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-        order = np.argsort(at, kind="stable")
-        found, h1 = found[order], h1[order]
-        edges = np.searchsorted(at[order], np.arange(ranges + 1, dtype=np.uint64))
-        rows = []
-        for k in np.flatnonzero(np.diff(edges)):
-            for a in range(edges[k], edges[k + 1], 1 << 15):
-                b = min(a + (1 << 15), edges[k + 1])
-                classes, of = np.unique(h1[a:b], return_inverse=True)
-                rows.append((int(k), found[a:b].tobytes(), of.astype(np.uint16).tobytes(), classes.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["range", "shingles", "places", "classes"])
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+def shingle_counts(texts: DataFrame, shingles: int, prefix: bool) -> DataFrame:
+    """node and k: how many shingles of a class, or of its prefix, another class has too; ``shingles`` tells how many there are."""
+    ranges = _packed.ranges_for(shingles)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[_packed.Pairs]:
         for batch in _text.slices(batches, "text"):
-            of, found = shingles(batch.column(0))
-            n = np.bincount(of, minlength=batch.num_rows)
-            h1 = _sums(of, _text.mix(found + np.uint64(1)), batch.num_rows)
+            of, found, n, node = _classes(batch, "text")
             begin = np.concatenate([[0], np.cumsum(n)])
             length = np.where(n > 2, n - needed(n) + np.maximum(1, n // 20) if prefix else n, 0)
             some = np.arange(len(of)) - begin[of] < length[of]
-            parts.append((found[some], h1[of[some]]))
-            held += int(some.sum())
-            if held > 1 << 21:
-                yield from flush(parts)
-                parts, held = [], 0
-        if held:
-            yield from flush(parts)
-
-    return texts.mapInArrow(packed, "range int, shingles binary, places binary, classes binary")
-
-
-def shared_counts(packed: DataFrame) -> DataFrame:
-    """h1 and k: how many of a class' packed shingles another class has too.
-
-    A task meets the ranges one after another and keeps one range's distinct (shingle, class) pairs:
-    copies of a text are one class, so a hot group of copies takes no more room than one.
-    """
-
-    def distinct(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        found, h1 = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((h1, found))
-        found, h1 = found[order], h1[order]
-        new = np.ones(len(found), bool)
-        new[1:] = (found[1:] != found[:-1]) | (h1[1:] != h1[:-1])
-        return found[new], h1[new]
-
-    def told(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        found, h1 = distinct(parts)
-        same = found[1:] == found[:-1]
-        both = np.zeros(len(found), bool)
-        both[1:] |= same
-        both[:-1] |= same
-        classes, k = np.unique(h1[both], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(classes.view(_I64)), pa.array(k)], ["h1", "k"])
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, held, kept = None, [], 0, 0
-        for batch in batches:
-            for at, found, places, classes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != now and parts:
-                    yield told(parts)
-                    parts, held, kept = [], 0, 0
-                now = at
-                parts.append((np.frombuffer(found, np.uint64), np.frombuffer(classes, np.uint64)[np.frombuffer(places, np.uint16)]))
-                held += len(parts[-1][0])
-                if held > 2 * kept + (1 << 20):
-                    parts = [distinct(parts)]
-                    held = kept = len(parts[0][0])
-        if parts:
-            yield told(parts)
-
-    return packed.repartition("range").sortWithinPartitions("range").mapInArrow(counted, "h1 long, k long").groupBy("h1").agg(F.sum("k").alias("k"))
+            yield found[some], node[of[some]]
 
-
-def needed(n):
-    """Shingles that any link of a set of ``n`` needs in common; numpy arrays, columns and numbers."""
-    return (n * SHARE + 99) // 100
+    return _packed.shared_counts(texts.mapInArrow(lambda batches: _packed.pack(pairs(batches), ranges), _packed.SCHEMA), "node")
 
 
 def bands(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,15 +160,28 @@ def signatures(of: np.ndarray, found: np.ndarray, rows: int) -> tuple[np.ndarray
     return np.concatenate(out_rows), np.concatenate(out_keys)
 
 
-def _members(texts: DataFrame) -> DataFrame:
-    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("node", texts.schema["node"].dataType)])
+def _shared(texts: DataFrame, shingles: int) -> DataFrame:
+    """bucket and node of the classes that share a signature with another."""
+    ranges = _packed.ranges_for(2 * shingles)
 
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[_packed.Pairs]:
         for batch in _text.slices(batches, "text", _text.SLICE_BYTES // 2):
-            rows, keys = signatures(*shingles(batch.column("text")), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(_I64)), batch.column("node").take(pa.array(rows))], ["bucket", "node"])
+            of, found, _, node = _classes(batch, "text")
+            rows, keys = signatures(of, found, batch.num_rows)
+            yield keys, node[rows]
+
+    return _packed.shared_pairs(texts.select("text").mapInArrow(lambda batches: _packed.pack(pairs(batches), ranges), _packed.SCHEMA))
 
-    return texts.mapInArrow(signed, schema)
+
+def _sets(texts: DataFrame):
+    """The shingles of classes, as (node, item)."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _text.slices(batches, "text"):
+            of, found = shingles(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(of)), pa.array(found.view(_I64))], ["node", "item"])
+
+    return lambda nodes: texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(told, "node long, item long")
 
 
 #: Counters of a set's outline: how many of its shingles fall in each part of the universe, up to 255.
@@ -255,8 +203,7 @@ def outlines(texts: DataFrame) -> DataFrame:
 
 
 def _verifier(texts: DataFrame):
-    kind = texts.schema["node"].dataType
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    schema = "a long, b long"
     drawn = stash(outlines(texts))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,37 +234,38 @@ def _verifier(texts: DataFrame):
     return verify
 
 
-#: Prefix shingles, counted with repeats, that a range of the hash gets on average.
-RANGE = 1 << 17
-
-
 def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles and component_id (smallest id that links reach) of each distinct id."""
     keys = stash(class_keys(docs, id, text))
-    classes = stash(keys.groupBy("n", "h1", "h2").agg(F.min("doc").alias("rep")))
-    first = keys.groupBy("doc").agg(F.max("n").alias("n_shingles"))
+    classes = keys.where("n > 0").groupBy("node").agg(F.min("doc").alias("rep"), F.first("n").alias("n"))
     total = keys.agg(F.sum("n")).first()[0] or 0
-    source = docs.select(F.col(text).alias("text"))
-    seen = shared_counts(packed_shingles(source, max(1, total * 3 // 10 // RANGE), True))
+    seen = shingle_counts(docs.select(F.col(text).alias("text")), total * 3 // 10, True)
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * SHARE / 100) / 20))
-    alive = stash(classes.where("n > 2").join(seen, "h1").where(F.col("k") >= least).select(F.col("rep").alias(id), "n", "h1"))
-    # an id with several texts keeps them all: each is a row of its class' representative
-    some = stash(docs.where(F.col(text).isNotNull()).select(id, text).join(alive.select(id).distinct(), id, "left_semi").select(F.col(id).alias("node"), F.col(text).alias("text")))
-    total = alive.agg(F.sum("n")).first()[0] or 0
-    seen = shared_counts(packed_shingles(some.select("text"), max(1, total // RANGE), False))
-    alive = alive.join(seen, "h1").where(F.col("k") * 100 >= F.col("n") * SHARE).select(F.col(id).alias("node")).distinct()
-    texts = stash(some.join(alive, "node", "left_semi"))
-    component = bucket_components(_members(texts), _verifier(texts))
-    same = keys.where("n > 0").join(classes, ["n", "h1", "h2"]).where("doc != rep").select(F.col("doc").alias("node"), "rep")
-    once = same.groupBy("node").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
-    if not once.where("rep != other").isEmpty():  # repeated ids tie several classes together
-        component = stash(connected_with(component, same))
-        once = once.where("false")
-    reached = component.select(F.col("node").alias("rep"), F.col("component"))
-    through = once.join(reached, "rep", "left").select("node", F.coalesce("component", "rep").alias("via"))
-    out = first.join(component.select(F.col("node").alias("doc"), "component"), "doc", "left").join(through.select(F.col("node").alias("doc"), "via"), "doc", "left")
-    return out.select(F.col("doc").alias(id), "n_shingles", F.least(F.coalesce("component", "doc"), F.coalesce("via", "doc"), "doc").alias("component_id"))
-
-
-def connected_with(component: DataFrame, same: DataFrame) -> DataFrame:
-    return connected(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(same.select(F.col("node").alias("a"), F.col("rep").alias("b"))))
+    alive = stash(classes.where("n > 2").join(seen, "node").where(F.col("k") >= least).select("node", "rep", "n"))
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _text.slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(_classes(batch, "text")[3].view(_I64)), batch.column("text")], ["node", "text"])
+
+    # an id may have several texts: those of its rows that are alive count
+    own = docs.where(F.col(text).isNotNull()).select(F.col(id).alias("doc"), F.col(text).alias("text"))
+    reps = alive.select("rep").distinct()
+    some = own.join(reps, own["doc"].eqNullSafe(reps["rep"]), "left_semi").select("text").mapInArrow(classed, "node long, text string")
+    some = stash(some.join(alive.select("node", "n"), "node").dropDuplicates(["node"]).select("node", "n", "text"))
+    total = some.agg(F.sum("n")).first()[0] or 0
+    seen = shingle_counts(some.select("text"), total, False)
+    alive = some.select("node", "n").join(seen, "node").where(F.col("k") * 100 >= F.col("n") * SHARE).select("node")
+    texts = stash(some.join(alive, "node", "left_semi").select("node", "text"))
+    component = bucket_components(stash(_shared(texts, total)), _verifier(texts), _sets(texts), SHARE)
+
+    # texts of one id are linked
+    several = keys.where("n > 0").groupBy("doc").agg(F.min("node").alias("b"), F.max("node").alias("high")).where("b < high").drop("high")
+    if not several.isEmpty():
+        tied = keys.where("n > 0").alias("k").join(several.alias("s"), F.col("k.doc").eqNullSafe(F.col("s.doc"))).select(F.col("node").alias("a"), "b")
+        component = connected(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(tied))
+    placed = classes.join(component, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    least_of = placed.groupBy("component").agg(F.min("rep").alias("least"))
+    found = keys.where("n > 0").join(placed.join(least_of, "component").select("node", "least"), "node").select("doc", "n", "least")
+    bare = keys.where("n = 0").select("doc", "n", F.lit(None).cast(keys.schema["doc"].dataType).alias("least"))
+    whole = found.unionByName(bare).groupBy("doc").agg(F.max("n").alias("n_shingles"), F.min("least").alias("least"))
+    return whole.select(F.col("doc").alias(id), "n_shingles", F.coalesce("least", "doc").alias("component_id"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import _text
+from . import _packed, _text
 from ._components import bucket_components
 from ._tables import own_columns, stash
 
@@ -71,52 +71,69 @@ def minhashes(of: np.ndarray, found: np.ndarray) -> np.ndarray:
 
 
 def line_table(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """One row per line with ink: doc, h (its text's hash), line number and node (the line's hash)."""
-    schema = T.StructType([T.StructField("doc", docs.schema[id].dataType), *T.StructType.fromDDL("h long, line int, node long").fields])
+    """One row per line with ink: doc, h (its text's hash), line number, node (the line's hash) and, where a task sees the line first, its buckets."""
+    schema = T.StructType([T.StructField("doc", docs.schema[id].dataType), *T.StructType.fromDDL("h long, line int, node long, buckets binary").fields])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _text.slices(batches, text):
+        for batch in _text.slices(batches, text, _text.SLICE_BYTES // 4):
             data, offsets = _text.utf8(batch.column(1))
             hasher = _text.Hasher(data)
             starts, ends, rows, number = line_spans(data, offsets)
-            whole = hasher(offsets[:-1], offsets[1:])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(whole[rows].view(_I64)), pa.array(number.astype(np.int32)), pa.array(hasher(starts, ends).view(_I64))], schema.fieldNames())
+            whole, lines = hasher(offsets[:-1], offsets[1:]), hasher(starts, ends)
+            nodes, at = np.unique(lines, return_index=True)
+            keys = np.full(len(lines), None)
+            if len(nodes):
+                of, found = char_shingles(data, starts[at], ends[at], hasher)
+                keys[at] = [k.tobytes() for k in buckets(minhashes(of, found))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(whole[rows].view(_I64)), pa.array(number.astype(np.int32)), pa.array(lines.view(_I64)), pa.array(keys, pa.binary())], schema.fieldNames())
 
     return docs.select(id, text).mapInArrow(listed, schema)
 
 
+def buckets(minima: np.ndarray) -> np.ndarray:
+    """The BANDS bucket numbers of each column of ``minima``, one row a column."""
+    minima = minima.astype(np.uint64)
+    out = np.empty((minima.shape[1], BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(minima.shape[1], band + 1, np.uint64)
+        for row in minima[band * ROWS : band * ROWS + ROWS]:
+            key = _text.mix(key ^ row) + np.uint64(band)
+        out[:, band] = key
+    return out
+
+
+def _shared(lines: DataFrame) -> DataFrame:
+    """bucket and node of the lines that share a bucket with another."""
+    ranges = _packed.ranges_for(lines.where("buckets is not null").count() * BANDS)
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = ((np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64), np.repeat(b.column(1).to_numpy().view(np.uint64), BANDS)) for b in batches)
+        return _packed.pack(pairs, ranges)
+
+    return _packed.shared_pairs(lines.where("buckets is not null").select("buckets", "node").mapInArrow(signed, _packed.SCHEMA))
+
+
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Bytes, starts, ends and hashes of the distinct lines of each slice, and its hasher."""
+    """Bytes, starts, ends and hashes of the distinct lines of each slice."""
     for batch in _text.slices(batches, "text", _text.SLICE_BYTES // 4):
         data, offsets = _text.utf8(batch.column(0))
         starts, ends, _, _ = line_spans(data, offsets)
-        hasher = _text.Hasher(data)
-        nodes, at = np.unique(hasher(starts, ends), return_index=True)
-        yield data, starts[at], ends[at], nodes, hasher
+        nodes, at = np.unique(_text.Hasher(data)(starts, ends), return_index=True)
+        yield data, starts[at], ends[at], nodes
 
 
-def _members(docs: DataFrame) -> DataFrame:
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, starts, ends, nodes, hasher in _once(batches):
-            if not len(nodes):
-                continue
-            of, found = char_shingles(data, starts, ends, hasher)
-            minima = minhashes(of, found).astype(np.uint64)
-            for band in range(BANDS):
-                key = np.full(len(nodes), band + 1, np.uint64)
-                for row in minima[band * ROWS : band * ROWS + ROWS]:
-                    key = _text.mix(key ^ row) + np.uint64(band)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(_I64)), pa.array(nodes.view(_I64))], ["bucket", "node"])
+def _texts(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """node and line of the lines of ``shared``."""
 
-    return docs.mapInArrow(signed, "bucket long, node long")
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data, starts, ends, nodes in _once(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(_I64)), _text.strings(data, starts, ends)], ["node", "line"])
 
+    return docs.mapInArrow(written, "node long, line string").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
 
-def _verifier(docs: DataFrame):
-    """Keeps the pairs of lines whose shingle sets are similar enough; fetches only the texts of candidates."""
 
-    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, starts, ends, nodes, _ in _once(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(_I64)), _text.strings(data, starts, ends)], ["node", "line"])
+def _verifier(texts: DataFrame):
+    """Keeps the pairs of lines whose shingle sets are similar enough."""
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.slices(batches, "ta", _text.SLICE_BYTES // 4):
@@ -136,25 +153,31 @@ def _verifier(docs: DataFrame):
             linked = (100 * common >= SHARE * (np.bincount(of, minlength=n) - common)) & (common > 0)
             yield batch.select(["a", "b"]).filter(pa.array(linked))
 
-    texts: list[DataFrame] = []
-    source = docs
-
     def verify(pairs: DataFrame) -> DataFrame:
-        if not texts:  # the first call has a pair for every line that shares any bucket
-            pairs = stash(pairs)
-            wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-            texts.append(stash(source.mapInArrow(written, "node long, line string").join(wanted, "node", "left_semi").dropDuplicates(["node"])))
-        ta, tb = (texts[0].select(F.col("node").alias(x), F.col("line").alias(f"t{x}")) for x in "ab")
+        ta, tb = (texts.select(F.col("node").alias(x), F.col("line").alias(f"t{x}")) for x in "ab")
         return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(kept, "a long, b long")
 
     return verify
 
 
+def _sets(texts: DataFrame):
+    """The shingles of lines, as (node, item)."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _text.slices(batches, "line", _text.SLICE_BYTES // 4):
+            data, offsets = _text.utf8(batch.column("line"))
+            of, found = char_shingles(data, offsets[:-1], offsets[1:], _text.Hasher(data))
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(of)), pa.array(found.view(_I64))], ["node", "item"])
+
+    return lambda nodes: texts.join(nodes, "node", "left_semi").select("node", "line").mapInArrow(told, "node long, item long")
+
+
 def removed_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """All lines with ink (doc, h, line, node), and doc, h, removed (sorted numbers) of documents that lose some."""
     lines = stash(line_table(docs, id, text))
-    source = docs.select(F.col(text).alias("text"))
-    component = bucket_components(_members(source), _verifier(source))
+    shared = stash(_shared(lines))
+    texts = stash(_texts(docs.select(F.col(text).alias("text")), shared))
+    component = bucket_components(shared, _verifier(texts), _sets(texts), SHARE)
     at = F.struct("doc", "h", "line")
     nodes = lines.groupBy("node").agg(F.min(at).alias("first"), F.max(at).alias("last")).join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     keepers = nodes.groupBy("component").agg(F.min("first").alias("keep"), F.max("last").alias("last")).where("keep != last")

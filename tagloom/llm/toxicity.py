@@ -37,8 +37,7 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     for length in (0, *PREFIXES):
         some = np.flatnonzero(ends - starts > length) if length else slice(None)
         s, e = starts[some], ends[some]
-        raw = hasher.raw(s, s + length if length else e)
-        found.append(_text.mix(raw + np.uint64(length)) >> np.uint64(64 - BITS))
+        found.append(_text.mix(hasher(s, s + length if length else e) + np.uint64(length)) >> np.uint64(64 - BITS))
         of.append(rows[some])
     return np.concatenate(of), np.concatenate(found).astype(np.int64)
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.llm import _text, cotraining, decontaminate, jaccard, likelihood, lines, media, pii, sentencepiece_codec, substrings, toxicity
-from tagloom.llm._components import HEADS, bucket_components, connected
+from tagloom.llm._components import bucket_components, connected
 from tagloom.llm._pieces import Vocabulary, best
 
 from . import brute
@@ -65,18 +65,26 @@ def test_connected(spark):
     assert found == brute.components({x for p in links for x in p}, links)
 
 
-@pytest.mark.parametrize("size", [3, 40])
+@pytest.mark.parametrize("size", [4, 60])
 def test_buckets_with_an_unlinked_head(spark, size):
-    """The node of least hash is linked to another of its bucket, whose head is linked to none."""
-    bucket = F.lit(3).cast("long")
-    hashes = spark.range(1000).select("id", F.xxhash64("id").alias("h"), F.xxhash64("id", F.pmod(bucket, F.lit(HEADS))).alias("head")).collect()
-    least, head = min(hashes, key=lambda r: r["h"])["id"], min(hashes, key=lambda r: r["head"])["id"]
-    assert least != head
-    nodes = [least, head, *(k for k in range(size) if k not in (least, head))][:size]
-    links = spark.createDataFrame([(min(least, nodes[-1]), max(least, nodes[-1]))], "a long, b long")
-    members = spark.createDataFrame([(3, k) for k in nodes], "bucket long, node long")
-    found = {r["node"]: r["component"] for r in bucket_components(members, lambda pairs: pairs.join(links, ["a", "b"], "left_semi")).collect()}
-    assert found == {k: min(least, nodes[-1]) for k in (least, nodes[-1])}
+    """In a small and in a large bucket: pairs that are linked, and all others that share much but not enough."""
+    rng = np.random.default_rng(size)
+    sets = {}
+    for k in range(0, size, 2):
+        own = {int(x) for x in rng.integers(1 << 40, 1 << 60, 40)}
+        sets[k], sets[k + 1] = set(range(60)) | own, set(range(57)) | own
+    items = spark.createDataFrame([(k, x) for k, s in sets.items() for x in s], "node long, item long")
+    members = spark.createDataFrame([(3, k) for k in sets], "bucket long, node long")
+    asked = []
+
+    def verify(pairs):
+        rows = [tuple(r) for r in pairs.collect()]
+        asked.extend(rows)
+        return spark.createDataFrame([(a, b) for a, b in rows if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])], "a long, b long")
+
+    found = {r["node"]: r["component"] for r in bucket_components(members, verify, lambda nodes: items.join(nodes, "node", "left_semi")).collect()}
+    assert found == {k: k // 2 * 2 for k in sets}
+    assert len(asked) < (3 * size if size > 24 else size * size)
 
 
 def test_jaccard(docs):
