@@ -147,6 +147,22 @@ def sort_within(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values
 
 
+def overlaps(of_a: np.ndarray, a: np.ndarray, of_b: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the intersection and of the union of the hash sets that ``a`` and ``b`` have in each of ``n`` rows; repeats count once."""
+    of = np.concatenate([of_a, of_b])
+    # hashes of other rows are kept apart by a salt; the lowest bit tells the side
+    salted = (mix(np.concatenate([a, b]) ^ mix(of.astype(np.uint64) + np.uint64(1))) >> np.uint64(1)) << np.uint64(1)
+    salted[len(a) :] |= np.uint64(1)
+    order = np.argsort(salted)
+    salted, of = salted[order], of[order]
+    new = np.ones(len(of), bool)
+    new[1:] = salted[1:] != salted[:-1]
+    salted, of = salted[new], of[new]
+    both = (salted[1:] >> np.uint64(1)) == (salted[:-1] >> np.uint64(1))
+    common = np.bincount(of[1:][both], minlength=n)
+    return common, np.bincount(of, minlength=n) - common
+
+
 def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of the given ranges one after another, and the offsets of the ranges in them."""
     sizes = ends - starts

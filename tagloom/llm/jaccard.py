@@ -217,12 +217,8 @@ def _verifier(texts: DataFrame):
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.slices(batches, "ta", _text.SLICE_BYTES // 4):
             n = batch.num_rows
-            (oa, ha), (ob, hb) = shingles(batch.column("ta")), shingles(batch.column("tb"))
-            of, found = np.concatenate([oa, ob]), np.concatenate([ha, hb])
-            order = np.lexsort((found, of))
-            of, found = of[order], found[order]
-            common = np.bincount(of[1:][(of[1:] == of[:-1]) & (found[1:] == found[:-1])], minlength=n)
-            linked = (100 * common >= SHARE * (np.bincount(of, minlength=n) - common)) & (common > 0)
+            common, union = _text.overlaps(*shingles(batch.column("ta")), *shingles(batch.column("tb")), n)
+            linked = (100 * common >= SHARE * union) & (common > 0)
             yield batch.select(["a", "b"]).filter(pa.array(linked))
 
     def verify(pairs: DataFrame) -> DataFrame:

@@ -138,19 +138,12 @@ def _verifier(texts: DataFrame):
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.slices(batches, "ta", _text.SLICE_BYTES // 4):
             n = batch.num_rows
-            sets = []
+            sides = []
             for name in ("ta", "tb"):
                 data, offsets = _text.utf8(batch.column(name))
-                of, found = char_shingles(data, offsets[:-1], offsets[1:], _text.Hasher(data))
-                found = _text.sort_within(of, found)
-                new = np.ones(len(of), bool)
-                new[1:] = (of[1:] != of[:-1]) | (found[1:] != found[:-1])
-                sets.append((of[new], found[new]))
-            of, found = (np.concatenate(x) for x in zip(*sets, strict=True))
-            order = np.lexsort((found, of))
-            of, found = of[order], found[order]
-            common = np.bincount(of[1:][(of[1:] == of[:-1]) & (found[1:] == found[:-1])], minlength=n)
-            linked = (100 * common >= SHARE * (np.bincount(of, minlength=n) - common)) & (common > 0)
+                sides += char_shingles(data, offsets[:-1], offsets[1:], _text.Hasher(data))
+            common, union = _text.overlaps(*sides, n)
+            linked = (100 * common >= SHARE * union) & (common > 0)
             yield batch.select(["a", "b"]).filter(pa.array(linked))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -167,7 +160,10 @@ def _sets(texts: DataFrame):
         for batch in _text.slices(batches, "line", _text.SLICE_BYTES // 4):
             data, offsets = _text.utf8(batch.column("line"))
             of, found = char_shingles(data, offsets[:-1], offsets[1:], _text.Hasher(data))
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(of)), pa.array(found.view(_I64))], ["node", "item"])
+            found = _text.sort_within(of, found)
+            new = np.ones(len(of), bool)
+            new[1:] = (of[1:] != of[:-1]) | (found[1:] != found[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(of[new])), pa.array(found[new].view(_I64))], ["node", "item"])
 
     return lambda nodes: texts.join(nodes, "node", "left_semi").select("node", "line").mapInArrow(told, "node long, item long")
 
@@ -179,10 +175,12 @@ def removed_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tu
     texts = stash(_texts(docs.select(F.col(text).alias("text")), shared))
     component = bucket_components(shared, _verifier(texts), _sets(texts), SHARE)
     at = F.struct("doc", "h", "line")
-    nodes = lines.groupBy("node").agg(F.min(at).alias("first"), F.max(at).alias("last")).join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    keepers = nodes.groupBy("component").agg(F.min("first").alias("keep"), F.max("last").alias("last")).where("keep != last")
-    doomed = nodes.join(keepers.select("component", "keep"), "component").select("node", "keep")
-    lost = lines.join(doomed, "node").where(at != F.col("keep")).groupBy("doc", "h").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    # a line that comes once and has no links is not looked at again
+    often = lines.groupBy("node").agg(F.count("*").alias("often")).join(component, "node", "left").where("often > 1 or component is not null")
+    placed = lines.join(often.select("node", F.coalesce("component", "node").alias("component")), "node").select("component", at.alias("at"))
+    keepers = placed.groupBy("component").agg(F.min("at").alias("keep"), F.max("at").alias("last")).where("keep != last").select("component", "keep")
+    gone = placed.join(keepers, "component").where("at != keep")
+    lost = gone.groupBy("at.doc", "at.h").agg(F.array_sort(F.collect_set("at.line")).alias("removed"))
     return lines, lost
 
 
