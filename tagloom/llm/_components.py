@@ -51,7 +51,8 @@ def bucket_components(shared: DataFrame, verify: Callable[[DataFrame], DataFrame
        the text they come from, or one close to it, and nearly all the group gets into one component by a pair a member.
     2. Buckets in one component are done. In the others no pair within a component is needed, and none between
        components is left out: in buckets of up to ``small`` nodes all such pairs meet.
-    3. Nodes of larger buckets with one head meet where they share items that are rare among them; see ``rare_pairs``.
+    3. Nodes of larger buckets fall in groups, those that heads tie together; nodes of a group meet where they share items that
+       are rare in it, see ``rare_pairs``.
     """
     size = shared.groupBy("bucket").agg(F.count("*").alias("size"))
     weight = shared.join(size, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
@@ -66,15 +67,16 @@ def bucket_components(shared: DataFrame, verify: Callable[[DataFrame], DataFrame
     few = still.where((F.col("size") <= small) & (F.col("node") != F.col("head"))).select("bucket", "node", "component")
     other = few.select("bucket", F.col("node").alias("to"), F.col("component").alias("of"))
     met = few.join(other, "bucket").where("node < to and component != of").select(*_pairs("node", "to"))
-    many = still.where(F.col("size") > small).select("head", "node", "component").distinct()
-    more = stash(verify(met.unionByName(rare_pairs(many, sets, share)).distinct()))
+    large = stash(still.where(F.col("size") > small).select("node", "head", "component").distinct())
+    group = connected(large.select(F.col("node").alias("a"), F.col("head").alias("b"))).select("node", F.col("component").alias("group"))
+    more = stash(verify(met.unionByName(rare_pairs(large.select("node", "component").distinct().join(group, "node"), sets, share)).distinct()))
     if more.isEmpty():
         return component
     return connected(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")))
 
 
 def rare_pairs(groups: DataFrame, sets: Callable[[DataFrame], DataFrame], share: int) -> DataFrame:
-    """Pairs (a, b) of nodes with one head and different components (``groups``: head, node, component): all those whose sets have ``share`` % of their union in common, and few others.
+    """Pairs (a, b) of nodes of one group and different components (``groups``: group, node, component): all those whose sets have ``share`` % of their union in common, and few others.
 
     Items are ordered from the rarest in the group on. Two such sets share one of the first few items of each:
     what stands before, in the smaller and in the larger set, would leave too few in common. So a passage that very many
@@ -82,9 +84,9 @@ def rare_pairs(groups: DataFrame, sets: Callable[[DataFrame], DataFrame], share:
     bounds what two sets can have in common, and drops the rest.
     """
     groups = stash(groups)
-    items = stash(sets(groups.select("node").distinct()).join(groups, "node"))
-    often = items.groupBy("head", "item").agg(F.count("*").alias("often"))
-    ordered = items.join(often, ["head", "item"]).groupBy("head", "node", "component").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("items"))
+    items = stash(sets(groups.select("node")).join(groups, "node"))
+    often = items.groupBy("group", "item").agg(F.count("*").alias("often"))
+    ordered = items.join(often, ["group", "item"]).groupBy("group", "node", "component").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("items"))
     n = F.col("n")
     least = lambda of, union: F.floor((of * share + union - 1) / union)  # noqa: E731  smallest count of at least share % of union parts
     # with another of its size or more, a set shares 2 * share / (100 + share) of itself; with any other, share %
@@ -92,11 +94,11 @@ def rare_pairs(groups: DataFrame, sets: Callable[[DataFrame], DataFrame], share:
     told = ordered.withColumn("n", F.size("items").cast("long"))
 
     def front(ahead) -> DataFrame:
-        some = told.select("head", "node", "component", "n", F.posexplode(F.slice("items", F.lit(1), ahead.cast("int"))).alias("at", "one"))
-        return some.select("head", F.col("one")["item"].alias("item"), "node", "component", "n", "at")
+        some = told.select("group", "node", "component", "n", F.posexplode(F.slice("items", F.lit(1), ahead.cast("int"))).alias("at", "one"))
+        return some.select("group", F.col("one")["item"].alias("item"), "node", "component", "n", "at")
 
-    right = front(far).select("head", "item", *(F.col(c).alias(f"{c}2") for c in ("node", "component", "n", "at")))
-    both = front(near).join(right, ["head", "item"]).where("component != component2 and (n < n2 or n = n2 and node < node2)")
+    right = front(far).select("group", "item", *(F.col(c).alias(f"{c}2") for c in ("node", "component", "n", "at")))
+    both = front(near).join(right, ["group", "item"]).where("component != component2 and (n < n2 or n = n2 and node < node2)")
     # so many items at most are in common, and so many are needed
     able = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) * (100 + share) >= (F.col("n") + F.col("n2")) * share
     return both.where(able).select(*_pairs("node", "node2"))
