@@ -1,19 +1,23 @@
 """Language-model scores by subword lattices: a document's probability over all its segmentations.
 
-The pieces of an existing vocabulary, with their scores as a start, spell each word (with a space in
-front) in many ways; a forward recursion in log space adds up all of them. Piece probabilities are
-re-estimated on the training documents by expectation-maximisation over the same lattices. No piece
+The pieces of an existing vocabulary spell each word (with a space in front) in many ways; its scores weight
+all of them, and a forward recursion in log space adds them up. No piece
 spans two words, so a document's probability is the product over its words and one end symbol, and
 each distinct word's lattice is solved once for the whole corpus.
 
+The vocabulary's own scores are the prior: ``rounds`` of expectation-maximisation over the training documents' lattices
+add the pieces' expected uses to pseudo-counts that follow those scores and weigh ``prior`` times as much as all uses together.
+With ``rounds = 0`` the vocabulary's scores stand alone.
+
 1. Tasks count the distinct words of what they read; Spark adds up the counts of the training rows.
 2. Lattices of the distinct words give expected piece counts (as many numbers as the vocabulary has
    pieces, whatever the corpus), for ``rounds`` rounds, and then each word's log probability.
-3. Documents are dealt into blocks of bounded size by hash; a block asks for its distinct words' values
-   and scores its documents with them.
+3. Rows are dealt into blocks of bounded size in the order in which tasks read them, so repeated rows fill many
+   blocks; a block asks for its distinct words' values and scores its documents with them.
 
 A base score, with add-one word probabilities, comes along. Null and empty texts have just the end
-symbol. Each row of ``docs`` gives one row, also when ids repeat.
+symbol. Each row of ``docs`` gives one row, also when ids repeat or are null; rows for which ``training`` is null are not
+learned from and are held out. Words are told apart by 64-bit hashes within a block.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,8 +39,7 @@ from ._tables import stash
 from .sentencepiece_codec import _vocabulary
 
 #: Bytes of text in a block, and distinct words a task holds before it passes their counts on.
-BLOCK_BYTES, HELD = 32 << 20, 1 << 19
-SMOOTHING = 0.1
+BLOCK_BYTES, HELD = 8 << 20, 1 << 19
 
 
 class _Words:
@@ -65,7 +69,7 @@ class _Words:
         return _text.strings(packed, (ends - sizes)[at], ends[at]), pa.array(np.bincount(which, counts, len(at)).astype(np.int64))
 
 
-def word_counts(docs: DataFrame, text: str, training: Column) -> DataFrame:
+def word_counts(dealt: DataFrame) -> DataFrame:
     """word and c (its tokens in training rows) for every distinct word of all rows."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +81,7 @@ def word_counts(docs: DataFrame, text: str, training: Column) -> DataFrame:
         if words.parts:
             yield pa.RecordBatch.from_arrays(list(words.drain()), ["word", "c"])
 
-    found = docs.select(F.col(text).alias("text"), training.alias("t")).mapInArrow(counted, "word string, c long")
+    found = dealt.select("text", (~F.col("held")).alias("t")).mapInArrow(counted, "word string, c long")
     return found.groupBy("word").agg(F.sum("c").alias("c"))
 
 
@@ -92,23 +96,40 @@ def _units(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def score_likelihood(docs: DataFrame, training: Column, id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, rounds: int = 4) -> DataFrame:
+def dealt_rows(docs: DataFrame, training: Column, id: str, text: str) -> DataFrame:
+    """block, id, text and held of each row; a block's rows lie together and hold some ``BLOCK_BYTES`` of text, or one row."""
+    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("id", docs.schema[id].dataType), *T.StructType.fromDDL("text string, held boolean").fields])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = uuid.uuid4().hex, 0
+        for batch in _text.slices(batches, "text"):
+            size = pc.sum(pc.binary_length(batch.column(1))).as_py() or 0
+            if held and held + size > BLOCK_BYTES:
+                block, held = uuid.uuid4().hex, 0
+            held += size + batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([block] * batch.num_rows, pa.string()), *batch.columns], schema.fieldNames())
+
+    held = ~F.coalesce(training, F.lit(False))
+    return stash(docs.select(F.col(id).alias("id"), F.col(text).alias("text"), held.alias("held")).mapInArrow(dealt, schema))
+
+
+def score_likelihood(docs: DataFrame, training: Column, id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, rounds: int = 4, prior: float = 1.0) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10) of every row.
 
-    ``training`` is a deterministic, never null condition that marks the rows to learn from.
+    ``training`` is a condition that marks the rows to learn from.
     """
     spark = docs.sparkSession
     vocabulary = Vocabulary(tokenizer)
     sent, key = spark.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
-    size = docs.agg(F.sum(F.octet_length(text)).alias("bytes"), F.count(F.when(training, 1)).alias("ends")).first()
-    ends, blocks = size["ends"], max(1, -(-(size["bytes"] or 0) // BLOCK_BYTES))
-    words = stash(word_counts(docs, text, training))
+    dealt = dealt_rows(docs, training, id, text)
+    ends = dealt.where("not held").count()
+    words = stash(word_counts(dealt))
     total = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n, v = (total["n"] or 0) + ends, total["v"] + (1 if ends else 0)
 
-    logp = vocabulary.logp.copy()
-    real = vocabulary.real
-    p_end = (ends + SMOOTHING) / (ends + SMOOTHING + 3.0 * (n - ends) + 1)
+    given = np.exp(vocabulary.logp)
+    p_end = (ends + 1) / (n + 2)
+    logp = vocabulary.logp + math.log1p(-p_end)
     for _ in range(rounds):
         start = logp
 
@@ -122,10 +143,10 @@ def score_likelihood(docs: DataFrame, training: Column, id: str = "doc_id", text
         counts = np.zeros(len(logp))
         for r in words.where("c > 0").mapInArrow(uses, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
             counts[r["piece"]] = r["uses"]
-        whole = counts.sum() + SMOOTHING * (len(real) + 1) + ends
-        logp = np.full(len(logp), -np.inf)
-        logp[real] = np.log((counts[real] + SMOOTHING) / whole)
-        p_end = (ends + SMOOTHING) / whole
+        whole = (counts.sum() or 1.0) * (1 + prior)
+        p_end = (ends + 1) / (whole + ends + 1)
+        with np.errstate(divide="ignore"):
+            logp = np.log((counts + given * (whole - counts.sum())) / (whole + ends + 1))
     final = logp
 
     def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,23 +158,22 @@ def score_likelihood(docs: DataFrame, training: Column, id: str = "doc_id", text
 
     values = stash(words.mapInArrow(valued, "word string, c long, p double"))
     schema = T.StructType([docs.schema[id], *T.StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
-    dealt = docs.select(F.pmod(F.xxhash64(id, text), F.lit(blocks)).cast("int").alias("block"), F.col(id).alias("id"), F.col(text).alias("text"), (~training).alias("held")).repartition("block")
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct words of each block; a partition's blocks come one after another."""
+        """The distinct words of each block, or of each part of a block that a task reads."""
         words, now = _Words(), None
 
         def out() -> pa.RecordBatch:
             found, _ = words.drain()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), now, np.int32)), found], ["block", "word"])
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(found), pa.string()), found], ["block", "word"])
 
         for whole in batches:
-            block = whole.column(0).to_numpy()
-            edge = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block))
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
+            block = np.array(whole.column(0).to_pylist())
+            edge = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block)) if len(block) else block
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if block[a] != now and words.parts:
                     yield out()
-                now = int(block[a])
+                now = str(block[a])
                 for batch in _text.slices(iter([whole.slice(a, b - a)]), "text"):
                     words.add(*_text.utf8(batch.column("text")), np.zeros(batch.num_rows))
         if words.parts:
@@ -181,6 +201,6 @@ def score_likelihood(docs: DataFrame, training: Column, id: str = "doc_id", text
             out.append(pa.table([batch.column("id"), batch.column("held"), pa.array(tokens + 1), pa.array(known + (ends > 0)), pa.array(np.full(rows, n)), pa.array(np.bincount(of, base[at], rows) + last[0]), pa.array(np.bincount(of, p[at], rows) + last[1])], schema.fieldNames()))
         return pa.concat_tables(out)
 
-    wanted = dealt.sortWithinPartitions("block").mapInArrow(asked, "block int, word string")
+    wanted = dealt.select("block", "text").mapInArrow(asked, "block string, word string")
     answers = wanted.join(values, "word").select("block", "word", "c", "p")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)
