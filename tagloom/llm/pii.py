@@ -1,14 +1,17 @@
-"""Personal data by weak supervision, in DataFrame functions only.
+"""Personal data and secrets by weak supervision, in DataFrame functions only.
 
 Base spans are the strict patterns' matches that pass their tests (email; ip with parts up to 255;
 card with 14 to 19 digits and a valid Luhn sum; phone with 10 to 15 digits). Looser candidates are
-spelled-out emails, phones without a country code, and card-like numbers that fail. Five labelers
-vote on every candidate: pattern, checksum, gazetteer, context and shape. The votes of the whole table are counted by pattern
-of votes (a table of bounded size), expectation-maximisation estimates prior and reliabilities from
-those counts, and a logistic span classifier is trained on the posteriors. Base spans always stay;
+spelled-out emails, phones without a country code, card-like numbers that fail, and secrets: values given to names such as
+token or password, and long runs of hexadecimal digits. Five labelers
+vote on every candidate: pattern, checksum (for secrets: a mix of characters), gazetteer, context and shape. The votes of the
+whole table are counted by pattern
+of votes (a table of bounded size), expectation-maximisation estimates each kind's prior and reliabilities from
+those counts, with base spans as known cases, and a logistic span classifier is trained on the posteriors. It sees more than the votes: sizes, the variety of
+characters and the share of digits, and weighs all of it for each kind by itself. Base spans always stay;
 a looser candidate stays when the classifier gives it ``threshold`` or more.
 
-Null and empty texts have no spans; repeated rows are judged each alone; offsets are code points.
+Null and empty texts have no spans; repeated rows are judged each alone; offsets are code points; ids are only handed on.
 The patterns are written so that Java matches them in linear time without deep recursion, whatever
 the text: see ``_tamed_dots`` and ``_tamed_gaps``.
 """
@@ -23,7 +26,9 @@ from pyspark.sql import functions as F
 
 from ._tables import stash
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: Kinds with base spans.
+BASE_KINDS = KINDS[:4]
 LOCAL, LABEL = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 EMAIL = rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[{LABEL}]++\.[{LABEL}.]++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -31,12 +36,18 @@ CARD = r"[0-9][0-9\x20-]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SPELLED_EMAIL = r"(?<![A-Za-z0-9])[A-Za-z0-9_%+-]{1,64}(?:\x20at\x20|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]{1,63}(?:\x20dot\x20|\x20?[\[(]dot[\])]\x20?)[A-Za-z]{2,24}(?![A-Za-z0-9])"
 LOCAL_PHONE = r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])"
+_NAME = r"(?i:token|secret|passw(?:or)?d|pwd|credential|api[_-]?key|access[_-]?key|private[_-]?key)s?"
+_GIVEN = rf"{_NAME}[\"']?\x20{{0,3}}[=:]\x20{{0,3}}[\"']?"
+SECRET = rf"(?<=[=:\x20\"'])(?<={_GIVEN})[A-Za-z0-9+/_.=-]{{8,200}}|(?<![A-Za-z0-9])[0-9a-f]{{32,128}}(?![A-Za-z0-9])"
 
 #: Gazetteers and context words of the labelers (values of our choice).
 TOP_LEVEL = ("com", "org", "net", "edu", "gov", "info", "io", "co", "de", "fr", "es", "uk", "eu", "us")
 CONTEXT = r"(?i)\b(?:mail|e-?mail|contact|write|call|phone|tel|telephone|mobile|fax|card|visa|mastercard|iban|account|address|ip|from|reach|correo|telef|kontakt|courriel)\b"
 AGAINST = r"(?i)\b(?:order|invoice|isbn|version|serial|part|ticket|page|build|release|example)\b"
 
+SECRET_CONTEXT = r"(?i)\b(?:auth|authorization|login|bearer|config|export|env|private|credentials?|session|client)\b"
+SECRET_AGAINST = r"(?i)\b(?:commit|sha-?[0-9]*|md5|hash|digest|checksum|etag|revision|blob|tree|build|example)\b\W{0,4}$"
+
 _SPANS = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
 
 
@@ -105,24 +116,37 @@ def _candidate(kind: str, loose: bool) -> Callable[[Column], Column]:
         match, d = s["match"], digits(s["match"])
         number = F.lit(kind in ("card", "phone"))
         valid = F.lit(False) if loose and kind != "card" else _valid(kind, match)
+        glued = s["before"].rlike(r"[\p{L}0-9]$") | s["after"].rlike(r"^[\p{L}0-9]")
+        beside = F.concat(s["before"], F.lit(" "), s["after"])
+        variety = F.size(F.array_distinct(F.split(match, "")))
+        pattern = F.when(F.lit(loose), 0).otherwise(F.when(valid, 1).otherwise(-1))
+        context = _vote(beside.rlike(CONTEXT), s["before"].rlike(AGAINST))
+        checksum = _vote(valid, ~valid) if kind in ("card", "ip") else F.lit(0)
+        shape = _vote(~glued & F.length(match).between(7, 64), glued | (number & d.rlike(r"^([0-9])\1*$")))
         if kind == "email":
-            tld = F.lower(F.regexp_extract(match, r"([A-Za-z0-9-]+)$", 1))
+            tld = F.lower(F.regexp_extract(match, r"([A-Za-z0-9-]+)\W*$", 1))
             gazetteer = _vote(tld.isin(*TOP_LEVEL), F.length(tld) < 2)
+            if loose:
+                pattern = _vote(match.rlike(r"[\[(]|[0-9_.%+-]|\x20at\x20[a-z0-9-]+\x20dot\x20"), F.lit(False))
         elif kind == "ip":
             gazetteer = _vote(F.lit(False), match.rlike(r"^(?:0|10|127|255|192\.168)\."))
         elif kind == "card":
             gazetteer = _vote(d.rlike(r"^(?:4|5[1-5]|3[47]|35|6011|65)"), ~d.rlike(r"^[3-6]"))
-        else:
+        elif kind == "phone":
             gazetteer = _vote(match.rlike(r"^\+(?:1|3[0-9]|4[0-9]|5[0-9]|6[0-6]|7|8[0-9]|9[0-9])"), d.rlike("^0{3}"))
-        beside = F.concat(s["before"], F.lit(" "), s["after"])
-        context = _vote(beside.rlike(CONTEXT), s["before"].rlike(AGAINST))
-        glued = s["before"].rlike(r"[\p{L}0-9]$") | s["after"].rlike(r"^[\p{L}0-9]")
-        shape = _vote(~glued & F.length(match).between(7, 64), glued | (number & d.rlike(r"^([0-9])\1*$")))
-        checksum = _vote(valid, ~valid) if kind in ("card", "ip") else F.lit(0)
+            if loose:
+                gazetteer = _vote(d.rlike("^[2-9][0-9]{2}[2-9]"), d.rlike("^[01]"))
+        else:
+            given = s["before"].rlike(rf"{_GIVEN}$")
+            pattern = _vote(given, ~given)
+            gazetteer = _vote(s["before"].rlike(r"(?i)\b(?:token|secret|passw(?:or)?d|api[_-]?key)"), s["before"].rlike(SECRET_AGAINST))
+            context = _vote(beside.rlike(SECRET_CONTEXT), s["before"].rlike(SECRET_AGAINST))
+            checksum = _vote((variety >= 8) & match.rlike("[0-9]") & match.rlike("[A-Za-z]"), ~match.rlike("[0-9]"))
+            shape = _vote(F.length(match).between(16, 128), F.length(match) < 10)
         return F.struct(
             s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), s["end"].alias("end"), (F.lit(False) if loose else valid).alias("base"),
-            F.when(F.lit(loose), 0).otherwise(F.when(valid, 1).otherwise(-1)).alias("pattern"), checksum.alias("checksum"), gazetteer.alias("gazetteer"), context.alias("context"), shape.alias("shape"),
-            F.least(F.length(match) / 8, F.lit(4)).cast("int").alias("size"),
+            pattern.alias("pattern"), checksum.alias("checksum"), gazetteer.alias("gazetteer"), context.alias("context"), shape.alias("shape"),
+            F.least(F.length(match) / 8, F.lit(4)).cast("int").alias("size"), F.least(variety / 5, F.lit(3)).cast("int").alias("variety"), (F.length(d) * 3 / F.length(match)).cast("int").alias("digits"),
         )
 
     return made
@@ -142,6 +166,7 @@ def candidates(text: Column) -> Column:
     loose = {
         "email": F.when(t.rlike(r"(?:\x20|[\[(])dot(?:\x20|[\])])"), _found(t, SPELLED_EMAIL)).otherwise(none),
         "phone": F.when(t.rlike(r"[0-9][\x20.-][0-9]{4}(?![0-9])"), _found(t, LOCAL_PHONE)).otherwise(none),
+        "secret": F.when(t.rlike(rf"{_GIVEN}[A-Za-z0-9+/_.=-]|[0-9a-f]{{32}}"), _found(t, SECRET)).otherwise(none),
     }
     sure = F.concat(*(F.transform(v, _candidate(k, False)) for k, v in strict.items()))
     sure = F.filter(sure, lambda c: c["base"] | ((c["kind"] == KINDS.index("card")) & (c["size"] >= 1)))
@@ -157,9 +182,11 @@ def candidates(text: Column) -> Column:
 VOTES = ("pattern", "checksum", "gazetteer", "context", "shape")
 
 
-def reliabilities(counts: list[tuple[tuple, float]], rounds: int = 60) -> tuple[float, list, list[float]]:
-    """Prior, each labeler's vote probabilities by class, and each pattern's posterior, from counts of patterns of votes."""
-    posterior = [min(0.95, max(0.05, 0.5 + 0.2 * sum(v))) for v, _ in counts]
+def reliabilities(counts: list[tuple[tuple, float]], known: list[bool] | None = None, rounds: int = 60) -> tuple[float, list, list[float]]:
+    """Prior, each labeler's vote probabilities by class, and each pattern's posterior, from counts of patterns of votes; ``known`` ones are cases for sure."""
+    known = known or [False] * len(counts)
+    sure = 0.999
+    posterior = [sure if k else min(0.95, max(0.05, 0.5 + 0.2 * sum(v))) for (v, _), k in zip(counts, known, strict=True)]
     prior, table = 0.5, []
     for _ in range(rounds):
         total = sum(n for _, n in counts)
@@ -173,9 +200,9 @@ def reliabilities(counts: list[tuple[tuple, float]], rounds: int = 60) -> tuple[
                 by[0, votes[k]] += n * (1 - p)
             table.append({(c, v): x / sum(by[c, u] for u in (-1, 0, 1)) for (c, v), x in by.items()})
         new = []
-        for votes, _ in counts:
+        for (votes, _), k in zip(counts, known, strict=True):
             odds = math.log(prior / (1 - prior)) + sum(math.log(table[k][1, v] / table[k][0, v]) for k, v in enumerate(votes))
-            new.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
+            new.append(sure if k else 1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
         moved = max((abs(a - b) for a, b in zip(new, posterior, strict=True)), default=0)
         posterior = new
         if moved < 1e-6:
@@ -183,8 +210,24 @@ def reliabilities(counts: list[tuple[tuple, float]], rounds: int = 60) -> tuple[
     return prior, table, posterior
 
 
-def _features(kind: int, base: bool, size: int, votes: tuple) -> list[float]:
-    return [1.0, *(float(kind == k) for k in range(4)), float(base), *(float(size == k) for k in range(5)), *map(float, votes[1:])]
+#: What the classifier sees beside a span's kind: (field, values).
+SEEN = (("base", (1,)), ("size", (0, 1, 2, 3, 4)), ("variety", (0, 1, 2, 3)), ("digits", (0, 1, 2, 3)))
+
+
+def kind_posteriors(rows: list[tuple[int, bool, tuple, float]]) -> list[float]:
+    """The posterior of each row (kind, base, votes, count): reliabilities are estimated for each kind; base spans are known cases."""
+    out = [0.0] * len(rows)
+    for kind in {r[0] for r in rows}:
+        own = [k for k, r in enumerate(rows) if r[0] == kind]
+        _, _, posterior = reliabilities([(rows[k][2], rows[k][3]) for k in own], [rows[k][1] for k in own])
+        for k, p in zip(own, posterior, strict=True):
+            out[k] = p
+    return out
+
+
+def _features(kind: int, fields: dict, votes: tuple) -> list[float]:
+    own = [1.0, *(float(fields[f] == v) for f, values in SEEN for v in values), *map(float, votes)]
+    return [x * (kind == k) for k in range(len(KINDS)) for x in own]
 
 
 def fit_classifier(rows: list[tuple[list[float], float, float]], steps: int = 300, rate: float = 0.5, l2: float = 1e-3) -> list[float]:
@@ -203,43 +246,47 @@ def fit_classifier(rows: list[tuple[list[float], float, float]], steps: int = 30
     return w
 
 
-def find_pii(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """One row per row of ``docs``: the id and ``spans``, structs of kind, start, end, base and score, in order."""
-    found = stash(docs.select(F.col(id).alias("id"), candidates(F.col(text)).alias("c")))
-    kinds = ["kind", "base", "size", *VOTES]
-    seen = found.select(F.explode("c").alias("c")).groupBy(*(F.col(f"c.{k}").alias(k) for k in kinds)).count().collect()
-    counts = [(tuple(r[v] for v in VOTES), float(r["count"])) for r in seen]
-    _, _, posterior = reliabilities(counts)
-    w = fit_classifier([(_features(r["kind"], r["base"], r["size"], votes), p, n) for r, (votes, n), p in zip(seen, counts, posterior, strict=True)])
+def _kept(docs: DataFrame, id: str, text: str, threshold: float, *more: Column) -> DataFrame:
+    """id, ``spans`` and ``more`` of every row."""
+    found = stash(docs.select(F.col(id).alias("id"), candidates(F.col(text)).alias("c"), *more))
+    fields = [f for f, _ in SEEN]
+    seen = found.select(F.explode("c").alias("c")).groupBy(*(F.col(f"c.{k}").alias(k) for k in ("kind", *fields, *VOTES))).count().orderBy("kind", *fields, *VOTES).collect()
+    rows = [(r["kind"], r["base"], tuple(r[v] for v in VOTES), float(r["count"])) for r in seen]
+    w = fit_classifier([(_features(kind, r.asDict(), votes), p, n) for r, (kind, _, votes, n), p in zip(seen, rows, kind_posteriors(rows), strict=True)])
+    own = len(w) // len(KINDS)
 
     def score(c: Column) -> Column:
         if not w:
             return F.lit(0.0)
-        x = [F.lit(1.0), *((c["kind"] == k).cast("double") for k in range(4)), c["base"].cast("double"), *((c["size"] == k).cast("double") for k in range(5)), *(c[v].cast("double") for v in VOTES[1:])]
-        z = sum((F.lit(a) * b for a, b in zip(w[1:], x[1:], strict=True)), F.lit(w[0]))
-        return 1 / (1 + F.exp(-z))
+        x = [F.lit(1.0), *((c[f].cast("int") == v).cast("double") for f, values in SEEN for v in values), *(c[v].cast("double") for v in VOTES)]
+        weights = F.array(*(F.array(*map(F.lit, w[k * own : k * own + own])) for k in range(len(KINDS))))
+        return let(F.element_at(weights, c["kind"] + 1), lambda a: 1 / (1 + F.exp(-sum((a[k] * v for k, v in enumerate(x)), F.lit(0.0)))))
 
     named = F.array(*map(F.lit, KINDS))
     scored = F.transform("c", lambda c: F.struct(F.element_at(named, c["kind"] + 1).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), score(c).alias("score")))
-    return found.select(F.col("id").alias(id), F.filter(scored, lambda c: c["base"] | (c["score"] >= threshold)).alias("spans"))
+    return found.select(F.col("id").alias(id), F.filter(scored, lambda c: c["base"] | (c["score"] >= threshold)).alias("spans"), *found.columns[2:])
+
+
+def find_pii(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """One row per row of ``docs``: the id and ``spans``, structs of kind, start, end, base and score, in order."""
+    return _kept(docs, id, text, threshold)
 
 
 def mask_pii(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``id`` and the text with each kept span replaced by its kind in brackets; of overlapping spans the first wins."""
-    spans = F.filter(candidates(F.col(text)), lambda c: c["base"])
-    named = F.array(*map(F.lit, KINDS))
+    """``id`` and the text with each span that ``find_pii`` keeps replaced by its kind in brackets; of overlapping spans the first wins."""
+    found = _kept(docs, id, text, threshold, F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
     def masked(s: Column) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-        step = lambda acc, c: F.when(c["start"] < acc["at"], acc).otherwise(F.struct(c["end"].alias("at"), F.concat(acc["out"], F.substring(s["t"], acc["at"] + 1, c["start"] - acc["at"]), F.lit("["), F.element_at(named, c["kind"] + 1), F.lit("]")).alias("out")))
+        step = lambda acc, c: F.when(c["start"] < acc["at"], acc).otherwise(F.struct(c["end"].alias("at"), F.concat(acc["out"], F.substring(s["t"], acc["at"] + 1, c["start"] - acc["at"]), F.lit("["), c["kind"], F.lit("]")).alias("out")))
         return F.aggregate(s["c"], start, step, lambda acc: F.concat(acc["out"], F.substring(s["t"], acc["at"] + 1, F.length(s["t"]))))
 
-    return docs.select(F.col(id), let(F.struct(spans.alias("c"), F.coalesce(F.col(text), F.lit("")).alias("t")), masked).alias(text))
+    return found.select(F.col(id), let(F.struct(F.col("spans").alias("c"), F.col("_text").alias("t")), masked).alias(text))
 
 
 def pii_digest(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The contract's columns: counts of base spans by kind, their digest, and all spans as text."""
+    """The contract's columns: counts of base spans by kind, their digest, and all spans as text; n_spans counts these."""
     line = lambda spans: F.array_join(F.transform(spans, lambda c: F.concat_ws(":", c["kind"], c["start"].cast("string"), c["end"].cast("string"))), ",")
     base = F.filter("spans", lambda c: c["base"])
     count = lambda kind: F.size(F.filter("spans", lambda c: c["base"] & (c["kind"] == kind))).cast("long")
-    return find_pii(docs, id, text).select(F.col(id), *(count(k).alias(f"n_{k}") for k in KINDS), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+    return find_pii(docs, id, text).select(F.col(id), *(count(k).alias(f"n_{k}") for k in BASE_KINDS), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

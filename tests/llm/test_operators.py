@@ -190,7 +190,7 @@ def test_pii(spark, docs):
         want = brute.pii(text)
         assert rows[k]["base_sha256"] == brute.sha(want)
         assert set(filter(None, want.split(","))) <= set(rows[k]["spans"].split(","))
-        assert [rows[k][f"n_{x}"] for x in pii.KINDS] == [want.count(f"{x}:") for x in pii.KINDS]
+        assert [rows[k][f"n_{x}"] for x in pii.BASE_KINDS] == [want.count(f"{x}:") for x in pii.BASE_KINDS]
     assert "email:83:102" in rows[-3]["spans"]
     plan = pii.pii_digest(both)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -201,6 +201,29 @@ def test_pii_mask(spark):
     assert [r["text"] for r in pii.mask_pii(df).orderBy("doc_id").collect()] == ["é [email] or [ip]!", ""]
 
 
+def test_pii_mask_honours_the_threshold(spark):
+    rows = [(k, f"write to bob{k} at host dot com, or to ann{k}@host.org") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["text"] for r in pii.mask_pii(df).collect()} == {"write to [email], or to [email]"}
+    assert {r["text"] for r in pii.mask_pii(df, threshold=1.1).collect()} == {f"write to bob{k} at host dot com, or to [email]" for k in range(30)}
+
+
+def test_pii_added_spans(spark):
+    """Precision and recall of what the method adds to the base: of each kind some cases, and others that only look like them."""
+    good, bad = [], []
+    for k in range(40):
+        digest = brute.sha(str(k))[:40]
+        good += [(f'api config token = "{digest}" ok', f"secret:20:60"), (f"please mail eve{k} at site{k} dot org today", f"email:12:{len(f'please mail eve{k} at site{k} dot org')}"), (f"call me: (555) 2{k:02d}-4567 now", "phone:9:23")]
+        bad += [f"see commit {digest} of the tree", f"order 4111 1111 1111 {1112 + 10 * k} shipped", f"we met at noon and part 10{k:02d}-22 dot it", f"the key: something{'x' * (k % 5)} else"]
+    base = [(f"mail me{k}@x.org or +1 (988) 555-24{k:02d} or 10.0.0.{k}", None) for k in range(40)]
+    texts_ = [t for t, _ in good] + bad + [t for t, _ in base]
+    rows = {r["doc_id"]: r for r in pii.pii_digest(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")).collect()}
+    found = {(k, x) for k, r in rows.items() if k < len(good) + len(bad) for x in r["spans"].split(",") if x and x not in brute.pii(texts_[k]).split(",")}
+    want = {(k, x) for k, (_, x) in enumerate(good)}
+    assert len(found & want) >= 0.95 * len(want) and len(found & want) >= 0.95 * len(found)
+    assert all(r["n_spans"] == len([x for x in r["spans"].split(",") if x]) for r in rows.values())
+
+
 def test_reliabilities():
     """A labeler that agrees with the others is trusted over one that does not."""
     counts = [((1, 1, 1, 1, -1), 40.0), ((-1, -1, -1, -1, 1), 40.0), ((1, 1, 1, 1, 1), 40.0), ((-1, -1, -1, -1, -1), 40.0)]
@@ -319,6 +342,37 @@ def test_likelihood(docs):
         assert r["score"] < 0 and math.isfinite(r["score"])
 
 
+def test_likelihood_of_documents(spark, vocabulary):
+    """The score adds up, word by word, every way to spell it by pieces of the vocabulary."""
+    rows = [(1, "the cat sat"), (2, "The\tCAT\n日本 thanedble"), (3, None), (4, "the cat sat"), (4, "the cat sat"), (None, "a cat"), (5, "x" * 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = likelihood.score_likelihood(df, F.col("doc_id") % 2 == 0, rounds=0).collect()
+    assert [(r["doc_id"], r["held_out"]) for r in sorted(found, key=lambda r: (r["doc_id"] is None, r["doc_id"]))] == [(1, True), (2, False), (3, True), (4, False), (4, False), (5, True), (None, True)]
+    pieces = {x: vocabulary.logp[k] for k, x in enumerate(vocabulary.bytes_of) if x and k not in set(vocabulary.byte_ids.tolist())}
+    ends, n = 3, sum(len(brute.plain(t)) for _, t in (rows[1], rows[3], rows[4])) + 3
+    p_end = (ends + 1) / (n + 2)
+
+    def spelled(word):
+        b = (" " + word).encode()
+        p = [1.0] + [0.0] * len(b)
+        for i in range(len(b)):
+            if b[i] & 0xC0 == 0x80 and p[i] == 0:
+                continue
+            size = 1
+            while i + size < len(b) and b[i + size] & 0xC0 == 0x80:
+                size += 1
+            if b[i] & 0xC0 != 0x80 and b[i : i + size] not in pieces:
+                p[i + size] += p[i] * math.exp(sum(vocabulary.logp[vocabulary.byte_ids[x]] + math.log1p(-p_end) for x in b[i : i + size]))
+            for m in range(1, vocabulary.longest + 1):
+                if i + m <= len(b) and b[i : i + m] in pieces:
+                    p[i + m] += p[i] * math.exp(pieces[b[i : i + m]] + math.log1p(-p_end))
+        return math.log10(p[-1])
+
+    for r in found:
+        text = dict((k, t) for k, t in rows)[r["doc_id"]]
+        assert r["score"] == pytest.approx(sum(spelled(w) for w in brute.plain(brute.lower(text))) + math.log10(p_end))
+
+
 def test_likelihood_prefers_the_language(given):
     training = F.col("doc_id") % 2 == 0
     shuffled = given.select("doc_id", F.reverse(F.lower("text")).alias("text")).where("doc_id % 2 = 1")
