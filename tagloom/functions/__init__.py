@@ -9,6 +9,7 @@ list extractors give an empty list.
 from __future__ import annotations
 
 from collections.abc import Callable
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
@@ -255,8 +256,6 @@ def xml_validate_schema(column, xsd: str) -> Column:
 
 def xml_libxml2_version(column) -> Column:
     """Text with the version of the parser that is really used here, expat."""
-    from xml.parsers import expat
-
     return F.concat(F.lit("Markup "), column, F.lit(f", {expat.EXPAT_VERSION}"))
 
 
@@ -264,8 +263,22 @@ def xml_oom_selftest() -> Column:
     return F.lit("OK (skipped: no native allocator to test)")
 
 
+def _json_with(text: str | None, options: dict[str, str] | None) -> str | None:
+    """``xml_to_json`` with its options in a map; force_list as names between commas."""
+    options = dict(options or {})
+    force = [x.strip() for x in options.pop("force_list", "").split(",") if x.strip()]
+    unknown = set(options) - {"attr_prefix", "text_key", "namespaces", "xmlns_key", "empty_elements"}
+    if unknown:
+        raise ValueError(f"xml_to_json has no options {sorted(unknown)}")
+    return _rows.to_json(text, force_list=force, **options)
+
+
 def register(spark: SparkSession) -> SparkSession:
-    """All functions for SQL. Extractors take (document, path) or (document, path, namespace mode)."""
+    """The functions for SQL. Extractors take (document, path), and (document, path, namespace mode) under the names with ``_ns``.
+
+    ``html_text`` is ``html_extract_text`` of one argument; ``xml_to_json_with`` takes options as a map. ``to_xml`` and ``xml_validate_schema``
+    need a type or schema when a query is made, and are Column functions only.
+    """
     three = {"xml_extract_text", "xml_extract_elements", "xml_extract_attributes"}
     for name in ROWWISE:
         if name in ("html_text", "html_texts"):
@@ -285,6 +298,17 @@ def register(spark: SparkSession) -> SparkSession:
         "xml_mock_namespaces": "(p ARRAY<STRING>) RETURNS MAP<STRING,STRING> RETURN map_from_arrays(array_distinct(array_compact(coalesce(p, cast(array() as array<string>)))), transform(array_distinct(array_compact(coalesce(p, cast(array() as array<string>)))), x -> concat('urn:mock:', x)))",
         "xml_common_namespaces": "() RETURNS MAP<STRING,STRING> RETURN map(" + ", ".join(f"'{x}'" for pair in _rows.NAMESPACES.items() for x in pair) + ")",
     }
+    known = ", ".join(f"'{x}'" for pair in _rows.NAMESPACES.items() for x in pair)
+    axes = ", ".join(f"'{x}'" for x in sorted(_rows.AXES))
+    prefix = _rows.PREFIX.replace("\\", "\\\\").replace("'", "\\'")
+    native |= {
+        "xml_lookup_namespace": f"(p STRING) RETURNS STRING RETURN try_element_at(map({known}), lower(p))",
+        "xml_detect_prefixes": f"(p STRING) RETURNS ARRAY<STRING> RETURN array_except(array_sort(array_distinct(regexp_extract_all(regexp_replace(p, '\"[^\"]*\"|\\'[^\\']*\\'', ''), '{prefix}', 1))), array({axes}))",
+        "xml_libxml2_version": f"(p STRING) RETURNS STRING RETURN concat('Markup ', p, ', {expat.EXPAT_VERSION}')",
+        "xml_oom_selftest": "() RETURNS STRING RETURN 'OK (skipped: no native allocator to test)'",
+    }
+    spark.udf.register("xml_extract_elements_string", _sql(lambda t, p: None if t is None else "".join(f"{x}\n" for x in _rows.extract_elements(t, p)), "string", 2))
+    spark.udf.register("xml_to_json_with", _sql(_json_with, "string", 2))
     for name, body in native.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
     from ..operators.tables import HTML_TABLES_TYPE, HtmlTables

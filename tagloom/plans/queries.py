@@ -6,15 +6,16 @@ the columns it came from.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as M
 from ..operators.tables import exploded, extract_tables
+from ..session import shared_folder
 from ..sources import readers
 from ..streaming.files import stream_documents
 
@@ -37,8 +38,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tagloom-')}"
-    return f"{top}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def _s(*parts) -> F.Column:
@@ -87,37 +87,38 @@ def html_extract_images(spark, sf_dir):
     return exploded(_t(spark, sf_dir, "part").select("p_partkey", html.alias("html")), M.html_extract_images("html"), "p_partkey").select("p_partkey", "alt", "src", "width", "height")
 
 
-def nation_tables(spark, sf_dir) -> DataFrame:
-    """One HTML table per region, with a header."""
-    row = _s("<tr><td>", F.col("n_nationkey"), "<td>", F.col("n_name"))
+def customer_tables(spark, sf_dir) -> DataFrame:
+    """One HTML table, with a header, for the customers whose numbers are the same but for the last digit."""
+    row = _s("<tr><td>", F.col("c_custkey"), "<td>", F.col("c_name"))
     body = F.concat_ws("", F.array_sort(F.collect_list(row)))
-    return _t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(_s("<table><tr><th>key</th><th>name</th></tr>", body, "</table>").alias("html"))
+    return _t(spark, sf_dir, "customer").groupBy(F.expr("c_custkey div 10").alias("block")).agg(_s("<table><tr><th>key</th><th>name</th></tr>", body, "</table>").alias("html"))
 
 
-_NATION_ROWS = "SELECT n_regionkey, CAST(0 AS BIGINT) AS table_index, row_number() OVER (PARTITION BY n_regionkey ORDER BY CAST(n_nationkey AS VARCHAR) || '<') AS row_index, CAST(n_nationkey AS VARCHAR) AS key, n_name AS name FROM nation"
+_IN_ORDER = "row_number() OVER (PARTITION BY c_custkey // 10 ORDER BY CAST(c_custkey AS VARCHAR) || '<')"
+_TABLE_ROWS = f"SELECT CAST(c_custkey // 10 AS BIGINT) AS block, CAST(0 AS BIGINT) AS table_index, {_IN_ORDER} AS row_index, CAST(c_custkey AS VARCHAR) AS key, c_name AS name FROM customer UNION ALL SELECT DISTINCT CAST(c_custkey // 10 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), 'key', 'name' FROM customer"
 
 
-@query(f"{_NATION_ROWS} UNION ALL SELECT DISTINCT n_regionkey, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 'key', 'name' FROM nation")
+@query(_TABLE_ROWS)
 def html_extract_tables(spark, sf_dir):
-    return extract_tables(nation_tables(spark, sf_dir), "html", "n_regionkey").select("n_regionkey", "table_index", "row_index", F.get("columns", F.lit(0)).alias("key"), F.get("columns", F.lit(1)).alias("name"))
+    return extract_tables(customer_tables(spark, sf_dir), "html", "block").select("block", "table_index", "row_index", F.get("columns", F.lit(0)).alias("key"), F.get("columns", F.lit(1)).alias("name"))
 
 
-@query(f"{_NATION_ROWS} UNION ALL SELECT DISTINCT n_regionkey, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 'key', 'name' FROM nation")
+@query(_TABLE_ROWS)
 def html_extract_tables_lateral(spark, sf_dir):
     M.register(spark)
-    nation_tables(spark, sf_dir).createOrReplaceTempView("nation_tables")
-    return spark.sql("SELECT n_regionkey, table_index, row_index, get(columns, 0) AS key, get(columns, 1) AS name FROM nation_tables, LATERAL html_extract_tables(html)")
+    customer_tables(spark, sf_dir).createOrReplaceTempView("customer_tables")
+    return spark.sql("SELECT block, table_index, row_index, get(columns, 0) AS key, get(columns, 1) AS name FROM customer_tables, LATERAL html_extract_tables(html)")
 
 
-@query("SELECT n_regionkey, 'data' AS row_type, row_number() OVER (PARTITION BY n_regionkey ORDER BY CAST(n_nationkey AS VARCHAR) || '<') AS row_index, CAST(1 AS BIGINT) AS column_index, n_name AS cell_value, CAST(2 AS BIGINT) AS num_columns, count(*) OVER (PARTITION BY n_regionkey) AS num_rows FROM nation")
+@query(f"SELECT CAST(c_custkey // 10 AS BIGINT) AS block, 'data' AS row_type, {_IN_ORDER} AS row_index, CAST(1 AS BIGINT) AS column_index, c_name AS cell_value, CAST(2 AS BIGINT) AS num_columns, count(*) OVER (PARTITION BY c_custkey // 10) AS num_rows FROM customer")
 def html_extract_table_rows(spark, sf_dir):
-    cells = exploded(nation_tables(spark, sf_dir), M.html_extract_table_rows("html"), "n_regionkey")
-    return cells.where("row_type = 'data' and column_index = 1").select("n_regionkey", "row_type", "row_index", "column_index", "cell_value", "num_columns", "num_rows")
+    cells = exploded(customer_tables(spark, sf_dir), M.html_extract_table_rows("html"), "block")
+    return cells.where("row_type = 'data' and column_index = 1").select("block", "row_type", "row_index", "column_index", "cell_value", "num_columns", "num_rows")
 
 
-@query("SELECT n_regionkey, CAST(2 AS BIGINT) AS num_columns, count(*) AS num_rows, 'key,name' AS headers FROM nation GROUP BY n_regionkey")
+@query("SELECT CAST(c_custkey // 10 AS BIGINT) AS block, CAST(2 AS BIGINT) AS num_columns, count(*) AS num_rows, 'key,name' AS headers FROM customer GROUP BY 1")
 def html_extract_tables_json(spark, sf_dir):
-    return exploded(nation_tables(spark, sf_dir), M.html_extract_tables_json("html"), "n_regionkey").select("n_regionkey", "num_columns", "num_rows", F.array_join("headers", ",").alias("headers"))
+    return exploded(customer_tables(spark, sf_dir), M.html_extract_tables_json("html"), "block").select("block", "num_columns", "num_rows", F.array_join("headers", ",").alias("headers"))
 
 
 @query("""SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(13), '&#13;')) AS digest FROM pages""")
@@ -284,20 +285,52 @@ def read_xml_join_aggregate(spark, sf_dir):
     return c.join(n, "nation").groupBy(F.col("n_name").alias("nation")).agg(F.count("*").alias("customers"), F.sum(F.round(F.col("balance") * 100).cast("long")).alias("cents"))
 
 
-@query("SELECT count(*) AS files_valid FROM (SELECT DISTINCT n_regionkey FROM nation)")
-def read_xml_objects(spark, sf_dir):
+@query("SELECT c_custkey AS key, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
+def read_xml_list(spark, sf_dir):
+    """A list of paths, read as one."""
+    path = _folder(spark)
+    readers.write_xml(_t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("_key"), F.col("s_name").alias("name")), path, "suppliers", "customer")
+    df = readers.read_xml(spark, [customer_files(spark, sf_dir), path], record_element="customer")
+    return df.select(F.col("key").cast("int").alias("key"), "name")
+
+
+@query("SELECT o_orderkey AS key, o_orderstatus AS status, CAST(o_custkey AS INT) AS customer, CAST(o_custkey % 7 AS VARCHAR) AS unit, o_custkey % 2 = 1 AS odd FROM orders")
+def read_xml_nested(spark, sf_dir):
+    """Children with attributes: structures whose attributes have their own names and whose values have narrow types."""
+    path = _folder(spark)
+    c = F.col
+    doc = _s('<o id="', c("o_orderkey"), '"><s>', c("o_orderstatus"), '</s><c unit="', c("o_custkey") % 7, '">', c("o_custkey"), '</c><f x="1">', F.when(c("o_custkey") % 2 == 1, "yes").otherwise("no"), "</f></o>")
+
+    def rooted(batches):
+        yield pa.RecordBatch.from_pydict({"value": ["<r>"]})
+        yield from batches
+        yield pa.RecordBatch.from_pydict({"value": ["</r>"]})
+
+    _t(spark, sf_dir, "orders").select(doc.alias("value")).mapInArrow(rooted, "value string").write.text(path)
+    df = readers.read_xml(spark, path, record_element="/r/o")
+    return df.select(c("id").cast(_t(spark, sf_dir, "orders").schema["o_orderkey"].dataType).alias("key"), c("s").alias("status"), c("c")["#text"].alias("customer"), c("c")["unit"].alias("unit"), c("f")["#text"].alias("odd"))
+
+
+def block_files(spark, sf_dir, head: str, row: F.Column, foot: str) -> str:
+    """Files of a hundred customers each."""
     path = _folder(spark)
-    docs = _t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(_s("<r>", F.concat_ws("", F.collect_list(_s("<n>", F.col("n_name"), "</n>"))), "</r>").alias("value"))
-    docs.write.partitionBy("n_regionkey").text(path)
+    block = F.expr("c_custkey div 100").alias("block")
+    _t(spark, sf_dir, "customer").groupBy(block).agg(_s(head, F.concat_ws("", F.collect_list(row)), foot).alias("value")).write.partitionBy("block").text(path)
+    return path
+
+
+@query("SELECT count(DISTINCT c_custkey // 100) AS files_valid FROM customer")
+def read_xml_objects(spark, sf_dir):
+    path = block_files(spark, sf_dir, "<r>", _s("<n>", F.col("c_name"), "</n>"), "</r>")
     return readers.read_xml_objects(spark, f"{path}/*/*.txt").where(M.xml_valid("xml")).agg(F.count("*").alias("files_valid"))
 
 
-@query("SELECT n_name AS name, CAST(n_nationkey AS VARCHAR) AS id FROM nation")
+@query("SELECT c_name AS name, CAST(c_custkey AS VARCHAR) AS id, CAST(c_custkey // 100 AS VARCHAR) AS block FROM customer")
 def read_html(spark, sf_dir):
-    path = _folder(spark)
-    docs = _t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(_s("<ul>", F.concat_ws("", F.collect_list(_s('<li id="', F.col("n_nationkey"), '"><b>', F.col("n_name"), "</b>"))), "</ul>").alias("value"))
-    docs.write.partitionBy("n_regionkey").text(path)
-    return readers.read_html(spark, f"{path}/*/*.txt", record_element="li").select(F.col("b").alias("name"), "id")
+    """Records of HTML files, each with its file's name."""
+    path = block_files(spark, sf_dir, "<ul>", _s('<li id="', F.col("c_custkey"), '"><b>', F.col("c_name"), "</b>"), "</ul>")
+    df = readers.read_html(spark, f"{path}/*/*.txt", record_element="li", filename=True)
+    return df.select(F.col("b").alias("name"), "id", F.regexp_extract("filename", "block=([0-9]+)", 1).alias("block"))
 
 
 @query("SELECT o_orderstatus AS status, count(*) AS n, count(DISTINCT o_custkey) AS customers, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS urgent, min(o_orderkey) AS first_key FROM orders GROUP BY 1 HAVING count(*) > 10")
@@ -324,23 +357,32 @@ def relational_union_filter(spark, sf_dir):
     return t.where("status = 'O'").select(F.col("o_orderkey").alias("key"), F.lit("O").alias("kind")).unionByName(t.where("priority = '1-URGENT'").select(F.col("o_orderkey").alias("key"), F.lit("urgent").alias("kind")))
 
 
-@query("SELECT p.n_regionkey, r.r_name, p.n_name FROM nation p JOIN region r ON r.r_regionkey = p.n_regionkey")
+@query("SELECT CAST(c_custkey // 10 AS BIGINT) AS block, n_name AS nation, c_name AS name FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def sql_functions(spark, sf_dir):
-    """The SQL surface: a common table expression over a registered function, a lateral view and a join."""
+    """The SQL surface: a common table expression over a registered function, a lateral view and joins."""
+    M.register(spark)
+    customer_tables(spark, sf_dir).createOrReplaceTempView("customer_tables")
+    for name in ("customer", "nation"):
+        _t(spark, sf_dir, name).createOrReplaceTempView(f"{name}_view")
+    return spark.sql("""WITH cells AS (SELECT block, inline(html_extract_table_rows(html)) FROM customer_tables)
+        SELECT t.block, n.n_name AS nation, c.c_name AS name FROM cells t JOIN customer_view c ON c.c_custkey = CAST(t.cell_value AS BIGINT) JOIN nation_view n ON n.n_nationkey = c.c_nationkey
+        WHERE t.row_type = 'data' AND t.column_index = 0""")
+
+
+@query("""SELECT o_orderkey, '<status>' || o_orderstatus || '</status>' || chr(10) AS lines, 'http://www.w3.org/1999/xlink' AS uri, 'a,b' AS prefixes, '{"order":{"status":{"v":"' || o_orderstatus || '"}}}' AS json FROM orders""")
+def sql_more_functions(spark, sf_dir):
+    """Functions of several arguments and those without a document, in SQL."""
     M.register(spark)
-    nation_tables(spark, sf_dir).createOrReplaceTempView("nation_tables")
-    _t(spark, sf_dir, "region").createOrReplaceTempView("region_view")
-    return spark.sql("""WITH cells AS (SELECT n_regionkey, inline(html_extract_table_rows(html)) FROM nation_tables)
-        SELECT c.n_regionkey, r.r_name, c.cell_value AS n_name FROM cells c JOIN region_view r ON r.r_regionkey = c.n_regionkey
-        WHERE c.row_type = 'data' AND c.column_index = 1""")
+    doc = _s("<order><status>", F.col("o_orderstatus"), "</status></order>")
+    _t(spark, sf_dir, "orders").select("o_orderkey", doc.alias("doc")).createOrReplaceTempView("order_documents")
+    return spark.sql("""SELECT o_orderkey, xml_extract_elements_string(doc, '//status') AS lines, xml_lookup_namespace('XLINK') AS uri,
+        array_join(xml_detect_prefixes('//b:x[a:y="c:z"]'), ',') AS prefixes, xml_to_json_with(doc, map('text_key', 'v')) AS json FROM order_documents""")
 
 
 @query("SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1")
 def stream_files(spark, sf_dir):
     """A file stream: documents arrive, are taken apart and written by a sink; the table of results is returned."""
-    source, sink, state = _folder(spark), _folder(spark), _folder(spark)
-    docs = _t(spark, sf_dir, "customer").select(_s("<c nation=\"", F.col("c_nationkey"), "\"/>").alias("value"))
-    docs.groupBy(F.spark_partition_id()).agg(_s("<d>", F.concat_ws("", F.collect_list("value")), "</d>").alias("value")).select("value").write.text(source)
-    found = stream_documents(spark, source).select(F.explode(M.xml_extract_text("document", "//c/@nation")).alias("nation")).select(F.col("nation").cast("int").alias("nation"))
+    source, sink, state = block_files(spark, sf_dir, "<d>", _s('<c nation="', F.col("c_nationkey"), '"/>'), "</d>"), _folder(spark), _folder(spark)
+    found = stream_documents(spark, f"{source}/*").select(F.explode(M.xml_extract_text("document", "//c/@nation")).alias("nation")).select(F.col("nation").cast("int").alias("nation"))
     found.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("nation int").parquet(sink).groupBy("nation").agg(F.count("*").alias("n"))

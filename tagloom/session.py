@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 CONF = {
@@ -22,3 +26,17 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     for k, v in (CONF | conf).items():
         builder = builder.config(k, v)
     return register(builder.getOrCreate())
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that driver and executors share.
+
+    It is what ``spark.checkpoint.dir`` names; without it, a new folder in local mode, where there is one machine, and the
+    warehouse on a cluster.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        local = re.match(r"local(\[[^,]*(,[^,]*)?\])?$", spark.sparkContext.master)
+        folder = f"file://{tempfile.mkdtemp(prefix='tagloom-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/tagloom-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder

@@ -23,6 +23,7 @@ from .. import functions as M
 from ..functions import _rows
 from ..functions._dom import serialize
 from ..functions._xpath import select
+from ..session import shared_folder
 
 #: Presets of datetime_format: date and timestamp patterns.
 DATETIME = {
@@ -134,7 +135,17 @@ def record_tags(head: str, root_element: str = "", max_depth: int = 10) -> list[
 
 
 def all_tags(spark: SparkSession, paths: list[str], head: str, o: Options) -> list[str]:
-    """Tags of the records in all files: children of the roots, or of ``root_element`` where that is found; the roots at depth 0.
+    """Tags of the records in all files: children of the roots, or of ``root_element`` where that is found; the roots at depth 0."""
+    found = sorted(x.split(" ", 1) for x in _parsed_files(spark, paths, o, lambda: _Records(o.root_element)))
+    of = lambda kind: [t for k, t in found if k == kind]
+    tags = of("root") if o.max_depth == 0 else of("inside") or of("child") or of("root")
+    # those of the first file's beginning in their order
+    first = record_tags(head, o.root_element, o.max_depth)
+    return [t for t in first if t in tags] + [t for t in tags if t not in first]
+
+
+def _parsed_files(spark: SparkSession, paths: list[str], o: Options, handler) -> list[str]:
+    """What handlers (a new one for each file) find in all files, distinct.
 
     Each file is one stream of pieces that end in ">", parsed in order; nothing but names is kept.
     """
@@ -142,23 +153,7 @@ def all_tags(spark: SparkSession, paths: list[str], head: str, o: Options) -> li
     pieces = spark.read.option("lineSep", ">").text(paths).select(m["file_path"].alias("path"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), "value")
 
     def told(batches):
-        path, parser, found, depth, inside = None, None, set(), 0, []
-
-        def start(name, _):
-            nonlocal depth
-            if depth < 2:
-                found.add(("child" if depth else "root", name))
-            if inside and inside[-1] == depth:
-                found.add(("inside", name))
-            depth += 1
-            if o.root_element and name == o.root_element:
-                inside.append(depth)
-
-        def end(_):
-            nonlocal depth
-            if inside and inside[-1] == depth:
-                inside.pop()
-            depth -= 1
+        path, parser, found, now = None, None, set(), None
 
         def feed(text, last=False):
             nonlocal parser
@@ -174,21 +169,63 @@ def all_tags(spark: SparkSession, paths: list[str], head: str, o: Options) -> li
             for p, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if p != path:
                     feed("", True)
-                    path, parser, depth, inside = p, expat.ParserCreate(), 0, []
-                    parser.StartElementHandler, parser.EndElementHandler = start, end
+                    found |= now.found if now else set()
+                    path, parser, now = p, expat.ParserCreate(), handler()
+                    parser.StartElementHandler, parser.EndElementHandler = now.start, now.end
                     value = value.removeprefix("\ufeff").lstrip()
                 # the last piece has no ">": only white space may stand there
                 feed(value if not value.strip() else value + ">")
         feed("", True)
-        yield pa.RecordBatch.from_pydict({"kind": [k for k, _ in found], "tag": [t for _, t in found]}, pa.schema([("kind", pa.string()), ("tag", pa.string())]))
+        found |= now.found if now else set()
+        yield pa.RecordBatch.from_pydict({"found": sorted(found)}, pa.schema([("found", pa.string())]))
 
     ordered = pieces.repartition("path").sortWithinPartitions("path", "block", "at").select("path", "value")
-    found = sorted((x["kind"], x["tag"]) for x in ordered.mapInArrow(told, "kind string, tag string").distinct().collect())
-    of = lambda kind: [t for k, t in found if k == kind]
-    tags = of("root") if o.max_depth == 0 else of("inside") or of("child") or of("root")
-    # those of the first file's beginning in their order
-    first = record_tags(head, o.root_element, o.max_depth)
-    return [t for t in first if t in tags] + [t for t in tags if t not in first]
+    return [r["found"] for r in ordered.mapInArrow(told, "found string").distinct().collect()]
+
+
+def _only_there(spark: SparkSession, paths: list[str], o: Options) -> None:
+    """Elements are read by name; those of the record's name must all stand at the end of the path asked for."""
+    at = [p.split("/") for p in _parsed_files(spark, paths, o, lambda: _Places(o.path[-1]))]
+    want = o.path[1:] if o.path[0] == "" else o.path
+    here = [p for p in at if (p == want if o.path[0] == "" else p[-len(want) :] == want)]
+    if len(here) < len(at):
+        raise ValueError(f"{o.record_element}: elements of this name also stand at {sorted('/' + '/'.join(p) for p in at if p not in here)[:5]}; read them by name and filter rows")
+
+
+class _Places:
+    """Where in a file elements of one name stand."""
+
+    def __init__(self, name: str):
+        self.name, self.stack, self.found = name, [], set()
+
+    def start(self, name, _):
+        self.stack.append(name)
+        if name == self.name:
+            self.found.add("/".join(self.stack))
+
+    def end(self, _):
+        self.stack.pop()
+
+
+class _Records:
+    """Tags of the roots, of their children and of children of ``root_element``, each after its kind."""
+
+    def __init__(self, root_element: str):
+        self.root_element, self.depth, self.inside, self.found = root_element, 0, [], set()
+
+    def start(self, name, _):
+        if self.depth < 2:
+            self.found.add(f"{'child' if self.depth else 'root'} {name}")
+        if self.inside and self.inside[-1] == self.depth:
+            self.found.add(f"inside {name}")
+        self.depth += 1
+        if self.root_element and name == self.root_element:
+            self.inside.append(self.depth)
+
+    def end(self, _):
+        if self.inside and self.inside[-1] == self.depth:
+            self.inside.pop()
+        self.depth -= 1
 
 
 def first_seen(head: str, tag: str) -> list[str]:
@@ -203,6 +240,14 @@ def first_seen(head: str, tag: str) -> list[str]:
     return [n.rpartition(":")[2] for n in order if not n.startswith("xmlns")]
 
 
+def _record_path(record_element: str) -> list[str]:
+    """The names of a record's path, after "" if it starts at the root: what is taken are names, //name, and paths of names."""
+    steps = record_element.removeprefix("//").split("/")
+    if not re.fullmatch(r"(//?)?[^\s/\[\]()@*=]+(/[^\s/\[\]()@*=]+)*", record_element) or any("::" in x or x.startswith(".") for x in steps):
+        raise ValueError(f"record_element takes a name, //name or a path of names, not {record_element!r}; filter rows for more")
+    return steps
+
+
 class Options:
     """The named parameters of the readers, checked."""
 
@@ -213,10 +258,22 @@ class Options:
             raise ValueError("columns and all_varchar exclude each other")
         if attr_mode not in ("columns", "prefixed", "discard", "map"):
             raise ValueError("attr_mode must be columns, prefixed or discard")
+        if namespaces not in ("strip", "keep", "expand"):
+            raise ValueError("namespaces must be strip, keep or expand")
         self.__dict__.update({k: v for k, v in locals().items() if k != "self"})
         self.max_depth = 20 if max_depth < 0 else min(max_depth, 20)
         self.force_list = [force_list] if isinstance(force_list, str) and force_list else list(force_list or ())
         self.nullstr = [nullstr] if isinstance(nullstr, str) else list(nullstr)
+        self.path = _record_path(record_element) if record_element else []
+        formats = [datetime_format] if isinstance(datetime_format, str) else list(datetime_format)
+        known = [DATETIME.get(f, (None, f) if re.search("[Hh]", f) else (f, None)) for f in formats if f not in ("auto", "none")]
+        self.dates, self.stamps = [d for d, _ in known if d], [t for _, t in known if t]
+        self.auto = "auto" in formats
+
+
+OPTIONS = tuple(Options.__init__.__code__.co_varnames[1 : Options.__init__.__code__.co_argcount])
+#: The child of a record in which the name of its HTML file travels.
+_FILE = "file-of-record"
 
 
 def _schema(columns) -> T.StructType:
@@ -227,80 +284,134 @@ def _schema(columns) -> T.StructType:
     return T.StructType.fromDDL(columns)
 
 
+#: Before attributes' names as Spark reads them: no element's name starts so.
+ATTRIBUTE = "@"
+
+
 def _source(spark: SparkSession, tag: str, o: Options):
-    reader = spark.read.format("xml").option("rowTag", tag).option("mode", "DROPMALFORMED" if o.ignore_errors else "PERMISSIVE").option("valueTag", o.text_key).option("attributePrefix", "_").option("ignoreSurroundingSpaces", "true").option("ignoreNamespace", str(o.namespaces != "keep").lower())
+    reader = spark.read.format("xml").option("rowTag", tag).option("mode", "DROPMALFORMED" if o.ignore_errors else "PERMISSIVE").option("valueTag", o.text_key).option("attributePrefix", ATTRIBUTE).option("ignoreSurroundingSpaces", "true").option("ignoreNamespace", str(o.namespaces != "keep").lower())
     if o.attr_mode == "discard":
         reader = reader.option("excludeAttribute", "true")
     if o.all_varchar:
         reader = reader.option("inferSchema", "false")
     if len(o.nullstr) == 1:
         reader = reader.option("nullValue", o.nullstr[0])
-    date, stamp = DATETIME.get(o.datetime_format, (o.datetime_format, o.datetime_format) if o.datetime_format not in ("auto", "none") else (None, None))
-    if date:
-        reader = reader.option("dateFormat", date)
-    if stamp:
-        reader = reader.option("timestampFormat", stamp)
+    if len(o.dates) == 1:
+        reader = reader.option("dateFormat", o.dates[0])
+    if len(o.stamps) == 1:
+        reader = reader.option("timestampFormat", o.stamps[0])
     return reader
 
 
-def _opaque(kind: T.DataType, left: int, force: list[str], name: str = "") -> T.DataType:
-    """Structures below ``left`` levels as the text of their XML; forced fields as lists."""
+def _opaque(kind: T.DataType, left: int, o: Options, name: str = "", force: tuple = ()) -> T.DataType:
+    """Structures below ``left`` levels as the text of their XML; forced fields as lists; attributes as text, and so are times, which are told from timestamps later."""
+    if name.startswith(ATTRIBUTE):
+        return T.StringType()
     if isinstance(kind, T.ArrayType):
-        return T.ArrayType(_opaque(kind.elementType, left, []))
+        return T.ArrayType(_opaque(kind.elementType, left, o))
     if isinstance(kind, T.StructType):
-        kind = T.StringType() if left <= 0 else T.StructType([T.StructField(f.name, _opaque(f.dataType, left - 1, force, f.name)) for f in kind.fields])
+        kind = T.StringType() if left <= 0 else T.StructType([T.StructField(f.name, _opaque(f.dataType, left - 1, o, f.name, force)) for f in kind.fields])
+    elif isinstance(kind, T.TimestampType) and not o.stamps:
+        kind = T.StringType()
     return T.ArrayType(kind) if name in force else kind
 
 
-def _flags(df: DataFrame, fields: list[T.StructField]) -> dict[str, str]:
-    """One pass over the values tells which long columns fit an int, and which text columns are all yes or no."""
-    wide = [f.name for f in fields if isinstance(f.dataType, T.LongType)]
-    text = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
-    if not wide and not text:
+def _leaves(kind: T.DataType, steps: tuple = ()):
+    """Field names (None within a list) and type of each value below ``kind`` but attributes."""
+    if isinstance(kind, T.StructType):
+        for f in kind.fields:
+            if not f.name.startswith(ATTRIBUTE):
+                yield from _leaves(f.dataType, (*steps, f.name))
+    elif isinstance(kind, T.ArrayType):
+        yield from _leaves(kind.elementType, (*steps, None))
+    else:
+        yield steps, kind
+
+
+def _every(c: Column, steps: tuple, test) -> Column:
+    """Whether all values at ``steps`` below ``c`` pass ``test``; missing ones do."""
+    if not steps:
+        return F.coalesce(test(c), F.lit(True))
+    if steps[0] is None:
+        return F.coalesce(F.forall(c, lambda x: _every(x, steps[1:], test)), F.lit(True))
+    return _every(c.getField(steps[0]), steps[1:], test)
+
+
+def _parsed(c: Column, formats: list[str]) -> Column:
+    return F.coalesce(*(F.try_to_timestamp(c, F.lit(f)) for f in formats))
+
+
+def _narrowed(df: DataFrame, schema: T.StructType, o: Options) -> dict[tuple, str]:
+    """One pass over the values tells which long ones fit an int, and which texts are all yes or no, timestamps, or dates and times of several formats."""
+    tests = []
+    filled = lambda c: F.nullif(c, F.lit(""))
+    for steps, kind in _leaves(schema):
+        if isinstance(kind, T.LongType):
+            tests.append((steps, "int", lambda c: c.between(-(1 << 31), (1 << 31) - 1)))
+        if isinstance(kind, T.StringType):
+            tests.append((steps, "boolean", lambda c: F.lower(c).isin("true", "false", "yes", "no", "on", "off")))
+            if len(o.dates) > 1:
+                tests.append((steps, "date", lambda c: _parsed(filled(c), o.dates).isNotNull() | filled(c).isNull()))
+            if len(o.stamps) > 1:
+                tests.append((steps, "stamp", lambda c: _parsed(filled(c), o.stamps).isNotNull() | filled(c).isNull()))
+            if o.auto and not o.stamps:
+                tests.append((steps, "timestamp", lambda c: c.try_cast("timestamp").isNotNull() & c.rlike("[0-9]{4}-[0-9]")))
+    if not tests:
         return {}
-    fits = [F.bool_and(F.col(f"`{c}`").between(-(1 << 31), (1 << 31) - 1)).alias(f"w{k}") for k, c in enumerate(wide)]
-    says = [F.bool_and(F.lower(f"`{c}`").isin("true", "false", "yes", "no", "on", "off")).alias(f"t{k}") for k, c in enumerate(text)]
-    row = df.agg(*fits, *says).first()
-    return {c: "int" for k, c in enumerate(wide) if row[f"w{k}"]} | {c: "boolean" for k, c in enumerate(text) if row[f"t{k}"]}
+    seen = lambda steps: F.count(F.when(~_every(F.col(f"`{steps[0]}`"), steps[1:], lambda c: filled(c.cast("string")).isNull()), 1)) > 0
+    row = df.agg(*((F.bool_and(_every(F.col(f"`{s[0]}`"), s[1:], test)) & seen(s)).alias(f"t{k}") for k, (s, _, test) in enumerate(tests))).first()
+    return {s: kind for k, (s, kind, _) in reversed(list(enumerate(tests))) if row[f"t{k}"]}
 
 
-def _column(name: str, kind: str | None) -> Column:
-    c = F.col(f"`{name}`")
-    return c.cast("int") if kind == "int" else F.lower(c).isin("true", "yes", "on") if kind == "boolean" else c
+def _shaped(c: Column, kind: T.DataType, steps: tuple, o: Options, narrow: dict[tuple, str]) -> Column:
+    """The value with its own names and types, all the way down."""
+    if isinstance(kind, T.StructType):
+        names = {}
+        for f in kind.fields:  # an attribute and a child of one name: the first wins
+            names.setdefault(_renamed(f.name, o).lower(), f)
+        return F.when(c.isNotNull(), F.struct(*(_shaped(c.getField(f.name), f.dataType, (*steps, f.name), o, narrow).alias(_renamed(f.name, o)) for f in names.values())))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _shaped(x, kind.elementType, (*steps, None), o, narrow))
+    to = narrow.get(steps)
+    if to == "boolean":
+        return F.lower(c).isin("true", "yes", "on")
+    if to in ("date", "stamp"):
+        return _parsed(F.nullif(c, F.lit("")), o.dates if to == "date" else o.stamps).cast("date" if to == "date" else "timestamp")
+    return c.cast(to) if to else c
 
 
 def _renamed(name: str, o: Options) -> str:
-    return (o.attr_prefix if o.attr_mode == "prefixed" else "") + name[1:] if name.startswith("_") else name
+    return (o.attr_prefix if o.attr_mode == "prefixed" else "") + name[1:] if name.startswith(ATTRIBUTE) else name
 
 
 def _records(spark: SparkSession, paths: list[str], tag: str, head: str, o: Options) -> DataFrame:
-    name = tag.removeprefix("//")
-    if o.columns is not None:
+    more = ["_metadata"] if o.filename else []
+    if o.columns is not None:  # a column is a child, or else an attribute; nothing has to be inferred
         wanted = _schema(o.columns)
-        have = _source(spark, name, o).load(paths).columns
-        fields = [T.StructField(f.name if f.name in have or f"_{f.name}" not in have else f"_{f.name}", f.dataType) for f in wanted.fields]
-        df = _source(spark, name, o).schema(T.StructType(fields)).load(paths)
-        return df.select(*(["_metadata"] if o.filename else []), *(F.col(f"`{a.name}`").alias(b.name) for a, b in zip(fields, wanted.fields, strict=True)))
-    inferred = _source(spark, name, o).load(paths).schema
-    fields = [T.StructField(f.name, T.StringType() if f.name.startswith("_") and f.name != "_corrupt_record" else _opaque(f.dataType, o.max_depth - 2, o.force_list, f.name)) for f in inferred.fields]
-    df = _source(spark, name, o).schema(T.StructType(fields)).load(paths)
-    narrow = _flags(df, [f for f in fields if not f.name.startswith("_")]) if not o.all_varchar else {}
-    order = {n: k for k, n in enumerate(first_seen(head, name))}
-    rank = lambda f: order.get(f.name.removeprefix("_"), len(order))
+        either = [T.StructField(x, f.dataType) for f in wanted.fields for x in (f.name, f"{ATTRIBUTE}{f.name}")]
+        df = _source(spark, tag, o).schema(T.StructType(either)).load(paths)
+        return df.select(*more, *(F.coalesce(f"`{f.name}`", f"`{ATTRIBUTE}{f.name}`").alias(f.name) for f in wanted.fields))
+    inferred = _source(spark, tag, o).load(paths).schema
+    fields = [T.StructField(f.name, _opaque(f.dataType, o.max_depth - 2, o, f.name, tuple(o.force_list))) for f in inferred.fields]
+    df = _source(spark, tag, o).schema(T.StructType(fields)).load(paths)
+    narrow = _narrowed(df, T.StructType([f for f in fields if f.name != "_corrupt_record"]), o) if not o.all_varchar else {}
+    order = {n: k for k, n in enumerate(first_seen(head, tag))}
+    rank = lambda f: order.get(f.name.removeprefix(ATTRIBUTE), len(order))
     chosen, seen = [], set()
     for f in sorted(fields, key=rank):
-        out = _renamed(f.name, o) if f.name != "_corrupt_record" else f.name
+        out = _renamed(f.name, o)
         if out.lower() in seen:  # an attribute and a child of one name: the first wins
             continue
         seen.add(out.lower())
-        c = _column(f.name, narrow.get(f.name))
-        if isinstance(f.dataType, T.StringType):
-            nulls = [*o.nullstr, ""]
-            c = F.when(~c.cast("string").isin(*nulls), c)
-            if not o.preserve_whitespace and f.name not in narrow:
+        c = _shaped(F.col(f"`{f.name}`"), f.dataType, (f.name,), o, narrow)
+        if isinstance(f.dataType, T.StringType) and (f.name,) not in narrow:
+            c = F.when(~c.isin(*o.nullstr, ""), c)
+            if not o.preserve_whitespace:
                 c = F.regexp_replace(F.trim(c), r"\s+", " ")
+        elif o.nullstr and not isinstance(f.dataType, (T.StructType, T.ArrayType)):
+            c = F.when(~F.col(f"`{f.name}`").cast("string").isin(*o.nullstr), c)
         chosen.append(c.alias(out))
-    return df.select(*(["_metadata"] if o.filename else []), *chosen)
+    return df.select(*more, *chosen)
 
 
 def read_xml(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
@@ -312,7 +423,9 @@ def read_xml(spark: SparkSession, paths: str | list[str], **options) -> DataFram
     """
     o, paths = Options(**options), _paths(paths)
     head = _head(spark, paths[0])
-    tags = [o.record_element.removeprefix("//")] if o.record_element else all_tags(spark, paths, head, o)
+    tags = o.path[-1:] or all_tags(spark, paths, head, o)
+    if len(o.path) > 1:
+        _only_there(spark, paths, o)
     if not tags:
         raise ValueError(f"no element found in {paths[0]}")
     df = _records(spark, paths, tags[0], head, o)
@@ -325,11 +438,7 @@ def read_xml(spark: SparkSession, paths: str | list[str], **options) -> DataFram
 
 def _stashed(df: DataFrame) -> str:
     """Strings as text files in the shared folder, for a source that reads files."""
-    import tempfile
-
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tagloom-')}"
-    path = f"{folder}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.text(path)
     return path
 
@@ -367,7 +476,13 @@ def read_html(spark: SparkSession, paths: str | list[str], **options) -> DataFra
 
 def _html_rows(pages: DataFrame, o: Options) -> DataFrame:
     spark = pages.sparkSession
-    records = pages.select(F.explode(html_records(F.col("html"), o.record_element, o.ignore_errors)).alias("value"))
+    records = pages.select(*(c for c in pages.columns if c != "html"), F.explode(html_records(F.col("html"), o.record_element, o.ignore_errors)).alias("value"))
+    if o.filename:
+        # the file's name goes along as one more child of each record
+        ends = F.regexp_extract("value", "</[^<>]*>$", 0)
+        begins = F.when(ends == "", F.regexp_replace("value", "/>$", ">")).otherwise(F.expr("left(value, length(value) - length(regexp_extract(value, '</[^<>]*>$', 0)))"))
+        ends = F.when(ends == "", F.concat(F.lit("</"), F.regexp_extract("value", r"^<([^\s/>]+)", 1), F.lit(">"))).otherwise(ends)
+        records = records.select(F.concat(begins, F.lit(f"<{_FILE}>"), M.html_escape(F.col("filename")), F.lit(f"</{_FILE}>"), ends).alias("value"))
 
     def rooted(batches):
         """The records of a partition between one root's tags, since a file is one document."""
@@ -376,12 +491,13 @@ def _html_rows(pages: DataFrame, o: Options) -> DataFrame:
         yield pa.RecordBatch.from_pydict({"value": ["</records>"]})
 
     path = _stashed(records.mapInArrow(rooted, "value string"))
-    tags = [o.record_element.removeprefix("//")] if o.record_element else ["head", "body"]
+    tags = [re.split("[/]", o.record_element)[-1]] if o.record_element else ["head", "body"]
+    plain = Options(**{k: o.__dict__[k] for k in OPTIONS} | {"filename": False, "columns": o.columns and T.StructType([*_schema(o.columns).fields, *([T.StructField(_FILE, T.StringType())] if o.filename else [])])})
     head, out = _head(spark, path), None
     for tag in tags:
-        df = _records(spark, [path], tag, head, Options(**{k: v for k, v in o.__dict__.items() if k not in ("filename",)}))
+        df = _records(spark, [path], tag, head, plain)
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
+    return out.select(F.col(_FILE).alias("filename"), *(F.col(f"`{c}`") for c in out.columns if c != _FILE)) if o.filename else out
 
 
 def parse_xml(spark: SparkSession, text: str, **options) -> DataFrame:
@@ -395,7 +511,8 @@ def parse_html(spark: SparkSession, text: str, **options) -> DataFrame:
     return _html_rows(parse_html_objects(spark, text), Options(**options))
 
 
-_FROM = re.compile(r"\b(from|join)\s+'([^']+\.(?:xml|html?))'", re.I)
+#: A file as a table; what else has quotes or is a comment is passed over.
+_FROM = re.compile(r"\b(from|join)\s+'([^']+\.(?:xml|html?))'|'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?\*/", re.I | re.S)
 
 
 def sql(spark: SparkSession, query: str) -> DataFrame:
@@ -403,6 +520,8 @@ def sql(spark: SparkSession, query: str) -> DataFrame:
 
     def view(m: re.Match) -> str:
         path = m[2]
+        if not path:
+            return m[0]
         name = f"file_{uuid.uuid4().hex}"
         (read_xml if path.endswith(".xml") else read_html)(spark, path).createOrReplaceTempView(name)
         alias = "" if re.search(r"[*?\[{]", path) else f" AS `{path.rpartition('/')[2].rpartition('.')[0]}`"

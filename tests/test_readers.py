@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tagloom.sources import readers as R
 
@@ -99,3 +100,49 @@ def test_late_tags(spark, tmp_path):
     (tmp_path / "3.xml").write_text("<r><c></r>")
     with pytest.raises(Exception, match="not valid XML"):
         R.read_xml(spark, str(tmp_path / "*.xml"))
+
+
+def test_lists_of_paths(spark, tmp_path, books):
+    (tmp_path / "more.xml").write_text("<lib><book id='3'><title>C</title></book></lib>")
+    assert R.read_xml(spark, [books, str(tmp_path / "more.xml")], record_element="book").count() == 3
+
+
+def test_nested_names_and_types(spark):
+    """Attributes of children under their own names and as text, values of their narrowest type."""
+    text = "<s>" + "".join(f'<i><cost unit="{k}">{k}.5</cost><many kind="box">{k}</many><flag x="1">yes</flag><l><v a="{k}">{k}</v><v a="0">7</v></l></i>' for k in range(3)) + "</s>"
+    df = R.parse_xml(spark, text)
+    assert {c: t for c, t in df.dtypes} == {"cost": "struct<#text:double,unit:string>", "many": "struct<#text:int,kind:string>", "flag": "struct<#text:boolean,x:string>", "l": "struct<v:array<struct<#text:int,a:string>>>"}
+    assert sorted(tuple(r) for r in df.select("cost.unit", F.col("many")["#text"], F.col("flag")["#text"], F.col("l.v")[0]["#text"]).collect()) == [(str(k), k, True, k) for k in range(3)]
+    assert "@unit" in R.parse_xml(spark, text, attr_mode="prefixed").schema["cost"].dataType.fieldNames()
+    assert dict(R.parse_xml(spark, text, attr_mode="discard").dtypes)["many"] == "int"
+
+
+def test_times_and_formats(spark):
+    text = "<s>" + "".join(f"<i><t>10:11:1{k}</t><d>2024-01-0{k}T10:00:00</d><m>{'0' + str(k) + '/02/2024' if k % 2 else '2024-02-0' + str(k)}</m></i>" for k in range(1, 4)) + "</s>"
+    df = R.parse_xml(spark, text)
+    assert dict(df.dtypes) == {"t": "string", "d": "timestamp", "m": "string"} and df.where("t = '10:11:12'").count() == 1
+    many = R.parse_xml(spark, text, datetime_format=["iso", "eu"])
+    assert dict(many.dtypes)["m"] == "date" and sorted(str(r["m"]) for r in many.collect()) == ["2024-02-01", "2024-02-02", "2024-02-03"]
+    with pytest.raises(ValueError, match="namespaces"):
+        R.parse_xml(spark, text, namespaces="nope")
+
+
+def test_record_paths(spark):
+    text = "<r><i><k>1</k></i><q><j>2</j></q></r>"
+    assert R.parse_xml(spark, text, record_element="/r/i").count() == R.parse_xml(spark, text, record_element="//q/j").count() == 1
+    with pytest.raises(ValueError, match="also stand"):
+        R.parse_xml(spark, "<r><i><k>1</k></i><q><i>2</i></q></r>", record_element="/r/i")
+    with pytest.raises(ValueError, match="takes a name"):
+        R.parse_xml(spark, text, record_element="//i[k=1]")
+
+
+def test_html_filename(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / f"{k}.html").write_text(f'<ul><li id="{k}"><b>x{k}</b><li id="e{k}"></ul>')
+    rows = R.read_html(spark, str(tmp_path / "*.html"), record_element="li", filename=True)
+    assert rows.columns[0] == "filename" and sorted((r["filename"][-6:], r["id"], r["b"]) for r in rows.collect()) == [("0.html", "0", "x0"), ("0.html", "e0", None), ("1.html", "1", "x1"), ("1.html", "e1", None)]
+
+
+def test_sql_leaves_literals(spark, books):
+    row = R.sql(spark, f"SELECT 'taken from \\'x.xml\\'' AS a, \"from 'y.xml'\" AS b, count(*) AS n FROM '{books}' -- from 'z.xml'").first()
+    assert (row["a"], row["b"], row["n"]) == ("taken from 'x.xml'", "from 'y.xml'", 2)
