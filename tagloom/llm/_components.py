@@ -47,17 +47,18 @@ def bucket_components(shared: DataFrame, verify: Callable[[DataFrame], DataFrame
     returns the linked ones; ``sets`` gives the distinct items (node, item) of each node of a table, and a link needs at least ``share`` %
     of the union of two sets in common.
 
-    1. Every node meets its bucket's head, the node that shares most with others: of a group of near copies that is
+    1. Every node meets its bucket's head, the node that shares most buckets: of a group of near copies that is
        the text they come from, or one close to it, and nearly all the group gets into one component by a pair a member.
     2. Buckets in one component are done. In the others no pair within a component is needed, and none between
        components is left out: in buckets of up to ``small`` nodes all such pairs meet.
     3. Nodes of larger buckets fall in groups, those that heads tie together; nodes of a group meet where they share items that
        are rare in it, see ``rare_pairs``.
     """
-    size = shared.groupBy("bucket").agg(F.count("*").alias("size"))
-    weight = shared.join(size, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
-    head = shared.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", F.xxhash64("node").alias("h"), "node")).alias("head"))
-    ranked = stash(shared.join(head, "bucket").select("bucket", "node", F.col("head")["node"].alias("head")))
+    weight = shared.groupBy("node").agg(F.count("*").alias("weight"))
+    # the most buckets, then the greatest hash, in one number
+    rank = F.shiftleft(F.least("weight", F.lit((1 << 23) - 1)), 40).bitwiseOR(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1)))
+    head = shared.join(weight, "node").groupBy("bucket").agg(F.max_by("node", rank).alias("head"))
+    ranked = stash(shared.join(head, "bucket"))
     star = ranked.where("node != head").select(*_pairs("node", "head")).distinct()
     component = connected(stash(verify(star)))
 

@@ -20,6 +20,8 @@ from . import _text
 SCHEMA = "range int, keys binary, nodes binary, known binary"
 #: Pairs that a range gets on average, pairs that a task packs together, and pairs in a row.
 RANGE, HELD, ROW = 1 << 17, 1 << 21, 1 << 15
+#: Bits of a node's hash that tell where its counts are added up.
+SUMS = 10
 Pairs = tuple[np.ndarray, np.ndarray]
 
 
@@ -129,27 +131,55 @@ def shared_pairs(packed: DataFrame, key: str = "bucket", node: str = "node") ->
 
 
 def shared_counts(packed: DataFrame, node: str) -> DataFrame:
-    """``node`` and k: of its keys, how many have other nodes too. A pair that several tasks pack may count for each: k is never too small."""
+    """``node`` and k: of its keys, how many have other nodes too. A pair that several tasks pack may count for each: k is never too small.
+
+    Counts go on packed as well, by ranges of the nodes.
+    """
 
     def added(parts: list[Pairs]) -> Pairs:
         nodes, k = (np.concatenate(x) for x in zip(*parts, strict=True))
         nodes, which = np.unique(nodes, return_inverse=True)
-        return nodes, np.bincount(which, k, len(nodes)).astype(np.int64)
+        return nodes, np.bincount(which, k, len(nodes)).astype(np.uint64)
+
+    def sent(nodes: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+        at = (_text.mix(nodes) >> np.uint64(64 - SUMS)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        nodes, k, at = nodes[order], k[order], at[order]
+        edges = np.append(np.flatnonzero(np.diff(at, prepend=-1)), len(at)).tolist()
+        rows = [(int(at[a]), nodes[a:b].tobytes(), k[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["range", "nodes", "k"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, kept = [], 0, 0
-        out = lambda nodes, k: pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(k)], [node, "k"])
         for _, nodes in _met(batches):
             nodes, k = np.unique(nodes, return_counts=True)
-            parts.append((nodes, k))
+            parts.append((nodes, k.astype(np.uint64)))
             held += len(nodes)
             if held > 2 * kept + HELD:
                 parts = [added(parts)]
                 held = kept = len(parts[0][0])
                 if kept > 2 * HELD:
-                    yield out(*parts[0])
+                    yield sent(*parts[0])
                     parts, held, kept = [], 0, 0
+        if held:
+            yield sent(*added(parts))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+
+        def out() -> pa.RecordBatch:
+            nodes, k = added(parts)
+            return pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(k.astype(np.int64))], [node, "k"])
+
+        for batch in batches:
+            for at, *binaries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != now and parts:
+                    yield out()
+                    parts = []
+                now = at
+                parts.append(tuple(np.frombuffer(x, np.uint64) for x in binaries))
         if parts:
-            yield out(*added(parts))
+            yield out()
 
-    return _by_range(packed).mapInArrow(counted, f"{node} long, k long").groupBy(node).agg(F.sum("k").alias("k"))
+    counts = _by_range(packed).mapInArrow(counted, "range int, nodes binary, k binary")
+    return _by_range(counts).mapInArrow(summed, f"{node} long, k long")

@@ -184,35 +184,45 @@ def _sets(texts: DataFrame):
     return lambda nodes: texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(told, "node long, item long")
 
 
-#: Counters of a set's outline: how many of its shingles fall in each part of the universe, up to 255.
-OUTLINE = 256
+#: Bits of a set's outline for each of its shingles, at least; a power of two in all.
+OUTLINE = 4
 
 
-def outlines(texts: DataFrame) -> DataFrame:
-    """node, n and outline of each text; outlines differ by no more than the sets do."""
-    schema = T.StructType([texts.schema["node"], *T.StructType.fromDDL("n long, outline binary").fields])
+def outlines(of: np.ndarray, found: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Of each row's set, for each part of the universe, whether an odd number of its shingles falls in it: two outlines differ in no more bits than their sets do in shingles."""
+    bits = 1 << np.ceil(np.log2(np.maximum(n * OUTLINE, 64))).astype(_I64)
+    begin = np.concatenate([[0], np.cumsum(bits)])
+    cell = (_text.mix(found + np.uint64(9)) & (bits[of] - 1).astype(np.uint64)).astype(_I64)
+    packed = np.packbits((np.bincount(begin[of] + cell, minlength=begin[-1]) & 1).astype(np.uint8))
+    return [packed[a:b].tobytes() for a, b in zip((begin[:-1] // 8).tolist(), (begin[1:] // 8).tolist(), strict=True)]
 
-    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _text.slices(batches, "text"):
-            of, found = shingles(batch.column("text"))
-            grid = np.bincount(of * OUTLINE + (_text.mix(found + np.uint64(9)) >> np.uint64(56)).astype(_I64), minlength=batch.num_rows * OUTLINE)
-            grid = np.minimum(grid, 255).astype(np.uint8).reshape(-1, OUTLINE)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.bincount(of, minlength=batch.num_rows)), pa.array([g.tobytes() for g in grid], pa.binary())], ["node", "n", "outline"])
 
-    return texts.mapInArrow(drawn, schema)
+def apart(a: bytes, b: bytes) -> int:
+    """In how many bits two outlines differ; the longer one is folded."""
+    a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _verifier(texts: DataFrame):
     schema = "a long, b long"
-    drawn = stash(outlines(texts))
+
+    def drawn_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _text.slices(batches, "text"):
+            of, found, n, _ = _classes(batch, "text")
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n), pa.array(outlines(of, found, n), pa.binary())], ["node", "n", "outline"])
+
+    drawn = stash(texts.select("node", "text").mapInArrow(drawn_, "node long, n long, outline binary"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = (batch.column(x).to_numpy() for x in ("na", "nb"))
-            oa, ob = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint8).reshape(-1, OUTLINE).astype(np.int16) for x in ("oa", "ob"))
-            apart = np.maximum(np.abs(oa - ob).sum(1), np.abs(na - nb))
-            # overlap is at most (na + nb - apart) / 2
-            yield batch.select(["a", "b"]).filter(pa.array(100 * (na + nb - apart) >= SHARE * (na + nb + apart)))
+            least = np.array([apart(a, b) for a, b in zip(batch.column("oa").to_pylist(), batch.column("ob").to_pylist(), strict=True)], _I64)
+            # overlap is at most (na + nb - least) / 2
+            yield batch.select(["a", "b"]).filter(pa.array(100 * (na + nb - least) >= SHARE * (na + nb + least)))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.slices(batches, "ta", _text.SLICE_BYTES // 4):
@@ -246,7 +256,8 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
     # an id may have several texts: those of its rows that are alive count
     own = docs.where(F.col(text).isNotNull()).select(F.col(id).alias("doc"), F.col(text).alias("text"))
     reps = alive.select("rep").distinct()
-    some = own.join(reps, own["doc"].eqNullSafe(reps["rep"]), "left_semi").select("text").mapInArrow(classed, "node long, text string")
+    # the list of ids grows with the corpus, and is not to be sent to all tasks at any size
+    some = own.join(reps.hint("merge"), own["doc"].eqNullSafe(reps["rep"]), "left_semi").select("text").mapInArrow(classed, "node long, text string")
     some = stash(some.join(alive.select("node", "n"), "node").dropDuplicates(["node"]).select("node", "n", "text"))
     total = some.agg(F.sum("n")).first()[0] or 0
     seen = shingle_counts(some.select("text"), total, False)
