@@ -8,7 +8,7 @@ is at hand was made for merging, so ids can differ from those of its merge proce
 Texts up to ``chunk`` bytes are encoded where they lie. Longer ones are cut into chunks wherever that
 falls. A path crosses a cut by a piece that reaches d bytes into the next chunk, so a chunk is a
 max-plus matrix from d at its start to d at its end. Matrices are found for each chunk alone,
-combined associatively by a prefix scan over a document's matrices, and with the states at its cuts
+combined associatively, by prefix scans over ``fan`` of a document's matrices in a row, then over their products, and so on; with the states at its cuts
 known each chunk is traced back alone.
 
 Null and empty texts have no pieces and decode to the empty text. Repeated rows are encoded alike;
@@ -123,20 +123,59 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def boundaries(matrices: np.ndarray) -> np.ndarray:
-    """The state before each chunk and after the last, of the best path from state 0 to state 0."""
-    ahead = matrices.copy()  # product of the matrices up to and with each, by doubling
-    step = 1
+def products(matrices: np.ndarray) -> np.ndarray:
+    """The product of the matrices up to and with each, by doubling."""
+    ahead, step = matrices.copy(), 1
     while step < len(ahead):
         ahead[step:] = product(ahead[:-step], ahead[step:])
         step *= 2
+    return ahead
+
+
+def boundaries(matrices: np.ndarray, enter: int = 0, leave: int = 0) -> np.ndarray:
+    """The state before each chunk and after the last, of the best path from state ``enter`` to state ``leave``."""
+    ahead = products(matrices)
     states = np.zeros(len(matrices) + 1, np.int64)
+    states[0], states[-1] = enter, leave
     for k in range(len(matrices) - 1, 0, -1):
-        states[k] = np.argmax(ahead[k - 1][0] + matrices[k][:, states[k + 1]])
+        states[k] = np.argmax(ahead[k - 1][enter] + matrices[k][:, states[k + 1]])
     return states
 
 
-def encode(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, chunk: int = CHUNK) -> DataFrame:
+#: Matrices that a task combines at once.
+FAN = 64
+
+
+def chunk_states(matrices: DataFrame, chunks: int, longest: int, fan: int = FAN) -> DataFrame:
+    """k1, k2, n, enter and leave of every chunk, from its matrix (columns k1, k2, n, matrix); no text has more than ``chunks``.
+
+    Each ``fan`` matrices in a row become one, and so on until a text has ``fan`` at most; from there the states at the
+    cuts are handed down. So no task has all matrices of a giant text.
+    """
+    kind = "k1 long, k2 long, n int, enter int, leave int"
+
+    def stacked(group: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        group = group.sort_by("n")
+        return group, np.stack([np.frombuffer(m.as_py()).reshape(longest, longest) for m in group.column("matrix")])
+
+    def folded(group: pa.Table) -> pa.Table:
+        group, found = stacked(group)
+        return pa.table({"k1": group["k1"][:1], "k2": group["k2"][:1], "n": group["above"][:1], "matrix": pa.array([products(found)[-1].tobytes()], pa.binary())})
+
+    def joined(group: pa.Table) -> pa.Table:
+        group, found = stacked(group)
+        states = boundaries(found, group["first"][0].as_py(), group["last"][0].as_py())
+        return pa.table({"k1": group["k1"], "k2": group["k2"], "n": group["n"], "enter": pa.array(states[:-1].astype(np.int32)), "leave": pa.array(states[1:].astype(np.int32))})
+
+    above = matrices.withColumn("above", F.expr(f"cast(n div {fan} as int)"))
+    if chunks <= fan:
+        return above.withColumn("first", F.lit(0)).withColumn("last", F.lit(0)).groupBy("k1", "k2").applyInArrow(joined, kind)
+    fewer = stash(above.groupBy("k1", "k2", "above").applyInArrow(folded, "k1 long, k2 long, n int, matrix binary"))
+    states = chunk_states(fewer, -(-chunks // fan), longest, fan).select("k1", "k2", F.col("n").alias("above"), F.col("enter").alias("first"), F.col("leave").alias("last"))
+    return above.join(states, ["k1", "k2", "above"]).groupBy("k1", "k2", "above").applyInArrow(joined, kind)
+
+
+def encode(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """``docs`` with a column ``ids`` (array of int; prefixed if there is such a column)."""
     spark = docs.sparkSession
     vocabulary = Vocabulary(tokenizer)
@@ -167,11 +206,6 @@ def encode(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, chun
             found = [transfer(v, b.as_py(), s.as_py()).tobytes() for b, s in zip(batch.column("bytes"), batch.column("size"), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k1", "k2", "n")), pa.array(found, pa.binary())], ["k1", "k2", "n", "matrix"])
 
-    def joined(group: pa.Table) -> pa.Table:
-        group = group.sort_by("n")
-        states = boundaries(np.stack([np.frombuffer(m.as_py()).reshape(longest, longest) for m in group.column("matrix")]))
-        return pa.table({"k1": group["k1"], "k2": group["k2"], "n": group["n"], "enter": pa.array(states[:-1].astype(np.int32)), "leave": pa.array(states[1:].astype(np.int32))})
-
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(key, sent)
         for batch in _text.slices(batches, "bytes", TOGETHER):
@@ -185,8 +219,9 @@ def encode(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, chun
     giant = docs.where(size >= chunk)
     # rows of one text share its chunks
     chunks = stash(giant.select(text).distinct().mapInArrow(cut, "k1 long, k2 long, n int, size int, bytes binary"))
+    most = (chunks.agg(F.max("n")).first()[0] or 0) + 1
     matrices = chunks.mapInArrow(scored, "k1 long, k2 long, n int, matrix binary")
-    cuts = matrices.groupBy("k1", "k2").applyInArrow(joined, "k1 long, k2 long, n int, enter int, leave int")
+    cuts = chunk_states(stash(matrices) if most > fan else matrices, most, longest, fan)
     parts = chunks.join(cuts, ["k1", "k2", "n"]).select("k1", "k2", "n", "size", "enter", "leave", "bytes").mapInArrow(traced, "k1 long, k2 long, n int, ids array<int>")
     whole = parts.groupBy("k1", "k2").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"])).alias("found"))
     k = own_columns(docs, "k1", "k2", "found")
@@ -225,7 +260,7 @@ def decode(encoded: DataFrame, ids: str = "ids", tokenizer: str = TOKENIZER) ->
     return encoded.mapInArrow(spelled, T.StructType([*encoded.schema.fields, T.StructField(name, T.StringType())]))
 
 
-def codec_digest(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, chunk: int = CHUNK) -> DataFrame:
+def codec_digest(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """id, n_tokens, ids_sha256 (ids joined by commas), decoded_sha256 and exact (the round trip gave the text back)."""
-    both = decode(encode(docs.select(id, text), text, tokenizer, chunk), "ids", tokenizer)
+    both = decode(encode(docs.select(id, text), text, tokenizer, chunk, fan), "ids", tokenizer)
     return both.select(id, F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce(text, F.lit(""))).alias("exact"))
