@@ -4,7 +4,8 @@ A word goes when a window of ``WINDOW`` words over it also starts in a document
 Every window is named by its anchor, the smallest hash among its ``GRAM``-word parts, so equal windows
 have equal anchors.
 
-1. Anchors that occur in one document only are dropped: their windows are unique.
+1. Anchors that occur in one row only are dropped: their windows are unique. Anchors of very many rows are split
+   by their windows' next smallest hash.
 2. Where shared anchors lie, documents are cut into passages (windows in a row with one anchor). Equal
    passages become one with the smallest document id that has it: the reference. It is
    dealt by anchor into shards of bounded size, so all places of a window meet in one shard.
@@ -15,7 +16,7 @@ have equal anchors.
 
 Automata go to the passages of their shard and not to all documents: a broadcast of the whole corpus'
 automata would grow with the corpus. Null and empty texts have no words and lose none; rows that
-repeat an id never remove each other's words.
+repeat an id never remove each other's words; rows without an id lose none and remove none. Very long texts are cut like others.
 """
 
 from __future__ import annotations
@@ -28,65 +29,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import _text
+from . import _packed, _text
 from ._tables import stash
 
 WINDOW, GRAM = 13, 5
 #: Words of reference in one automaton, unless a single anchor has more.
 SHARD_WORDS = 40_000
+#: Rows with an anchor above which it is split.
+HOT = 512
 _I64 = np.int64
 
 
 def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Words (start, end, row), and for each window its first word and its anchor."""
+    """Words (start, end, row), and for each window its first word, its anchor and its second anchor, the next smallest hash of its parts."""
     starts, ends, rows = _text.spans(data, offsets, _text.PLAIN)
     hashes = _text.Hasher(data)(starts, ends)
     n = len(hashes) - WINDOW + 1
     if n <= 0:
-        return starts, ends, rows, np.zeros(0, _I64), np.zeros(0, np.uint64)
+        return starts, ends, rows, np.zeros(0, _I64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     gram = np.zeros(len(hashes) - GRAM + 1, np.uint64)
     for k in range(GRAM):
-        gram = gram * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(gram)]
-    gram = _text.mix(gram)
-    least = gram[:n].copy()
+        gram = _text.mix(gram * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(gram)])
+    least, second = gram[:n].copy(), np.full(n, np.iinfo(np.uint64).max)
     for k in range(1, WINDOW - GRAM + 1):
-        np.minimum(least, gram[k : k + n], out=least)
+        other = gram[k : k + n]
+        np.minimum(second, np.where(other == least, second, np.maximum(least, other)), out=second)
+        np.minimum(least, other, out=least)
     first = np.flatnonzero(rows[:n] == rows[WINDOW - 1 :])
-    return starts, ends, rows, first, least[first]
+    return starts, ends, rows, first, least[first], second[first]
 
 
-def anchors(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """anchor, doc and h (the text's hash) for the distinct anchors of each row."""
-    schema = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("doc", docs.schema[id].dataType), T.StructField("h", T.LongType())])
+def shared_anchors(source: DataFrame) -> DataFrame:
+    """anchor and node of the rows of ``source`` (text, node) whose anchors another node has too."""
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = _packed.ranges_for(size // 32)
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _text.slices(batches, text):
-            data, offsets = _text.utf8(batch.column(1))
-            _, _, rows, first, anchor = anchored(data, offsets)
-            of = rows[first]
-            order = np.lexsort((anchor, of))
-            of, anchor = of[order], anchor[order]
-            new = np.ones(len(of), bool)
-            new[1:] = (of[1:] != of[:-1]) | (anchor[1:] != anchor[:-1])
-            whole = _text.Hasher(data)(offsets[:-1], offsets[1:]).view(_I64)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(_I64)), batch.column(0).take(pa.array(of[new])), pa.array(whole[of[new]])], ["anchor", "doc", "h"])
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[_packed.Pairs]:
+        for batch in _text.slices(batches, "text"):
+            _, _, rows, first, anchor, _ = anchored(*_text.utf8(batch.column(0)))
+            yield anchor, batch.column(1).to_numpy().view(np.uint64)[rows[first]]
 
-    return docs.select(id, text).mapInArrow(listed, schema)
+    return _packed.shared_pairs(source.select("text", "node").mapInArrow(lambda batches: _packed.pack(pairs(batches), ranges), _packed.SCHEMA), "anchor")
 
 
 def passages(docs: DataFrame) -> DataFrame:
-    """anchor, doc, h, first word and text of each passage; ``docs`` has doc, text and its shared ``anchors``."""
+    """anchor, doc, h, first word and text of each passage; ``docs`` has doc, text and its shared ``anchors`` and ``hot`` ones, which are split by their windows' second anchors."""
     schema = T.StructType([T.StructField("anchor", T.LongType()), docs.schema["doc"], *T.StructType.fromDDL("h long, first int, passage string").fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.slices(batches, "text"):
             data, offsets = _text.utf8(batch.column("text"))
-            starts, ends, rows, first, anchor = anchored(data, offsets)
-            wanted = batch.column("anchors")
-            values, per = wanted.flatten().to_numpy().view(np.uint64), np.diff(wanted.offsets.to_numpy()) if not wanted.null_count else np.array([len(x.as_py() or ()) for x in wanted])
-            salt = _text.mix(np.arange(batch.num_rows, dtype=np.uint64) + np.uint64(1))
-            of = rows[first]
-            shared = np.isin(_text.mix(anchor + salt[of]), _text.mix(values + np.repeat(salt, per)))
+            starts, ends, rows, first, anchor, second = anchored(data, offsets)
+            salt, of = _text.mix(np.arange(batch.num_rows, dtype=np.uint64) + np.uint64(1)), rows[first]
+
+            def among(name: str) -> np.ndarray:
+                """Which windows have an anchor that their row lists in column ``name``."""
+                wanted = batch.column(name)  # noqa: B023
+                per = np.array([len(x) if x.is_valid else 0 for x in wanted])
+                return np.isin(_text.mix(anchor + salt[of]), _text.mix(wanted.flatten().to_numpy().view(np.uint64) + np.repeat(salt, per)))  # noqa: B023
+
+            anchor = np.where(among("hot"), _text.mix(anchor ^ _text.mix(second)), np.where(among("anchors"), anchor, np.uint64(0)))
+            shared = np.flatnonzero(anchor)
             first, anchor, of = first[shared], anchor[shared], of[shared]
             if not len(first):
                 continue
@@ -189,7 +192,7 @@ def first_documents(reference: DataFrame) -> DataFrame:
         for _, _, _, words, doc in shard:
             automaton.add(words, doc)
         automaton.settle()
-        return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in shard], pa.int64()) for k in range(3)), pa.array([automaton.firsts(r[3], WINDOW) for r in shard], arrow.field("firsts").type)], arrow)
+        return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in shard], pa.int64()) for k in range(3)), pa.array([automaton.firsts(r[3], WINDOW) for r in shard], arrow.field("firsts").type)], schema=arrow)
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, now, arrow = [], 0, None, None
@@ -216,15 +219,12 @@ def _keys() -> list:
 
 def removed_ranges(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, h and ranges: first words of windows to remove, for rows that lose some."""
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("anchor")
-    shared = anchors(docs, id, text).withColumn("low", F.min("doc").over(by)).withColumn("high", F.max("doc").over(by)).where("low < high")
-    wanted = shared.groupBy("doc", "h").agg(F.collect_list("anchor").alias("anchors"))
-    source = docs.select(F.col(id).alias("doc"), F.col(text).alias("text"))
-    # a repeated id's texts share the union of their anchors, which finds the same windows
-    wanted = wanted.groupBy("doc").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
-    places = stash(passages(source.join(wanted, "doc")))
+    source = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("doc"), F.col(text).alias("text"), F.xxhash64(id, text).alias("node"))
+    shared = stash(shared_anchors(source))
+    often = shared.groupBy("anchor").agg((F.count("*") > HOT).alias("much"))
+    of = lambda much: F.collect_list(F.when(F.col("much") == much, F.col("anchor")))
+    wanted = shared.join(often, "anchor").groupBy("node").agg(of(False).alias("anchors"), of(True).alias("hot"))
+    places = stash(passages(source.join(wanted, "node").select("doc", "text", "anchors", "hot")))
     reference = places.groupBy("anchor", "passage").agg(F.min("doc").alias("doc"))
     answers = first_documents(reference)
     found = places.select("anchor", "doc", "h", "first", *_keys()).join(answers, ["anchor", "key", "check"])
