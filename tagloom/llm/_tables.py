@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_folder
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -14,19 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='tagloom-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def stash(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: computed once, and nothing is lost with an executor.
 
-    The shuffle files of the computation go when it ends, so that a long job's disk holds one step's shuffles.
+    The shuffle files of the computation go when it ends, so that a long job's disk holds one step's shuffles. Tables stay in the
+    folder until it is cleared, since Spark may read them again as long as the result is in use.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"

@@ -6,7 +6,7 @@ consecutive characters (a shorter line is one shingle). ``BANDS`` bands of ``ROW
 the threshold of 0.75 share a band with probability 0.9995. Candidates are verified exactly, links give components
 by distributed union-find, and the first line of a component (by document id, text and line) is kept.
 
-Null and empty texts have no lines. Rows that repeat a document's id and text are one document and
+Null and empty texts have no lines. A null id comes before all others. Rows that repeat a document's id and text are one document and
 are cut alike; an id with several texts is several documents, in the order of their texts' hashes.
 """
 
@@ -188,8 +188,10 @@ def line_dedup_digest(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     """One row per document: id, n_lines (with ink), n_removed and removed_lines (numbers from 0, by newlines)."""
     lines, lost = removed_lines(docs, id, text)
     counts = lines.groupBy("doc", "h").agg(F.count_distinct("line").alias("n_lines"))
-    found = counts.join(lost, ["doc", "h"], "left").select(F.col("doc").alias(id), "n_lines", F.coalesce("removed", F.expr("cast(array() as array<int>)")).alias("removed_lines"))
-    bare = docs.select(id).distinct().join(found.select(id), id, "left_anti")
+    lost = lost.select(F.col("doc").alias("d"), F.col("h").alias("g"), "removed")
+    found = counts.join(lost, F.col("doc").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").select(F.col("doc").alias(id), "n_lines", F.coalesce("removed", F.expr("cast(array() as array<int>)")).alias("removed_lines"))
+    have = found.select(F.col(id).alias("d"))
+    bare = docs.select(id).distinct().join(have, F.col(id).eqNullSafe(F.col("d")), "left_anti")
     found = found.unionByName(bare.select(id, F.lit(0).cast("long").alias("n_lines"), F.expr("cast(array() as array<int>)").alias("removed_lines")))
     return found.select(id, "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines")
 
@@ -199,9 +201,11 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     _, lost = removed_lines(docs, id, text)
     lost = stash(lost)
     columns, schema = docs.columns, docs.schema
-    hidden = [own_columns(docs, "removed")["removed"]]
+    hidden, other = own_columns(docs, "removed", "other_id").values()
+    hidden = [hidden]
     # the join is by id; h tells the texts of a repeated id apart
-    both = docs.join(lost.groupBy(F.col("doc").alias(id)).agg(F.map_from_entries(F.collect_list(F.struct("h", "removed"))).alias(hidden[0])), id, "left").select(*columns, *hidden)
+    lost = lost.groupBy(F.col("doc").alias(other)).agg(F.map_from_entries(F.collect_list(F.struct("h", "removed"))).alias(hidden[0]))
+    both = docs.join(lost, F.col(id).eqNullSafe(F.col(other)), "left").select(*columns, *hidden)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.slices(batches, text):

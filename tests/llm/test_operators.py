@@ -50,6 +50,19 @@ def docs(request):
     return request.getfixturevalue(request.param)
 
 
+def test_hashes_of_patterns():
+    """Words in a pattern that cancels out of polynomial hashes, and their complements; ranges of all lengths."""
+    ab = np.array([bin(k).count("1") % 2 for k in range(1024)], np.uint8)
+    data = np.concatenate([ab + 97, 98 - ab])
+    for n in (16, 64, 256, 1024):
+        h = _text.Hasher(data)(np.array([0, 1024]), np.array([n, 1024 + n]))
+        assert h[0] != h[1]
+    same = np.concatenate([data, data])
+    ends = np.arange(1, 200)
+    assert (_text.Hasher(same)(np.zeros(199, np.int64), ends) == _text.Hasher(same)(np.full(199, 2048), ends + 2048)).all()
+    assert len(set(_text.Hasher(data)(np.zeros(199, np.int64), ends).tolist())) == 199
+
+
 def test_words():
     data, offsets = _text.utf8(pa.array(["the cat  é", None, "", "on\nthe "]))
     starts, ends, rows = _text.spans(data, offsets, _text.PLAIN)
@@ -178,8 +191,8 @@ def test_contamination(spark, docs):
         assert (c["n_words"], c["n_hit"], len(c["items"]), brute.sha(",".join(c["items"])), c["contaminated"]) == want[r["doc_id"]]
         assert sum(len(decontaminate.normalised(r["text"][s["start"] : s["end"]])) for s in c["spans"]) == c["n_hit"]
     assert decontaminate.decontaminate(docs, known.limit(0)).where("contamination.contaminated").count() == 0
-    with pytest.raises(ValueError, match="split it"):
-        decontaminate.decontaminate(docs, known, most_benchmark_bytes=3)
+    many = decontaminate.decontaminate(docs, known, most_chars=500).select("doc_id", "text", "contamination").collect()
+    assert sorted(map(str, many)) == sorted(map(str, rows))
 
 
 def test_pii(spark, docs):
@@ -298,8 +311,8 @@ def test_codec_round_trip(docs, chunk):
 
 
 def test_codec_chunks_do_not_matter(odd):
-    one, many = ({r["doc_id"]: r["n_tokens"] for r in sentencepiece_codec.codec_digest(odd, chunk=c).collect()} for c in (1 << 20, 300))
-    assert one == many
+    one, many, tree = ({r["doc_id"]: r["n_tokens"] for r in sentencepiece_codec.codec_digest(odd, chunk=c, fan=f).collect()} for c, f in ((1 << 20, 64), (300, 64), (300, 4)))
+    assert one == many == tree
 
 
 def test_encode_keeps_columns(odd):
@@ -471,6 +484,17 @@ def test_repeated_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()}
     assert found == {1: 1, 2: 1, 3: 1}
-    assert lines.dedup_lines(df).count() >= 2
-    assert substrings.substring_digest(df).count() == 5
-    assert sentencepiece_codec.codec_digest(df).count() == 5
+    assert sorted((r["doc_id"], r["text"]) for r in lines.dedup_lines(df).collect()) == [(1, BASE), (1, BASE), (2, "other text here")]
+    cut = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.substring_digest(df).collect())
+    assert cut == [(1, 60, 0), (1, 60, 0), (2, 3, 0), (2, 60, 60), (3, 60, 60)]
+    codes = sentencepiece_codec.codec_digest(df).collect()
+    assert len(codes) == 5 and all(r["exact"] for r in codes) and len({r["ids_sha256"] for r in codes}) == 2
+
+
+def test_null_ids(spark):
+    """Rows without an id are one document, whose component is the smallest id that it reaches."""
+    rows = [(None, BASE), (7, BASE), (None, "alone at all"), (8, "x"), (9, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()}
+    assert found == {None: 7, 7: 7, 8: 8, 9: 8}
+    assert {r["doc_id"]: r["n_removed"] for r in lines.line_dedup_digest(df).collect()} == {None: 0, 7: 1, 8: 0, 9: 1}
