@@ -231,6 +231,36 @@ def escape(text: str, quote: bool = False) -> str:
 
 def serialize(node: Node, indent: str | None = None, depth: int = 0) -> str:
     """XML of a node, without a declaration; ``indent`` starts a line for each child where there is no text."""
+    out, left = [], [(node, indent, depth)]
+    while left:
+        now = left.pop()
+        if isinstance(now, str):
+            out.append(now)
+            continue
+        n, indent, depth = now
+        if n.kind == "root":
+            left.extend((c, indent, depth) for c in reversed(n.children))
+        elif n.kind != "element":
+            out.append(_leaf(n))
+        else:
+            name = _name(n.name)
+            head = f"<{name}" + _attributes(n.attrs)
+            if not n.children:
+                out.append(head + "/>")
+            elif indent is not None and not any(c.kind in ("text", "cdata") and c.text.strip() for c in n.children):
+                out.append(head + ">")
+                left.append("\n" + indent * depth + f"</{name}>")
+                for c in reversed(n.children):
+                    if c.kind != "text":
+                        left += [(c, indent, depth + 1), "\n" + indent * (depth + 1)]
+            else:
+                out.append(head + ">")
+                left.append(f"</{name}>")
+                left.extend((c, None, 0) for c in reversed(n.children))
+    return "".join(out)
+
+
+def _leaf(node: Node) -> str:
     if node.kind == "cdata" or node.kind == "text" and node.parent is not None and node.parent.name in ("script", "style") and "<" in node.text:
         return "<![CDATA[" + _chars(node.text).replace("]]>", "]]]]><![CDATA[>") + "]]>"
     if node.kind == "text":
@@ -239,15 +269,4 @@ def serialize(node: Node, indent: str | None = None, depth: int = 0) -> str:
         return "<!--" + re.sub("-(?=-|$)", "- ", _chars(node.text)) + "-->"
     if node.kind == "pi":
         return f"<?{node.name} {node.text}?>" if node.text else f"<?{node.name}?>"
-    if node.kind == "attribute":
-        return f'{_name(node.name)}="{escape(_chars(node.text), True)}"'
-    if node.kind == "root":
-        return "".join(serialize(c, indent, depth) for c in node.children)
-    name = _name(node.name)
-    head = f"<{name}" + _attributes(node.attrs)
-    if not node.children:
-        return head + "/>"
-    if indent is not None and not any(c.kind in ("text", "cdata") and c.text.strip() for c in node.children):
-        pad = "\n" + indent * (depth + 1)
-        return head + ">" + "".join(pad + serialize(c, indent, depth + 1) for c in node.children if c.kind != "text") + "\n" + indent * depth + f"</{name}>"
-    return head + ">" + "".join(serialize(c) for c in node.children) + f"</{name}>"
+    return f'{_name(node.name)}="{escape(_chars(node.text), True)}"'
