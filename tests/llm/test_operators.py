@@ -423,11 +423,36 @@ def test_audio_parts(odd):
         media.samples_of(b"nope")
 
 
+def test_resampling_by_phases():
+    """Against interpolation of every sample by the whole filter, for ratios with several phases."""
+    x = np.random.default_rng(4).normal(size=500).astype(np.float32)
+    for up, down in ((2, 3), (3, 2), (1, 2), (5, 4)):
+        width = max(up, down)
+        k = np.arange(-8 * width, 8 * width + 1)
+        taps = np.sinc(k / width) * np.hamming(len(k)) * up / width
+        spread = np.zeros(len(x) * up)
+        spread[::up] = x
+        want = np.convolve(spread, taps)[8 * width :][:: down][: -(-len(x) * up // down)]
+        assert np.abs(media.resample(x, up, down) - want).max() < 1e-4
+
+
+def test_features_by_definition():
+    """Log-mel rows from the discrete Fourier sums themselves."""
+    x = np.random.default_rng(5).normal(size=media.FRAME + media.HOP).astype(np.float32)
+    found, rate = media.log_mel(x, 5000.0), 5000.0
+    bank = media.mel_bank(rate, 129)
+    for row in range(2):
+        frame = x[row * media.HOP :][: media.FRAME] * np.hanning(media.FRAME)
+        t = np.arange(media.FRAME)
+        power = [abs(np.sum(frame * np.exp(-2j * np.pi * f * t / 256))) ** 2 for f in range(129)]
+        assert np.abs(found[row] - np.log(np.array(power) @ bank + 1e-5)).max() < 1e-2
+
+
 @pytest.mark.parametrize("k", range(1, 12))
 def test_audio_hears_the_end(k):
     """The last word counts at every length, as every sample is in a frame."""
     heard = [media.features(media.wav(("some words " * 300)[: 192 * k - 5].encode() + last))[0] for last in (b" tail", b" town")]
-    assert len(heard[0]) == 1 + max(0, -(-(96 * k - media.FRAME) // media.HOP)) and not np.array_equal(np.rint(heard[0] * 100), np.rint(heard[1] * 100))
+    assert len(heard[0]) == 1 + max(0, -(-(128 * k - media.FRAME) // media.HOP)) and not np.array_equal(np.rint(heard[0] * 100), np.rint(heard[1] * 100))
 
 
 def test_audio_digest_is_of_the_blocks(spark):
@@ -466,6 +491,29 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score_toxicity(docs, none).where("toxicity > 0.01").count() == 0
 
 
+def test_toxicity_fit_is_the_machines_own():
+    """Scores are the factorization machine's formula, pair by pair."""
+    rng = np.random.default_rng(8)
+    machine = toxicity.Machine(np.arange(5), -0.3, rng.normal(size=5).astype(np.float32), rng.normal(size=(5, 3)).astype(np.float32))
+    for size in range(6):
+        x = rng.choice(5, size, replace=False)
+        z = machine.bias + sum(machine.weights[i] for i in x) + sum(float(machine.factors[i] @ machine.factors[j]) for a, i in enumerate(x) for j in x[a + 1 :])
+        assert machine.score(np.zeros(size, np.int64), x, 1)[0] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+
+
+def test_quality_features(spark):
+    """The content view against counts in plain Python."""
+    rows = [(1, "Ab ab. XYZ 12! of the"), (2, None), (3, ""), (4, "a\nb\n\nlonger line, here; #tag"), (5, "é Ü ß")]
+    found = {r["id"]: r["f"] for r in spark.createDataFrame(rows, "id long, t string").select("id", cotraining.content_features(F.col("t")).alias("f")).collect()}
+    for k, t in rows:
+        t = t or ""
+        n, count = len(t), lambda chars, t=t: sum(c in chars for c in t)
+        spaces, capitals = count(" \t\n\r"), count("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        letters, some = capitals + count("abcdefghijklmnopqrstuvwxyz"), max(n, 1)
+        want = {0: math.log1p(n), 1: math.log1p(spaces + 1), 2: letters / some, 3: count("0123456789") / some, 4: count(",;:'\"()-") / some, 5: capitals / (letters + 1), 6: (n - spaces) / (spaces + 1) / 10, 7: math.log1p(n / (count("\n") + 1)), 10: count(".!?") / (spaces + 1), 11: count("#$%&*<>{}[]~^|\\=_") / some}
+        assert all(found[k][i] == pytest.approx(v) for i, v in want.items())
+
+
 def test_quality(spark, sf_dir, empty):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     test = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0
