@@ -1,7 +1,7 @@
 """Quality by co-training of two views: what a text says, and what is known about its page.
 
-The content view has counts and shares of the text alone; the metadata view has source, language and
-recorded length. Each view gets a logistic regression, fitted by Spark over all its labelled rows. In each of ``rounds`` rounds
+The content view has counts and shares of the text alone and its words, hashed to ``WORDS`` buckets; the metadata view has
+source, language and recorded length. Each view gets a logistic regression, fitted by Spark over all its labelled rows. In each of ``rounds`` rounds
 either classifier labels unlabelled rows it is surest of, and these join the other view's training
 rows with ``pseudo_weight``. A row counts as sure when its score passes the quantile of
 unlabelled scores that leaves ``share`` of them, on both ends. At last, each
@@ -10,42 +10,69 @@ of both are combined by one more such fit. All documents are scored.
 
 Null texts are empty; null metadata is a value of its own. With labels of one kind only, every score
 is the share of that kind (0 or 1); without any label it is 0.5. Labels name documents by id; each row of
-``docs`` gives one row.
+``docs`` gives one row, also when ids repeat or are null (a null id has no label). Labels of one id are averaged, and a tie rounds up. Texts
+of any length are read whole; other columns of ``docs``, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from . import _text
 from ._tables import stash
 
-CONTENT = ("length", "words", "letters", "digits", "marks", "capitals", "mean_word", "mean_line", "repeats", "stops", "ends", "odd")
-BUCKETS = 16
-
-
-def _share(part: Column, whole: Column) -> Column:
-    return part / F.greatest(whole, F.lit(1)).cast("double")
-
-
-def content_features(text: Column) -> Column:
-    """Twelve numbers from counts of characters that translate() removes, so a text is read a few times only."""
-    t = F.coalesce(text, F.lit(""))
-    length = F.length(t).cast("double")
-    without = lambda chars: length - F.length(F.translate(t, chars, ""))
-    capital, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    spaces, lines = without(" \t\n\r"), without("\n")
-    capitals, digits, odd, ends, pipes = without(capital), without("0123456789"), without("#$%&*<>{}[]~^|\\=_"), without(".!?"), without(",;:'\"()-")
-    letters = capitals + without(lower)
-    words = spaces + 1
-    twice = length - F.length(F.regexp_replace(t, r"(\S\S)\1+", "$1"))
-    short = F.size(F.split(t, r"(?<=\s)\S{1,3}(?=\s)")) - 1
-    return F.array(
-        F.log1p(length), F.log1p(words), _share(letters, length), _share(digits, length), _share(pipes, length), _share(capitals, letters + 1),
-        _share(length - spaces, words) / 10, F.log1p(_share(length, lines + 1)), _share(twice, length), _share(short, words), _share(ends, words), _share(odd, length),
-    )
+CONTENT = ("length", "words", "letters", "digits", "marks", "capitals", "mean_word", "mean_line", "repeats", "short", "ends", "odd", "distinct")
+BUCKETS, WORDS = 16, 64
+_CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "#$%&*<>{}[]~^|\\=_", ".!?", ",;:'\"()-", " \t\r", "\n")
+_CLASS = np.full(256, len(_CLASSES), np.int64)
+for _k, _chars in enumerate(_CLASSES):
+    _CLASS[list(_chars.encode())] = _k
+
+
+def content_features(column: pa.Array) -> np.ndarray:
+    """One row of numbers for each text: what ``CONTENT`` names, then the shares of its words in the buckets."""
+    data, offsets = _text.utf8(column)
+    n, size = len(offsets) - 1, np.diff(offsets)
+    row = np.repeat(np.arange(n), size)
+    kinds = np.bincount(row * (len(_CLASSES) + 1) + _CLASS[data], minlength=n * (len(_CLASSES) + 1)).reshape(n, -1).astype(float)
+    capitals, lower, digits, odd, ends, marks, gaps, lines = kinds.T[:-1]
+    length = np.bincount(row, (data & 0xC0) != 0x80, n)
+    twice = np.zeros(len(data))
+    twice[3:] = (data[3:] == data[1:-2]) & (data[2:-1] == data[:-3]) & (row[3:] == row[:-3])
+    starts, stops, of = _text.spans(data, offsets, _text.PLAIN)
+    hashes = _text.Hasher(data)(starts, stops)
+    words = np.bincount(of, minlength=n).astype(float)
+    order = np.lexsort((hashes, of))
+    new = np.ones(len(of), bool)
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (of[order][1:] != of[order][:-1])
+    shares = np.bincount(of * WORDS + (hashes % np.uint64(WORDS)).astype(np.int64), minlength=n * WORDS).reshape(n, -1)
+    some, all_ = np.maximum(words, 1), np.maximum(length, 1)
+    out = [
+        np.log1p(length), np.log1p(words), (capitals + lower) / all_, digits / all_, marks / all_, capitals / (capitals + lower + 1),
+        (length - gaps - lines) / some / 10, np.log1p(length / (lines + 1)), np.bincount(row, twice, n) / all_, np.bincount(of, stops - starts <= 3, n) / some, ends / some, odd / all_,
+        np.bincount(of[order], new, n) / some,
+    ]
+    return np.concatenate([np.stack(out, 1), shares / some[:, None]], 1)
+
+
+def _viewed(docs: DataFrame, id: str, text: str, meta: Column) -> DataFrame:
+    """id and both views of each row."""
+    schema = T.StructType([T.StructField("id", docs.schema[id].dataType), *T.StructType.fromDDL("content array<double>, meta array<double>").fields])
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _text.slices(batches, "text"):
+            found = content_features(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), _text.lists(found.reshape(-1), np.full(len(found), found.shape[1]), pa.float64()), batch.column("meta")], schema.fieldNames())
+
+    return docs.select(F.col(id).alias("id"), F.col(text).alias("text"), meta.alias("meta")).mapInArrow(seen, schema)
 
 
 def metadata_features(source: Column, lang: Column, n_chars: Column) -> Column:
@@ -72,7 +99,7 @@ def _odds(model, features: str) -> Column:
 def quality_scores(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", label: str = "quality", rounds: int = 2, share: float = 0.1, pseudo_weight: float = 0.3) -> DataFrame:
     """id, content_score, metadata_score and score (all 0 to 1) of every row of ``docs``."""
     keys = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id).alias("id")).agg(F.round(F.avg(label)).cast("int").alias("y"))
-    views = docs.select(F.col(id).alias("id"), content_features(F.col(text)).alias("content"), metadata_features(F.col(source), F.col(lang), F.col(n_chars)).alias("meta"))
+    views = _viewed(docs, id, text, metadata_features(F.col(source), F.col(lang), F.col(n_chars)))
     rows = stash(views.join(keys, "id", "left").withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(5))))
     named = lambda c, m, s: rows.select(F.col("id").alias(id), c.alias("content_score"), m.alias("metadata_score"), s.alias("score"))
     kinds = {r["y"]: r["count"] for r in rows.where("y is not null").groupBy("y").count().collect()}

@@ -8,7 +8,7 @@ Scoring is one pass without a shuffle over all texts.
 
 Null and empty texts have no terms and get the score of the bias alone. Labels that are null or name
 no document are ignored; a document with several label rows counts once for each. Without labelled
-rows every score is 0.
+rows every score is 0 to fifteen digits.
 """
 
 from __future__ import annotations

@@ -501,17 +501,38 @@ def test_toxicity_fit_is_the_machines_own():
         assert machine.score(np.zeros(size, np.int64), x, 1)[0] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
 
 
-def test_quality_features(spark):
+def test_quality_features():
     """The content view against counts in plain Python."""
-    rows = [(1, "Ab ab. XYZ 12! of the"), (2, None), (3, ""), (4, "a\nb\n\nlonger line, here; #tag"), (5, "é Ü ß")]
-    found = {r["id"]: r["f"] for r in spark.createDataFrame(rows, "id long, t string").select("id", cotraining.content_features(F.col("t")).alias("f")).collect()}
-    for k, t in rows:
+    texts_ = ["Ab ab. XYZ 12! of the", None, "", "a\nb\n\nlonger line, here; #tag abab", "é Ü ß é"]
+    found = cotraining.content_features(pa.array(texts_))
+    assert found.shape == (5, len(cotraining.CONTENT) + cotraining.WORDS)
+    for row, t in zip(found, texts_, strict=True):
         t = t or ""
-        n, count = len(t), lambda chars, t=t: sum(c in chars for c in t)
-        spaces, capitals = count(" \t\n\r"), count("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-        letters, some = capitals + count("abcdefghijklmnopqrstuvwxyz"), max(n, 1)
-        want = {0: math.log1p(n), 1: math.log1p(spaces + 1), 2: letters / some, 3: count("0123456789") / some, 4: count(",;:'\"()-") / some, 5: capitals / (letters + 1), 6: (n - spaces) / (spaces + 1) / 10, 7: math.log1p(n / (count("\n") + 1)), 10: count(".!?") / (spaces + 1), 11: count("#$%&*<>{}[]~^|\\=_") / some}
-        assert all(found[k][i] == pytest.approx(v) for i, v in want.items())
+        count, w, some = lambda chars, t=t: sum(c in chars for c in t), brute.plain(t), max(len(t), 1)
+        letters = count("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+        want = [math.log1p(len(t)), math.log1p(len(w)), letters / some, count("0123456789") / some, count(",;:'\"()-") / some, count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / (letters + 1), (len(t) - count(" \t\r\n")) / max(len(w), 1) / 10]
+        want += [math.log1p(len(t) / (count("\n") + 1)), None, sum(len(x.encode()) <= 3 for x in w) / max(len(w), 1), count(".!?") / max(len(w), 1), count("#$%&*<>{}[]~^|\\=_") / some, len(set(w)) / max(len(w), 1)]
+        assert all(a == pytest.approx(b) for a, b in zip(row, want, strict=False) if b is not None)
+        assert row[len(want) :].sum() == pytest.approx(1 if w else 0)
+
+
+def test_quality_exchange_helps(spark):
+    """Few labels, on pages of a few sources: the metadata view learns the other sources from what the texts say."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(1200):
+        good, source = k % 2, int(rng.integers(0, 12)) * 2 + k % 2
+        words = rng.choice(["alpha", "beta", "gamma", "delta"] if good else ["spam", "junk", "click", "buy"], 12).tolist() + rng.choice(["the", "of", "and", "to"], 12).tolist()
+        rows.append((k, " ".join(rng.permutation(words)), f"s{source}", "x", 100))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(k, k % 2) for k, _, source, *_ in rows if source in ("s0", "s1", "s2", "s3")][:120], "doc_id long, quality int")
+
+    def accuracy(rounds):
+        found = cotraining.quality_scores(docs, labels, rounds=rounds).join(labels, "doc_id", "left_anti").collect()
+        return tuple(np.mean([(r[c] >= 0.5) == (r["doc_id"] % 2 == 1) for r in found]) for c in ("metadata_score", "score"))
+
+    (alone, _), (together, both) = accuracy(0), accuracy(2)
+    assert together > alone + 0.05 and both > 0.95
 
 
 def test_quality(spark, sf_dir, empty):
