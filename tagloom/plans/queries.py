@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as M
 from ..operators.tables import exploded, extract_tables
-from ..session import shared_folder
+from ..session import shared_folder, spread
 from ..sources import readers
 from ..streaming.files import stream_documents
 
@@ -37,6 +37,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _docs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are documents to take apart."""
+    return spread(_t(spark, sf_dir, name))
+
+
 def _folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
@@ -49,7 +54,7 @@ def order_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One XML document per order."""
     c = F.col
     doc = _s('<order id="', c("o_orderkey"), '" customer="', c("o_custkey"), '"><status>', c("o_orderstatus"), "</status><priority>", c("o_orderpriority"), "</priority><!--note ", c("o_orderkey"), "--><raw><![CDATA[<", c("o_orderstatus"), ">]]></raw></order>")
-    return _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice", doc.alias("doc"))
+    return _docs(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice", doc.alias("doc"))
 
 
 LINKS = """SELECT page_id, replace(replace(replace(replace(m[1], '&amp;', '&'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"') AS href, replace(replace(replace(replace(m[2], '&amp;', '&'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"') AS text
@@ -58,7 +63,7 @@ FROM (SELECT page_id, unnest(list_transform(regexp_extract_all(html, '<a href="[
 
 @query(LINKS)
 def html_extract_links(spark, sf_dir):
-    return exploded(_t(spark, sf_dir, "pages"), M.html_extract_links("html"), "page_id").select("page_id", "href", "text")
+    return exploded(_docs(spark, sf_dir, "pages"), M.html_extract_links("html"), "page_id").select("page_id", "href", "text")
 
 
 @query(f"SELECT split_part(href, '/', 2) AS word, count(*) AS n_links, count(DISTINCT page_id) AS n_pages FROM ({LINKS}) GROUP BY 1")
@@ -73,18 +78,18 @@ _PLAIN = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'),
 @query("SELECT page_id, " + _PLAIN.format("regexp_extract(html, '<title>(.*?)</title>', 1)") + " AS title, " + _PLAIN.format("regexp_extract(html, '<h1>(.*?)</h1>', 1)") + " AS heading FROM pages")
 def html_extract_text_path(spark, sf_dir):
     both = M.markup_multi("html", title=("html_texts", "//title"), heading=("html_texts", "//h1"))
-    return _t(spark, sf_dir, "pages").select("page_id", both.alias("x")).select("page_id", F.get("x.title", F.lit(0)).alias("title"), F.get("x.heading", F.lit(0)).alias("heading"))
+    return _docs(spark, sf_dir, "pages").select("page_id", both.alias("x")).select("page_id", F.get("x.title", F.lit(0)).alias("title"), F.get("x.heading", F.lit(0)).alias("heading"))
 
 
 @query("SELECT page_id, CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS n_items FROM pages")
 def html_list_items(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", F.size(M.html_extract_text("html", "//ul/li")).cast("long").alias("n_items"))
+    return _docs(spark, sf_dir, "pages").select("page_id", F.size(M.html_extract_text("html", "//ul/li")).cast("long").alias("n_items"))
 
 
 @query("SELECT p_partkey, p_name AS alt, concat('/img/', p_partkey, '.png') AS src, CAST(p_size AS BIGINT) AS width, CAST(0 AS BIGINT) AS height FROM part")
 def html_extract_images(spark, sf_dir):
     html = _s("<p><img alt=\"", F.col("p_name"), "\" src=\"/img/", F.col("p_partkey"), ".png\" width=\"", F.col("p_size"), "\">x")
-    return exploded(_t(spark, sf_dir, "part").select("p_partkey", html.alias("html")), M.html_extract_images("html"), "p_partkey").select("p_partkey", "alt", "src", "width", "height")
+    return exploded(_docs(spark, sf_dir, "part").select("p_partkey", html.alias("html")), M.html_extract_images("html"), "p_partkey").select("p_partkey", "alt", "src", "width", "height")
 
 
 def customer_tables(spark, sf_dir) -> DataFrame:
@@ -123,27 +128,27 @@ def html_extract_tables_json(spark, sf_dir):
 
 @query("""SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(13), '&#13;')) AS digest FROM pages""")
 def html_escape(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", F.md5(M.html_escape("html")).alias("digest"))
+    return _docs(spark, sf_dir, "pages").select("page_id", F.md5(M.html_escape("html")).alias("digest"))
 
 
 @query("SELECT conv_id, turn, md5(text) AS digest FROM conversations WHERE text IS NOT NULL AND position(chr(13) IN text) = 0")
 def html_unescape(spark, sf_dir):
     """Escaping and unescaping give the text back."""
-    t = _t(spark, sf_dir, "conversations").where(F.col("text").isNotNull() & ~F.contains("text", F.lit("\r")))
+    t = _docs(spark, sf_dir, "conversations").where(F.col("text").isNotNull() & ~F.contains("text", F.lit("\r")))
     return t.select("conv_id", "turn", F.md5(M.html_unescape(M.html_escape("text"))).alias("digest"))
 
 
 @query("SELECT p_partkey, concat('<html><body><p>', p_name, ' <b>', p_brand, '</b></p><br/></body></html>') AS html FROM part")
 def parse_html(spark, sf_dir):
     html = _s("<!DOCTYPE html><p>", F.col("p_name"), "   \n <b>", F.col("p_brand"), "</b></p><br>")
-    return _t(spark, sf_dir, "part").select("p_partkey", M.parse_html(html).alias("html"))
+    return _docs(spark, sf_dir, "part").select("p_partkey", M.parse_html(html).alias("html"))
 
 
 @query()
 def html_clean_pages(spark, sf_dir):
     """Every page made well formed; what comes out is valid XML."""
-    clean = M.parse_html("html")
-    return _t(spark, sf_dir, "pages").select("page_id", F.length(clean).cast("long").alias("n_chars"), M.xml_valid(clean).alias("valid"))
+    clean = _docs(spark, sf_dir, "pages").select("page_id", M.parse_html("html").alias("clean"))
+    return clean.select("page_id", F.length("clean").cast("long").alias("n_chars"), M.xml_valid("clean").alias("valid"))
 
 
 @query("SELECT o_orderkey, o_orderstatus AS status, o_orderpriority AS priority FROM orders")
@@ -246,7 +251,7 @@ def xml_validate_schema(spark, sf_dir):
 
 @query("SELECT p_partkey, 'heading,paragraph' AS types, p_name AS heading, concat('<h2>', p_name, '</h2><p>', p_type, '</p>') AS html FROM part")
 def html_blocks(spark, sf_dir):
-    t = _t(spark, sf_dir, "part").select("p_partkey", M.html_to_blocks(_s("<h2>", F.col("p_name"), "</h2><p>", F.col("p_type"), "</p>")).alias("b"))
+    t = _docs(spark, sf_dir, "part").select("p_partkey", M.html_to_blocks(_s("<h2>", F.col("p_name"), "</h2><p>", F.col("p_type"), "</p>")).alias("b"))
     return t.select("p_partkey", F.array_join("b.element_type", ",").alias("types"), F.get("b", F.lit(0))["content"].alias("heading"), M.blocks_to_html("b").alias("html"))
 
 

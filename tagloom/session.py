@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -40,3 +40,9 @@ def shared_folder(spark: SparkSession) -> str:
         folder = f"file://{tempfile.mkdtemp(prefix='tagloom-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/tagloom-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores at least: a small file is one partition, however much each row of it costs."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
