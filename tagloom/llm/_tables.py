@@ -6,13 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import shared_folder
+from ..session import shared_folder, spread
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def stash(df: DataFrame) -> DataFrame:
