@@ -72,12 +72,10 @@ class Vocabulary:
         first[1:] = keys[1:] != keys[:-1]
         self.keys, self.ids = keys[first], ids[first]
         # bytes that stand in no longer piece: texts can be cut on both sides of them
-        inner = np.zeros(256, bool)
         joined = np.zeros((256, 256), bool)
         for k in usable:
             b = np.frombuffer(self.bytes_of[k], np.uint8)
             joined[b[:-1], b[1:]] = True
-            inner[b] = True
         joined[128:, 128:192] = joined[192:, 128:192] = True  # never inside a character
         self.joined = joined
         self.starts = np.concatenate([[0], np.cumsum([len(b) for b in self.bytes_of])])

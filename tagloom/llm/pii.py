@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -231,19 +232,15 @@ def _features(kind: int, fields: dict, votes: tuple) -> list[float]:
 
 
 def fit_classifier(rows: list[tuple[list[float], float, float]], steps: int = 300, rate: float = 0.5, l2: float = 1e-3) -> list[float]:
-    """Weights of a logistic model of soft labels; rows: features, label, count."""
+    """Weights of a logistic model of soft labels; rows (patterns of votes and features, on the driver): features, label, weight."""
     if not rows:
         return []
-    total, w = sum(n for *_, n in rows), [0.0] * len(rows[0][0])
+    x, y, n = (np.array(c, float) for c in zip(*rows, strict=True))
+    w = np.zeros(x.shape[1])
     for _ in range(steps):
-        g = [l2 * x for x in w]
-        for x, y, n in rows:
-            z = sum(a * b for a, b in zip(x, w, strict=True))
-            e = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - y) * n / total
-            for k, v in enumerate(x):
-                g[k] += e * v
-        w = [a - rate * b for a, b in zip(w, g, strict=True)]
-    return w
+        error = (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y) * n
+        w -= rate * (x.T @ error + l2 * w)
+    return w.tolist()
 
 
 def _kept(docs: DataFrame, id: str, text: str, threshold: float, *more: Column) -> DataFrame:
@@ -252,7 +249,8 @@ def _kept(docs: DataFrame, id: str, text: str, threshold: float, *more: Column)
     fields = [f for f, _ in SEEN]
     seen = found.select(F.explode("c").alias("c")).groupBy(*(F.col(f"c.{k}").alias(k) for k in ("kind", *fields, *VOTES))).count().orderBy("kind", *fields, *VOTES).collect()
     rows = [(r["kind"], r["base"], tuple(r[v] for v in VOTES), float(r["count"])) for r in seen]
-    w = fit_classifier([(_features(kind, r.asDict(), votes), p, n) for r, (kind, _, votes, n), p in zip(seen, rows, kind_posteriors(rows), strict=True)])
+    whole = {kind: sum(n for k, *_, n in rows if k == kind) for kind, *_ in rows}  # a rare kind is learned like a frequent one
+    w = fit_classifier([(_features(kind, r.asDict(), votes), p, n / whole[kind]) for r, (kind, _, votes, n), p in zip(seen, rows, kind_posteriors(rows), strict=True)])
     own = len(w) // len(KINDS)
 
     def score(c: Column) -> Column:
