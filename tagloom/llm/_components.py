@@ -47,16 +47,17 @@ def bucket_components(shared: DataFrame, verify: Callable[[DataFrame], DataFrame
     returns the linked ones; ``sets`` gives the distinct items (node, item) of each node of a table, and a link needs at least ``share`` %
     of the union of two sets in common.
 
-    1. Every node meets its bucket's head, the node that shares most buckets: of a group of near copies that is
+    1. Every node meets its bucket's head, the node that meets most others in its buckets: of a group of near copies that is
        the text they come from, or one close to it, and nearly all the group gets into one component by a pair a member.
     2. Buckets in one component are done. In the others no pair within a component is needed, and none between
        components is left out: in buckets of up to ``small`` nodes all such pairs meet.
     3. Nodes of larger buckets fall in groups, those that heads tie together; nodes of a group meet where they share items that
        are rare in it, see ``rare_pairs``.
     """
-    weight = shared.groupBy("node").agg(F.count("*").alias("weight"))
-    # the most buckets, then the greatest hash, in one number
-    rank = F.shiftleft(F.least("weight", F.lit((1 << 23) - 1)), 40).bitwiseOR(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1)))
+    size = shared.groupBy("bucket").agg(F.count("*").alias("size"))
+    weight = shared.join(size, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
+    # how many others it meets, then a hash, in one number
+    rank = F.shiftleft(F.least("weight", F.lit((1 << 33) - 1)), 30).bitwiseOR(F.xxhash64("node").bitwiseAND(F.lit((1 << 30) - 1)))
     head = shared.join(weight, "node").groupBy("bucket").agg(F.max_by("node", rank).alias("head"))
     ranked = stash(shared.join(head, "bucket"))
     star = ranked.where("node != head").select(*_pairs("node", "head")).distinct()
@@ -76,13 +77,17 @@ def bucket_components(shared: DataFrame, verify: Callable[[DataFrame], DataFrame
     return connected(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")))
 
 
+#: Items of a set, before one at which it meets others, that are looked at to see whether they have met.
+RECENT = 4
+
+
 def rare_pairs(groups: DataFrame, sets: Callable[[DataFrame], DataFrame], share: int) -> DataFrame:
     """Pairs (a, b) of nodes of one group and different components (``groups``: group, node, component): all those whose sets have ``share`` % of their union in common, and few others.
 
     Items are ordered from the rarest in the group on. Two such sets share one of the first few items of each:
     what stands before, in the smaller and in the larger set, would leave too few in common. So a passage that very many
     nodes hold brings none of them together unless it makes up most of two sets; where the first common item stands
-    bounds what two sets can have in common, and drops the rest.
+    bounds what two sets can have in common, and drops the rest. A pair that has met at one of the ``RECENT`` items before does not come again.
     """
     groups = stash(groups)
     items = stash(sets(groups.select("node")).join(groups, "node"))
@@ -92,14 +97,15 @@ def rare_pairs(groups: DataFrame, sets: Callable[[DataFrame], DataFrame], share:
     least = lambda of, union: F.floor((of * share + union - 1) / union)  # noqa: E731  smallest count of at least share % of union parts
     # with another of its size or more, a set shares 2 * share / (100 + share) of itself; with any other, share %
     near, far = n - least(2 * n, F.lit(100 + share)) + 1, n - least(n, F.lit(100)) + 1
-    told = ordered.withColumn("n", F.size("items").cast("long"))
+    told = ordered.withColumn("n", F.size("items").cast("long")).withColumn("items", F.transform("items", lambda x: x["item"]))
 
     def front(ahead) -> DataFrame:
-        some = told.select("group", "node", "component", "n", F.posexplode(F.slice("items", F.lit(1), ahead.cast("int"))).alias("at", "one"))
-        return some.select("group", F.col("one")["item"].alias("item"), "node", "component", "n", "at")
+        first = F.transform(F.slice("items", F.lit(1), ahead.cast("int")), lambda x, k: F.struct(x.alias("item"), F.slice("items", F.greatest(k - RECENT + 1, F.lit(1)), F.least(k, F.lit(RECENT))).alias("recent")))
+        return told.select("group", "node", "component", "n", F.posexplode(first).alias("at", "one")).select("group", "one.item", "one.recent", "node", "component", "n", "at")
 
-    right = front(far).select("group", "item", *(F.col(c).alias(f"{c}2") for c in ("node", "component", "n", "at")))
+    right = front(far).select("group", "item", *(F.col(c).alias(f"{c}2") for c in ("recent", "node", "component", "n", "at")))
     both = front(near).join(right, ["group", "item"]).where("component != component2 and (n < n2 or n = n2 and node < node2)")
     # so many items at most are in common, and so many are needed
     able = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) * (100 + share) >= (F.col("n") + F.col("n2")) * share
+    able = able & ~F.arrays_overlap("recent", "recent2")
     return both.where(able).select(*_pairs("node", "node2"))
