@@ -55,7 +55,11 @@ def char_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher
     count = np.maximum(per - SHINGLE + 1, np.minimum(per, 1))
     of = np.repeat(np.arange(len(starts)), count)
     at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(of))
-    return of, hasher(chars[at], chars[at + np.repeat(np.minimum(per, SHINGLE), count)])
+    windows = max(0, len(chars) - SHINGLE)
+    found = hasher(chars[:windows], chars[SHINGLE:])[np.minimum(at, windows - 1)] if windows else np.zeros(len(at), np.uint64)
+    short = np.flatnonzero((per > 0) & (per < SHINGLE))
+    found[(np.cumsum(count) - count)[short]] = hasher(starts[short], ends[short])
+    return of, found
 
 
 def minhashes(of: np.ndarray, found: np.ndarray) -> np.ndarray:
