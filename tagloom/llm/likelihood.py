@@ -98,16 +98,16 @@ def _units(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def dealt_rows(docs: DataFrame, training: Column, id: str, text: str) -> DataFrame:
     """block, id, text and held of each row; a block's rows lie together and hold some ``BLOCK_BYTES`` of text, or one row."""
-    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("id", docs.schema[id].dataType), *T.StructType.fromDDL("text string, held boolean").fields])
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("id", docs.schema[id].dataType), *T.StructType.fromDDL("text string, held boolean").fields])
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = uuid.uuid4().hex, 0
+        block, held = uuid.uuid4().int >> 65, 0
         for batch in _text.slices(batches, "text"):
             size = pc.sum(pc.binary_length(batch.column(1))).as_py() or 0
             if held and held + size > BLOCK_BYTES:
-                block, held = uuid.uuid4().hex, 0
+                block, held = uuid.uuid4().int >> 65, 0
             held += size + batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([block] * batch.num_rows, pa.string()), *batch.columns], schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, block)), *batch.columns], schema.fieldNames())
 
     held = ~F.coalesce(training, F.lit(False))
     return stash(docs.select(F.col(id).alias("id"), F.col(text).alias("text"), held.alias("held")).mapInArrow(dealt, schema))
@@ -165,15 +165,15 @@ def score_likelihood(docs: DataFrame, training: Column, id: str = "doc_id", text
 
         def out() -> pa.RecordBatch:
             found, _ = words.drain()
-            return pa.RecordBatch.from_arrays([pa.array([now] * len(found), pa.string()), found], ["block", "word"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), now)), found], ["block", "word"])
 
         for whole in batches:
-            block = np.array(whole.column(0).to_pylist())
+            block = whole.column(0).to_numpy()
             edge = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block)) if len(block) else block
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if block[a] != now and words.parts:
                     yield out()
-                now = str(block[a])
+                now = int(block[a])
                 for batch in _text.slices(iter([whole.slice(a, b - a)]), "text"):
                     words.add(*_text.utf8(batch.column("text")), np.zeros(batch.num_rows))
         if words.parts:
@@ -201,6 +201,6 @@ def score_likelihood(docs: DataFrame, training: Column, id: str = "doc_id", text
             out.append(pa.table([batch.column("id"), batch.column("held"), pa.array(tokens + 1), pa.array(known + (ends > 0)), pa.array(np.full(rows, n)), pa.array(np.bincount(of, base[at], rows) + last[0]), pa.array(np.bincount(of, p[at], rows) + last[1])], schema.fieldNames()))
         return pa.concat_tables(out)
 
-    wanted = dealt.select("block", "text").mapInArrow(asked, "block string, word string")
+    wanted = dealt.select("block", "text").mapInArrow(asked, "block long, word string")
     answers = wanted.join(values, "word").select("block", "word", "c", "p")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)
