@@ -59,6 +59,15 @@ def test_parse_html(text, wanted):
     assert _rows.clean_html(text) == wanted
 
 
+@pytest.mark.parametrize("text", ["a&amp", "&copy 1", "&&&", "&notit;", "a&b=c&lt", "&", "&ampé;", "x &amp", "\ufdd0&amp", "<i>", "&#38", "&eacute;"])
+def test_named_references_end_in_a_semicolon(text):
+    """In text, values and scripts; numbers need none."""
+    decoded = {"&#38": "&", "&eacute;": "é", "<i>": ""}.get(text, text)
+    assert _rows.html_text(f"<p>{text}</p>") == decoded
+    assert _rows.links(f'<a href="{text}">&amp;{text}</a>')[0]["href"] == {"<i>": text}.get(text, decoded)
+    assert _rows.html_text(f"<script>{text}</script>") == text
+
+
 def test_deep_html():
     """Documents of any depth are written without recursion."""
     deep = _rows.clean_html("<div>" * 3000 + "x")
