@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as M
 from ..operators.tables import exploded, extract_tables
-from ..session import shared_folder, spread
+from ..session import dealt, shared_folder
 from ..sources import readers
 from ..streaming.files import stream_documents
 
@@ -39,7 +39,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _docs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table whose rows are documents to take apart."""
-    return spread(_t(spark, sf_dir, name))
+    return dealt(_t(spark, sf_dir, name))
 
 
 def _folder(spark: SparkSession) -> str:
@@ -199,7 +199,7 @@ def xml_stats(spark, sf_dir):
 @query("SELECT s_suppkey, concat('urn:s:', s_nationkey) AS uri, s_name AS name, 'urn:mock:zz' AS mock, 'zz' AS undefined, 'http://www.opengis.net/gml' AS known FROM supplier")
 def xml_namespaces(spark, sf_dir):
     doc = _s('<s:r xmlns:s="urn:s:', F.col("s_nationkey"), '"><s:n>', F.col("s_name"), "</s:n></s:r>")
-    t = _t(spark, sf_dir, "supplier").select("s_suppkey", doc.alias("doc"))
+    t = _docs(spark, sf_dir, "supplier").select("s_suppkey", doc.alias("doc"))
     return t.select(
         "s_suppkey", F.element_at(M.xml_namespaces("doc"), "s").alias("uri"), F.get(M.xml_extract_text("doc", "//s:n"), F.lit(0)).alias("name"),
         F.element_at(M.xml_mock_namespaces(M.xml_detect_prefixes(F.lit("//zz:a/child::b"))), "zz").alias("mock"), F.array_join(M.xml_find_undefined_prefixes("doc", "//s:n/zz:q"), ",").alias("undefined"), M.xml_lookup_namespace(F.lit("GML")).alias("known"),
@@ -209,7 +209,7 @@ def xml_namespaces(spark, sf_dir):
 @query("SELECT s_suppkey, s_name AS name, concat('<g:r xmlns:g=\"urn:g\"><g:n>', s_name, '</g:n></g:r>') AS declared FROM supplier")
 def xml_namespace_modes(spark, sf_dir):
     """Undeclared prefixes: found in mode auto, or after declarations have been added."""
-    t = _t(spark, sf_dir, "supplier").select("s_suppkey", _s("<g:r><g:n>", F.col("s_name"), "</g:n></g:r>").alias("doc"))
+    t = _docs(spark, sf_dir, "supplier").select("s_suppkey", _s("<g:r><g:n>", F.col("s_name"), "</g:n></g:r>").alias("doc"))
     return t.select("s_suppkey", F.get(M.xml_extract_text("doc", "//g:n", "auto"), F.lit(0)).alias("name"), M.xml_add_namespace_declarations("doc", {"g": "urn:g"}).alias("declared"))
 
 
@@ -220,7 +220,7 @@ def xml_wrap_fragment(spark, sf_dir):
 
 @query("SELECT c_custkey, concat('<?xml version=\"1.0\" encoding=\"UTF-8\"?>', chr(10), '<c>', chr(10), '  <n>', c_name, '</n>', chr(10), '</c>', chr(10)) AS pretty, concat('<?xml version=\"1.0\" encoding=\"UTF-8\"?>', chr(10), '<c><n>', c_name, '</n></c>') AS small FROM customer")
 def xml_format(spark, sf_dir):
-    t = _t(spark, sf_dir, "customer").select("c_custkey", _s("<c><n>", F.col("c_name"), "</n></c>").alias("doc"))
+    t = _docs(spark, sf_dir, "customer").select("c_custkey", _s("<c><n>", F.col("c_name"), "</n></c>").alias("doc"))
     return t.select("c_custkey", M.xml_pretty_print("doc").alias("pretty"), M.xml_minify("doc").alias("small"))
 
 
@@ -231,7 +231,7 @@ def xml_to_json(spark, sf_dir):
 
 @query("SELECT event_id, concat('<?xml version=\"1.0\" encoding=\"UTF-8\"?>', chr(10), '<root><k>', json_extract_string(props, '$.k'), '</k></root>') AS xml FROM events")
 def json_to_xml(spark, sf_dir):
-    return _t(spark, sf_dir, "events").select("event_id", M.json_to_xml("props").alias("xml"))
+    return _docs(spark, sf_dir, "events").select("event_id", M.json_to_xml("props").alias("xml"))
 
 
 @query("SELECT l_orderkey, l_linenumber, concat('<?xml version=\"1.0\" encoding=\"UTF-8\"?>', chr(10), '<line><part>', l_partkey, '</part><flags_list><flags>', l_returnflag, '</flags><flags>', l_linestatus, '</flags></flags_list></line>') AS xml FROM lineitem")
@@ -247,7 +247,7 @@ XSD = '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="
 @query("SELECT c_custkey, c_custkey % 3 <> 0 AS valid FROM customer")
 def xml_validate_schema(spark, sf_dir):
     doc = F.when(F.col("c_custkey") % 3 == 0, _s("<c><k>x", F.col("c_custkey"), "</k></c>")).otherwise(_s("<c><k>", F.col("c_custkey"), "</k></c>"))
-    return _t(spark, sf_dir, "customer").select("c_custkey", M.xml_validate_schema(doc, XSD).alias("valid"))
+    return _docs(spark, sf_dir, "customer").select("c_custkey", M.xml_validate_schema(doc, XSD).alias("valid"))
 
 
 @query("SELECT p_partkey, 'heading,paragraph' AS types, p_name AS heading, concat('<h2>', p_name, '</h2><p>', p_type, '</p>') AS html FROM part")
@@ -380,7 +380,7 @@ def sql_more_functions(spark, sf_dir):
     """Functions of several arguments and those without a document, in SQL."""
     M.register(spark)
     doc = _s("<order><status>", F.col("o_orderstatus"), "</status></order>")
-    _t(spark, sf_dir, "orders").select("o_orderkey", doc.alias("doc")).createOrReplaceTempView("order_documents")
+    _docs(spark, sf_dir, "orders").select("o_orderkey", doc.alias("doc")).createOrReplaceTempView("order_documents")
     return spark.sql("""SELECT o_orderkey, xml_extract_elements_string(doc, '//status') AS lines, xml_lookup_namespace('XLINK') AS uri,
         array_join(xml_detect_prefixes('//b:x[a:y="c:z"]'), ',') AS prefixes, xml_to_json_with(doc, map('text_key', 'v')) AS json FROM order_documents""")
 

@@ -46,3 +46,25 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over as many partitions as there are cores at least: a small file is one partition, however much each row of it costs."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def whole_files(spark: SparkSession) -> SparkSession:
+    """A session like ``spark`` whose scans of splittable files have one partition for each file, however large."""
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    # a split takes up to the first, and a file counts the second on top of its bytes
+    for conf in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        own.conf.set(conf, str(1 << 46))
+    return own
+
+
+def dealt(table: DataFrame, piece: int = 1 << 20) -> DataFrame:
+    """A table of files whose rows are dear to work on, in even partitions of up to ``piece`` bytes of its files.
+
+    There is one for each core at least, and some for each where that makes no tiny ones.
+
+    How many partitions a scan has tells nothing of its rows: a split of a Parquet file without the middle of a row group is empty.
+    Filters on what is computed from a row should follow a generator: Spark moves others below the exchange, into the scan's few tasks.
+    """
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(max(cores, min(4 * cores, size // (piece >> 4)), -(-size // piece)))
