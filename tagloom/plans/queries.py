@@ -168,7 +168,9 @@ def xml_spark_xpath(spark, sf_dir):
 
 @query("SELECT o_orderkey, concat('<status>', o_orderstatus, '</status>') AS element, concat('<status>', o_orderstatus, '</status>', chr(10), '<priority>', o_orderpriority, '</priority>', chr(10)) AS both FROM orders")
 def xml_extract_elements(spark, sf_dir):
-    return order_xml(spark, sf_dir).select("o_orderkey", F.get(M.xml_extract_elements("doc", "//status"), F.lit(0)).alias("element"), M.xml_extract_elements_string("doc", "//status | //priority").alias("both"))
+    x = M.markup_multi("doc", element=("xml_extract_elements", "//status"), both=("xml_extract_elements", "//status | //priority"))
+    both = F.concat_ws("", F.transform("x.both", lambda e: F.concat(e, F.lit("\n"))))
+    return order_xml(spark, sf_dir).select("o_orderkey", "doc", x.alias("x")).select("o_orderkey", F.get("x.element", F.lit(0)).alias("element"), F.when(F.col("doc").isNotNull(), both).alias("both"))
 
 
 @query("SELECT o_orderkey, '/order' AS element_path, 'id' AS attribute_name, CAST(o_orderkey AS VARCHAR) AS attribute_value FROM orders UNION ALL SELECT o_orderkey, '/order', 'customer', CAST(o_custkey AS VARCHAR) FROM orders")
