@@ -364,7 +364,8 @@ def relational_anti_join(spark, sf_dir):
 @query("SELECT o_orderkey AS key, 'O' AS kind FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 'urgent' FROM orders WHERE o_orderpriority = '1-URGENT'")
 def relational_union_filter(spark, sf_dir):
     t = xml_extract_text(spark, sf_dir)
-    return t.where("status = 'O'").select(F.col("o_orderkey").alias("key"), F.lit("O").alias("kind")).unionByName(t.where("priority = '1-URGENT'").select(F.col("o_orderkey").alias("key"), F.lit("urgent").alias("kind")))
+    kinds = F.array(F.when(F.col("status") == "O", "O"), F.when(F.col("priority") == "1-URGENT", "urgent"))
+    return t.select(F.col("o_orderkey").alias("key"), F.explode(kinds).alias("kind")).where("kind is not null")
 
 
 @query("SELECT CAST(c_custkey // 10 AS BIGINT) AS block, n_name AS nation, c_name AS name FROM customer JOIN nation ON n_nationkey = c_nationkey")
