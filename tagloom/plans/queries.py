@@ -357,7 +357,8 @@ def relational_window(spark, sf_dir):
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def relational_anti_join(spark, sf_dir):
-    placed = order_xml(spark, sf_dir).where(F.array_contains(M.xml_extract_text("doc", "//status"), "F")).select(F.col("o_custkey").alias("c_custkey"))
+    statuses = order_xml(spark, sf_dir).select(F.col("o_custkey").alias("c_custkey"), F.explode(M.xml_extract_text("doc", "//status")).alias("status"))
+    placed = statuses.where("status = 'F'").select("c_custkey")
     return _t(spark, sf_dir, "customer").select("c_custkey").join(placed, "c_custkey", "left_anti")
 
 
