@@ -48,8 +48,7 @@ def _binary(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         raise
 
 
-def _objects(spark: SparkSession, paths, name: str, filename: bool, maximum_file_size: int | None) -> DataFrame:
-    files = _binary(spark, paths)
+def _objects(files: DataFrame, name: str, filename: bool, maximum_file_size: int | None) -> DataFrame:
     if maximum_file_size is not None:
         over = F.raise_error(F.concat(F.lit("file is larger than maximum_file_size: "), "path")).cast("string")
         text = F.when(F.col("length") > maximum_file_size, over).otherwise(F.decode("content", "UTF-8"))
@@ -60,7 +59,7 @@ def _objects(spark: SparkSession, paths, name: str, filename: bool, maximum_file
 
 def read_xml_objects(spark: SparkSession, paths: str | list[str], ignore_errors: bool = False, filename: bool = False, maximum_file_size: int | None = None) -> DataFrame:
     """One row per file; malformed files are an error, or left out with ``ignore_errors``."""
-    return _checked(_objects(spark, paths, "xml", filename, maximum_file_size), "xml", ignore_errors)
+    return _checked(_objects(_binary(spark, paths), "xml", filename, maximum_file_size), "xml", ignore_errors)
 
 
 def _checked(df: DataFrame, name: str, ignore_errors: bool) -> DataFrame:
@@ -72,12 +71,15 @@ def _checked(df: DataFrame, name: str, ignore_errors: bool) -> DataFrame:
 
 def read_html_objects(spark: SparkSession, paths: str | list[str], filename: bool = False, maximum_file_size: int | None = None) -> DataFrame:
     """One row per file; an empty file is an empty document."""
-    df = _objects(spark, paths, "html", filename, maximum_file_size)
-    # Spark plans no task for a file of no bytes
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    names = spark.createDataFrame([(p,) for p in _binary(spark, paths).inputFiles()], "filename string")
-    empty = names.join(_binary(spark, paths).select(plain("path").alias("p")), plain(F.col("filename")) == F.col("p"), "left_anti")
-    df = df.unionByName(empty.select("filename", F.lit("").alias("html")).select(*df.columns))
+    files = _binary(spark, paths)
+    df = _objects(files, "html", filename, maximum_file_size)
+    names = files.inputFiles()
+    if files.select("path").count() < len(names):
+        # Spark plans no task for a file of no bytes
+        plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+        named = spark.createDataFrame([(p,) for p in names], "filename string")
+        empty = named.join(files.select(plain("path").alias("p")), plain(F.col("filename")) == F.col("p"), "left_anti")
+        df = df.unionByName(empty.select("filename", F.lit("").alias("html")).select(*df.columns))
     return df.withColumn("html", F.when(F.col("html") == "", "<html></html>").otherwise(F.col("html")))
 
 
