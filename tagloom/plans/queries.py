@@ -316,7 +316,7 @@ def read_xml_nested(spark, sf_dir):
         yield from batches
         yield pa.RecordBatch.from_pydict({"value": ["</r>"]})
 
-    _t(spark, sf_dir, "orders").select(doc.alias("value")).mapInArrow(rooted, "value string").write.text(path)
+    _docs(spark, sf_dir, "orders").select(doc.alias("value")).mapInArrow(rooted, "value string").write.text(path)
     df = readers.read_xml(spark, path, record_element="/r/o")
     return df.select(c("id").cast(_t(spark, sf_dir, "orders").schema["o_orderkey"].dataType).alias("key"), c("s").alias("status"), c("c")["#text"].alias("customer"), c("c")["unit"].alias("unit"), c("f")["#text"].alias("odd"))
 

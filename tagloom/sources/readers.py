@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from itertools import groupby
+from operator import itemgetter
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -23,7 +25,7 @@ from .. import functions as M
 from ..functions import _rows
 from ..functions._dom import serialize
 from ..functions._xpath import select
-from ..session import shared_folder
+from ..session import shared_folder, whole_files
 
 #: Presets of datetime_format: date and timestamp patterns.
 DATETIME = {
@@ -149,13 +151,13 @@ def all_tags(spark: SparkSession, paths: list[str], head: str, o: Options) -> li
 def _parsed_files(spark: SparkSession, paths: list[str], o: Options, handler) -> list[str]:
     """What handlers (a new one for each file) find in all files, distinct.
 
-    Each file is one stream of pieces that end in ">", parsed in order; nothing but names is kept.
+    Each file is one stream of pieces that end in ">", read and parsed in order by one task, whose memory holds a batch of
+    pieces; nothing but names is kept.
     """
-    m = F.col("_metadata")
-    pieces = spark.read.option("lineSep", ">").text(paths).select(m["file_path"].alias("path"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    pieces = whole_files(spark).read.option("lineSep", ">").text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
 
     def told(batches):
-        path, parser, found, now = None, None, set(), None
+        path, parser, found, now, held = None, None, set(), None, ""
 
         def feed(text, last=False):
             nonlocal parser
@@ -167,22 +169,30 @@ def _parsed_files(spark: SparkSession, paths: list[str], o: Options, handler) ->
                     raise ValueError(f"{path} is not valid XML ({e}); name its record_element") from e
                 parser = None
 
+        def ended():
+            nonlocal found
+            # the last piece has no ">": only white space may stand there
+            feed(held if not held.strip() else held + ">")
+            feed("", True)
+            found |= now.found if now else set()
+
         for batch in batches:
-            for p, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for p, values in groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), itemgetter(0)):
+                values = [value for _, value in values]
                 if p != path:
-                    feed("", True)
-                    found |= now.found if now else set()
+                    ended()
                     path, parser, now = p, expat.ParserCreate(), handler()
                     parser.StartElementHandler, parser.EndElementHandler = now.start, now.end
-                    value = value.removeprefix("\ufeff").lstrip()
-                # the last piece has no ">": only white space may stand there
-                feed(value if not value.strip() else value + ">")
-        feed("", True)
-        found |= now.found if now else set()
+                    values[0] = values[0].removeprefix("\ufeff").lstrip()
+                else:
+                    values.insert(0, held)
+                held = values.pop()
+                if values:
+                    feed(">".join(values) + ">")
+        ended()
         yield pa.RecordBatch.from_pydict({"found": sorted(found)}, pa.schema([("found", pa.string())]))
 
-    ordered = pieces.repartition("path").sortWithinPartitions("path", "block", "at").select("path", "value")
-    return [r["found"] for r in ordered.mapInArrow(told, "found string").distinct().collect()]
+    return [r["found"] for r in pieces.mapInArrow(told, "found string").distinct().collect()]
 
 
 def _only_there(spark: SparkSession, paths: list[str], o: Options) -> None:
