@@ -263,7 +263,7 @@ def html_blocks(spark, sf_dir):
 def customer_files(spark, sf_dir) -> str:
     """The customers as XML files, by Spark's sink."""
     path = _folder(spark)
-    rows = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("_key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"))
+    rows = _docs(spark, sf_dir, "customer").select(F.col("c_custkey").alias("_key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"))
     readers.write_xml(rows, path, "customers", "customer")
     return path
 
@@ -364,6 +364,7 @@ def relational_anti_join(spark, sf_dir):
 
 @query("SELECT o_orderkey AS key, 'O' AS kind FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 'urgent' FROM orders WHERE o_orderpriority = '1-URGENT'")
 def relational_union_filter(spark, sf_dir):
+    """The union as one pass: each document is taken apart once and gives up to two rows."""
     t = xml_extract_text(spark, sf_dir)
     kinds = F.array(F.when(F.col("status") == "O", "O"), F.when(F.col("priority") == "1-URGENT", "urgent"))
     return t.select(F.col("o_orderkey").alias("key"), F.explode(kinds).alias("kind")).where("kind is not null")
