@@ -163,7 +163,7 @@ def xml_spark_xpath(spark, sf_dir):
     """The same through Spark's own XPath, where its semantics are equal (text() and attributes of valid documents)."""
     both = F.xpath("doc", F.lit("/order/@customer | /order/status/text()"))  # in document order; one parse for both
     t = order_xml(spark, sf_dir).select("o_orderkey", both.alias("x"))
-    return t.select("o_orderkey", F.get("x", F.lit(1)).alias("status"), F.get("x", F.lit(0)).cast("long").alias("customer"))
+    return t.select("o_orderkey", F.when(F.col("x").isNotNull(), F.coalesce(F.get("x", F.lit(1)), F.lit(""))).alias("status"), F.get("x", F.lit(0)).cast("long").alias("customer"))
 
 
 @query("SELECT o_orderkey, concat('<status>', o_orderstatus, '</status>') AS element, concat('<status>', o_orderstatus, '</status>', chr(10), '<priority>', o_orderpriority, '</priority>', chr(10)) AS both FROM orders")
