@@ -88,12 +88,9 @@ def _fit(rows: DataFrame, features: str, prior: float = 1e-3):
 
 
 def _odds(model, features: str) -> Column:
-    """The model's log odds as an expression of an array column."""
-    z = F.lit(float(model.intercept))
-    for k, a in enumerate(model.coefficients.toArray()):
-        if a:
-            z = z + F.lit(float(a)) * F.get(features, F.lit(k))
-    return z
+    """The model's log odds as an expression of an array column: short, as the driver compiles it anew for each fit."""
+    terms = F.zip_with(features, F.lit(model.coefficients.toArray()), lambda x, a: a * x)
+    return F.aggregate(terms, F.lit(float(model.intercept)), lambda z, x: z + x)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", label: str = "quality", rounds: int = 2, share: float = 0.1, pseudo_weight: float = 0.3) -> DataFrame:
