@@ -82,11 +82,13 @@ def spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    y ^= y >> np.uint64(27)
+    y *= np.uint64(0x94D049BB133111EB)
+    y ^= y >> np.uint64(31)
+    return y
 
 
 #: Longer ranges are hashed one by one.
@@ -125,6 +127,10 @@ class Hasher:
                 h[long] = np.frombuffer(b"".join(whole), np.uint64)
         return h
 
+    def eights(self, at: slice | np.ndarray) -> np.ndarray:
+        """The hashes of the eight bytes from each of ``at`` on, as the call gives them."""
+        return mix(self.blocks[8:][at] ^ np.uint64(8 * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+
 
 def windows(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """First words of all runs of ``size`` words within a row, and the runs' hashes."""
@@ -149,16 +155,15 @@ def sort_within(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def overlaps(of_a: np.ndarray, a: np.ndarray, of_b: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sizes of the intersection and of the union of the hash sets that ``a`` and ``b`` have in each of ``n`` rows; repeats count once."""
-    of = np.concatenate([of_a, of_b])
-    # hashes of other rows are kept apart by a salt; the lowest bit tells the side
-    salted = (mix(np.concatenate([a, b]) ^ mix(of.astype(np.uint64) + np.uint64(1))) >> np.uint64(1)) << np.uint64(1)
+    # the row above, then as much of the hash as there is room for, and the side in the lowest bit: one sort of numbers
+    room = np.uint64(64 - max(1, int(n).bit_length()))
+    salted = (np.concatenate([of_a, of_b]).astype(np.uint64) << room) | (np.concatenate([a, b]) >> (np.uint64(64) - room))
+    salted[: len(a)] &= ~np.uint64(1)
     salted[len(a) :] |= np.uint64(1)
-    order = np.argsort(salted)
-    salted, of = salted[order], of[order]
-    new = np.ones(len(of), bool)
-    new[1:] = salted[1:] != salted[:-1]
-    salted, of = salted[new], of[new]
-    both = (salted[1:] >> np.uint64(1)) == (salted[:-1] >> np.uint64(1))
+    salted.sort()
+    salted = salted[np.append(True, salted[1:] != salted[:-1])[: len(salted)]]
+    of = (salted >> room).astype(np.int64)
+    both = (salted[1:] ^ salted[:-1]) == np.uint64(1)
     common = np.bincount(of[1:][both], minlength=n)
     return common, np.bincount(of, minlength=n) - common
 

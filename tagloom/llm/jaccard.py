@@ -174,14 +174,14 @@ def _shared(texts: DataFrame, shingles: int) -> DataFrame:
 
 
 def _sets(texts: DataFrame):
-    """The shingles of classes, as (node, item)."""
+    """The shingles of classes, as (node, items)."""
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.slices(batches, "text"):
             of, found = shingles(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(of)), pa.array(found.view(_I64))], ["node", "item"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _text.lists(found.view(_I64), np.bincount(of, minlength=batch.num_rows), pa.int64())], ["node", "items"])
 
-    return lambda nodes: texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(told, "node long, item long")
+    return lambda nodes: texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(told, "node long, items array<long>")
 
 
 #: Bits of a set's outline for each of its shingles, at least; a power of two in all.

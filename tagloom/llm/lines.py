@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,16 +48,28 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def char_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher: _text.Hasher) -> tuple[np.ndarray, np.ndarray]:
     """Number of the line and hash of each of its SHINGLE-character shingles, in order of line; shorter lines have one, empty ones none."""
     begins = (data & 0xC0) != 0x80
-    chars = np.append(np.flatnonzero(begins), len(data))
-    before = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(begins, out=before[1:])
-    first = before[starts]
-    per = before[ends] - first
+    if plain := bool(begins.all()):
+        first, per, n = starts, ends - starts, len(data)
+    else:
+        chars = np.append(np.flatnonzero(begins), len(data))
+        before = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(begins, out=before[1:])
+        first = before[starts]
+        per, n = before[ends] - first, len(chars) - 1
     count = np.maximum(per - SHINGLE + 1, np.minimum(per, 1))
     of = np.repeat(np.arange(len(starts)), count)
-    at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(of))
-    windows = max(0, len(chars) - SHINGLE)
-    found = hasher(chars[:windows], chars[SHINGLE:])[np.minimum(at, windows - 1)] if windows else np.zeros(len(at), np.uint64)
+    at = np.repeat(first - (np.cumsum(count) - count), count)
+    at += np.arange(len(of))
+    if (windows := n - SHINGLE + 1) > 0:
+        if plain:
+            found = hasher.eights(slice(windows))
+        else:
+            found = hasher.eights(slice(len(data)))[begins][:windows]
+            wide = np.flatnonzero(chars[SHINGLE:] - chars[:windows] != SHINGLE)
+            found[wide] = hasher(chars[wide], chars[wide + SHINGLE])
+        found = found[np.minimum(at, windows - 1, out=at)]
+    else:
+        found = np.zeros(len(at), np.uint64)
     short = np.flatnonzero((per > 0) & (per < SHINGLE))
     found[(np.cumsum(count) - count)[short]] = hasher(starts[short], ends[short])
     return of, found
@@ -75,8 +88,8 @@ def minhashes(of: np.ndarray, found: np.ndarray) -> np.ndarray:
 
 
 def line_table(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """One row per line with ink: doc, h (its text's hash), line number, node (the line's hash) and, where a task sees the line first, its buckets."""
-    schema = T.StructType([T.StructField("doc", docs.schema[id].dataType), *T.StructType.fromDDL("h long, line int, node long, buckets binary").fields])
+    """One row per line with ink: doc, h (its text's hash), line number, node (the line's hash), in the first of a document n_lines (how many it has) and, where a task sees the line first, its buckets."""
+    schema = T.StructType([T.StructField("doc", docs.schema[id].dataType), *T.StructType.fromDDL("h long, line int, node long, n_lines long, buckets binary").fields])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.slices(batches, text, _text.SLICE_BYTES // 4):
@@ -89,7 +102,7 @@ def line_table(docs: DataFrame, id: str, text: str) -> DataFrame:
             if len(nodes):
                 of, found = char_shingles(data, starts[at], ends[at], hasher)
                 keys[at] = [k.tobytes() for k in buckets(minhashes(of, found))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(whole[rows].view(_I64)), pa.array(number.astype(np.int32)), pa.array(lines.view(_I64)), pa.array(keys, pa.binary())], schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(whole[rows].view(_I64)), pa.array(number.astype(np.int32)), pa.array(lines.view(_I64)), pa.array(np.bincount(rows)[rows], pa.int64(), mask=np.diff(rows, prepend=-1) == 0), pa.array(keys, pa.binary())], schema.fieldNames())
 
     return docs.select(id, text).mapInArrow(listed, schema)
 
@@ -126,19 +139,100 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield data, starts[at], ends[at], nodes
 
 
+#: Bits of the filter for each node, about, and in all at most; with more nodes it lets more others pass, which a join drops.
+FILTER, MOST = 16, 1 << 26
+
+
+def _filter(nodes: DataFrame) -> np.ndarray:
+    """Bits, one of which is set for each of the hashes in the column ``node``; of bounded size."""
+    bits = 1 << max(16, min(MOST, FILTER * nodes.count()).bit_length() - 1)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.zeros(bits, np.uint8)
+        for batch in batches:
+            marked[_text.mix(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(bits - 1)] = 1
+        parts = np.packbits(marked).reshape(-1, 1 << 13)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[k].tobytes() for k in some], pa.binary())], ["part", "bits"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = {}
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(x, np.uint8)
+                parts[k] = parts[k] | x if k in parts else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], ["part", "bits"])
+
+    schema, out = "part int, bits binary", np.zeros((bits >> 16, 1 << 13), np.uint8)
+    for k, x in nodes.mapInArrow(told, schema).repartition("part").mapInArrow(joined, schema).collect():
+        out[k] = np.frombuffer(x, np.uint8)
+    return out.ravel()
+
+
 def _texts(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """node and line of the lines of ``shared``."""
+    """node, line, n (shingles, repeats count) and outline of the lines of ``shared``."""
+    nodes = shared.select("node")
+    sent = docs.sparkSession.sparkContext.broadcast(_filter(nodes))
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
         for data, starts, ends, nodes in _once(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(_I64)), _text.strings(data, starts, ends)], ["node", "line"])
+            at = _text.mix(nodes) & np.uint64(8 * len(bits) - 1)
+            some = np.flatnonzero(bits[at >> np.uint64(3)] << (at & np.uint64(7)).astype(np.uint8) & 128)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[some].view(_I64)), _text.strings(data, starts[some], ends[some])], ["node", "line"])
 
-    return docs.mapInArrow(written, "node long, line string").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _text.slices(batches, "line", _text.SLICE_BYTES // 4):
+            data, offsets = _text.utf8(batch.column("line"))
+            n, told = outlines(*char_shingles(data, offsets[:-1], offsets[1:], _text.Hasher(data)), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(told, pa.binary())], ["node", "line", "n", "outline"])
+
+    found = docs.mapInArrow(written, "node long, line string").join(nodes.distinct(), "node", "left_semi").dropDuplicates(["node"])
+    return found.mapInArrow(drawn, "node long, line string, n long, outline binary")
+
+
+#: Bits of an outline for each shingle, at least; a power of two in all.
+OUTLINE = 2
+
+
+def outlines(of: np.ndarray, found: np.ndarray, rows: int) -> tuple[np.ndarray, list[bytes]]:
+    """Of each row: how many shingles it has, repeats too, and for each part of the universe whether one falls in it. Two outlines differ in no more bits than their sets do in shingles."""
+    n = np.bincount(of, minlength=rows)
+    bits = 1 << np.ceil(np.log2(np.maximum(n * OUTLINE, 64))).astype(_I64)
+    begin = np.concatenate([[0], np.cumsum(bits)])
+    marked = np.zeros(begin[-1], np.uint8)
+    marked[begin[of] + (found & (bits[of] - 1).astype(np.uint64)).astype(_I64)] = 1
+    packed = np.packbits(marked).tobytes()
+    return n, [packed[a:b] for a, b in zip((begin[:-1] // 8).tolist(), (begin[1:] // 8).tolist(), strict=True)]
+
+
+def apart(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """In how many bits the outlines of each row differ; the longer one is folded."""
+    sizes = [pc.binary_length(x).to_numpy(zero_copy_only=False).astype(_I64) for x in (left, right)]
+    out, kinds = np.zeros(len(left), _I64), sizes[0] << 32 | sizes[1]
+    for kind in np.unique(kinds):
+        at = np.flatnonzero(kinds == kind)
+        sides = []
+        for column, size in zip((left, right), (int(kind) >> 32, int(kind) & 0xFFFFFFFF), strict=True):
+            x = np.frombuffer(b"".join(column.take(pa.array(at)).to_pylist()), np.uint64).reshape(len(at), size // 8)
+            while size > min(int(kind) >> 32, int(kind) & 0xFFFFFFFF):
+                size //= 2
+                x = x[:, : size // 8] | x[:, size // 8 :]
+            sides.append(x)
+        out[at] = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1)
+    return out
 
 
 def _verifier(texts: DataFrame):
     """Keeps the pairs of lines whose shingle sets are similar enough."""
 
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            least = apart(batch.column("oa"), batch.column("ob"))
+            # the union is at most half of what both have and what tells them apart
+            yield batch.select(["a", "b"]).filter(pa.array(200 * least <= (100 - SHARE) * (both + least)))
+
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.slices(batches, "ta", _text.SLICE_BYTES // 4):
             n = batch.num_rows
@@ -151,14 +245,16 @@ def _verifier(texts: DataFrame):
             yield batch.select(["a", "b"]).filter(pa.array(linked))
 
     def verify(pairs: DataFrame) -> DataFrame:
+        oa, ob = (texts.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("outline").alias(f"o{x}")) for x in "ab")
         ta, tb = (texts.select(F.col("node").alias(x), F.col("line").alias(f"t{x}")) for x in "ab")
-        return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(kept, "a long, b long")
+        few = pairs.join(ob, "b").join(oa, "a").select("a", "b", "na", "nb", "oa", "ob").mapInArrow(near, "a long, b long")
+        return few.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(kept, "a long, b long")
 
     return verify
 
 
 def _sets(texts: DataFrame):
-    """The shingles of lines, as (node, item)."""
+    """The shingles of lines, as (node, items)."""
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.slices(batches, "line", _text.SLICE_BYTES // 4):
@@ -167,9 +263,9 @@ def _sets(texts: DataFrame):
             found = _text.sort_within(of, found)
             new = np.ones(len(of), bool)
             new[1:] = (of[1:] != of[:-1]) | (found[1:] != found[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(of[new])), pa.array(found[new].view(_I64))], ["node", "item"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _text.lists(found[new].view(_I64), np.bincount(of[new], minlength=batch.num_rows), pa.int64())], ["node", "items"])
 
-    return lambda nodes: texts.join(nodes, "node", "left_semi").select("node", "line").mapInArrow(told, "node long, item long")
+    return lambda nodes: texts.join(nodes, "node", "left_semi").select("node", "line").mapInArrow(told, "node long, items array<long>")
 
 
 def removed_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -181,7 +277,7 @@ def removed_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tu
     at = F.struct("doc", "h", "line")
     # a line that comes once and has no links is not looked at again
     often = lines.groupBy("node").agg(F.count("*").alias("often")).join(component, "node", "left").where("often > 1 or component is not null")
-    placed = lines.join(often.select("node", F.coalesce("component", "node").alias("component")), "node").select("component", at.alias("at"))
+    placed = stash(lines.join(often.select("node", F.coalesce("component", "node").alias("component")), "node").select("component", at.alias("at")))
     keepers = placed.groupBy("component").agg(F.min("at").alias("keep"), F.max("at").alias("last")).where("keep != last").select("component", "keep")
     gone = placed.join(keepers, "component").where("at != keep")
     lost = gone.groupBy("at.doc", "at.h").agg(F.array_sort(F.collect_set("at.line")).alias("removed"))
@@ -191,7 +287,7 @@ def removed_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tu
 def line_dedup_digest(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, n_lines (with ink), n_removed and removed_lines (numbers from 0, by newlines)."""
     lines, lost = removed_lines(docs, id, text)
-    counts = lines.groupBy("doc", "h").agg(F.count_distinct("line").alias("n_lines"))
+    counts = lines.where("n_lines is not null").groupBy("doc", "h").agg(F.first("n_lines").alias("n_lines"))
     lost = lost.select(F.col("doc").alias("d"), F.col("h").alias("g"), "removed")
     found = counts.join(lost, F.col("doc").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").select(F.col("doc").alias(id), "n_lines", F.coalesce("removed", F.expr("cast(array() as array<int>)")).alias("removed_lines"))
     have = found.select(F.col(id).alias("d"))
