@@ -36,7 +36,9 @@ def _in_range(hashes: np.ndarray, ranges: int) -> np.ndarray:
 def _distinct(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (key, node) pairs in order, each with the greatest of its marks."""
     keys, nodes, known = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((nodes, keys))
+    order = np.argsort(keys)
+    some = np.flatnonzero(_several(keys[order]))  # most keys come once
+    order[some] = order[some][np.lexsort((nodes[order[some]], keys[order[some]]))]
     keys, nodes, known = keys[order], nodes[order], known[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])

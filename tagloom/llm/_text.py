@@ -93,6 +93,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: Longer ranges are hashed one by one.
 _LONG = 64
+#: What a range of eight bytes starts from.
+_EIGHT = np.uint64(8 * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
@@ -110,26 +112,30 @@ class Hasher:
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         size, at = ends - starts, starts + 8
-        first = self.blocks[at] & _MASKS[np.minimum(size, 8)]
+        least, most = (int(size.min()), int(size.max())) if len(size) else (0, 0)
+        first = self.blocks[at] if least >= 8 else self.blocks[at] & _MASKS[np.minimum(size, 8)]
         h = mix(first ^ (size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-        if len(size) and size.max() > 8:
-            some = np.flatnonzero(size > 8)
-            left, k = some[(size[some] > 16) & (size[some] <= _LONG)], 8
+        if most > 8:
+            left, k = np.flatnonzero((size > 16) & (size <= _LONG)) if most > 16 else size[:0], 8
             while len(left):
                 h[left] = mix(h[left] + self.blocks[at[left] + k] * np.uint64(0x9FB21C651E98DF25))
                 k += 8
                 left = left[size[left] > k + 8]
+            some = slice(None) if least > 8 else np.flatnonzero(size > 8)
             h[some] = mix(h[some] + self.blocks[ends[some]] * np.uint64(0xA0761D6478BD642F))
-            long = some[size[some] > _LONG]
+            long = np.flatnonzero(size > _LONG) if most > _LONG else size[:0]
             if len(long):
                 view, digest = memoryview(np.ascontiguousarray(self.data)), hashlib.blake2b
                 whole = [digest(view[a:b], digest_size=8).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
                 h[long] = np.frombuffer(b"".join(whole), np.uint64)
         return h
 
-    def eights(self, at: slice | np.ndarray) -> np.ndarray:
-        """The hashes of the eight bytes from each of ``at`` on, as the call gives them."""
-        return mix(self.blocks[8:][at] ^ np.uint64(8 * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+    def eights(self, n: int) -> np.ndarray:
+        """The hashes, as the call gives them, of the eight bytes from each of the first ``n`` on; made in blocks that stay in the cache."""
+        out = np.empty(n, np.uint64)
+        for a in range(0, n, 1 << 14):
+            out[a : a + (1 << 14)] = mix(self.blocks[8 + a : 8 + min(n, a + (1 << 14))] ^ _EIGHT)
+        return out
 
 
 def windows(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -26,22 +26,32 @@ from ._components import bucket_components
 from ._tables import own_columns, stash
 
 SHINGLE, BANDS, ROWS, SHARE = 8, 14, 3, 75
-_NEWLINE = _text.byte_class((10, 10))
 _INK = _text.byte_class((0x20, 0x20), (0x09, 0x0D))
 _I64 = np.int64
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, row and number within the row (empty lines count) of each line with ink, stripped."""
-    starts, ends, rows = _text.spans(data, offsets, _NEWLINE)
-    breaks = np.concatenate([[0], np.cumsum(data == 10)])
-    number = breaks[starts] - breaks[offsets[rows]]
-    if len(starts) and (~_INK[data[starts]] | ~_INK[data[ends - 1]]).any():
-        ink = np.flatnonzero(_INK[data])
-        at, to = np.searchsorted(ink, starts), np.searchsorted(ink, ends)
-        some = to > at
-        rows, number = rows[some], number[some]
-        starts, ends = ink[at[some]], ink[to[some] - 1] + 1
+    breaks = np.flatnonzero(data == 10)
+    starts, ends = np.concatenate([offsets[:-1], breaks + 1]), np.concatenate([breaks, offsets[1:]])
+    starts.sort()
+    ends.sort()
+    some = starts < ends
+    starts, ends = starts[some], ends[some]
+    rows = np.searchsorted(offsets, starts, "right") - 1
+    number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets[rows])
+    wide = np.flatnonzero(~_INK[data[starts]] | ~_INK[data[ends - 1]])
+    if len(wide):
+        at, sizes = starts[wide], ends[wide] - starts[wide]
+        of = np.repeat(np.arange(len(wide)), sizes)
+        place = np.repeat(at - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(of))
+        ink = _INK[data[place]]
+        of, place = of[ink], place[ink]
+        low, high = np.searchsorted(of, np.arange(len(wide))), np.searchsorted(of, np.arange(len(wide)), "right")
+        some = low < high
+        starts[wide[some]], ends[wide[some]] = place[low[some]], place[high[some] - 1] + 1
+        some = np.delete(np.arange(len(starts)), wide[~some])
+        starts, ends, rows, number = starts[some], ends[some], rows[some], number[some]
     return starts, ends, rows, number
 
 
@@ -52,24 +62,23 @@ def char_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher
         first, per, n = starts, ends - starts, len(data)
     else:
         chars = np.append(np.flatnonzero(begins), len(data))
-        before = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(begins, out=before[1:])
-        first = before[starts]
-        per, n = before[ends] - first, len(chars) - 1
+        first = np.searchsorted(chars, starts)
+        per, n = np.searchsorted(chars, ends) - first, len(chars) - 1
     count = np.maximum(per - SHINGLE + 1, np.minimum(per, 1))
     of = np.repeat(np.arange(len(starts)), count)
-    at = np.repeat(first - (np.cumsum(count) - count), count)
-    at += np.arange(len(of))
-    if (windows := n - SHINGLE + 1) > 0:
-        if plain:
-            found = hasher.eights(slice(windows))
-        else:
-            found = hasher.eights(slice(len(data)))[begins][:windows]
-            wide = np.flatnonzero(chars[SHINGLE:] - chars[:windows] != SHINGLE)
-            found[wide] = hasher(chars[wide], chars[wide + SHINGLE])
-        found = found[np.minimum(at, windows - 1, out=at)]
+    windows = max(0, n - SHINGLE + 1)
+    if plain:
+        whole = hasher.eights(windows)
     else:
-        found = np.zeros(len(at), np.uint64)
+        whole = hasher.eights(len(data))[begins][:windows]
+        inner = np.flatnonzero(~begins)
+        marked = np.zeros(len(data), bool)  # windows that reach over a character of several bytes
+        for k in range(1, SHINGLE + 1):
+            marked[inner[np.searchsorted(inner, k) :] - k] = True
+        wide = np.flatnonzero(marked[begins][:windows])
+        whole[wide] = hasher(chars[wide], chars[wide + SHINGLE])
+    whole = np.append(whole, np.zeros(SHINGLE, np.uint64))
+    found = np.concatenate([whole[:0], *(whole[a : a + k] for a, k in zip(first.tolist(), count.tolist(), strict=True))])
     short = np.flatnonzero((per > 0) & (per < SHINGLE))
     found[(np.cumsum(count) - count)[short]] = hasher(starts[short], ends[short])
     return of, found
