@@ -299,7 +299,7 @@ def line_dedup_digest(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     counts = lines.where("n_lines is not null").groupBy("doc", "h").agg(F.first("n_lines").alias("n_lines"))
     lost = lost.select(F.col("doc").alias("d"), F.col("h").alias("g"), "removed")
     found = counts.join(lost, F.col("doc").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").select(F.col("doc").alias(id), "n_lines", F.coalesce("removed", F.expr("cast(array() as array<int>)")).alias("removed_lines"))
-    have = found.select(F.col(id).alias("d"))
+    have = counts.select(F.col("doc").alias("d"))
     bare = docs.select(id).distinct().join(have, F.col(id).eqNullSafe(F.col("d")), "left_anti")
     found = found.unionByName(bare.select(id, F.lit(0).cast("long").alias("n_lines"), F.expr("cast(array() as array<int>)").alias("removed_lines")))
     return found.select(id, "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines")
