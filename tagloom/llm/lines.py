@@ -6,6 +6,10 @@ consecutive characters (a shorter line is one shingle). ``BANDS`` bands of ``ROW
 the threshold of 0.75 share a band with probability 0.9995. Candidates are verified exactly, links give components
 by distributed union-find, and the first line of a component (by document id, text and line) is kept.
 
+Lines that share a band by chance, a phrase mostly, are many more than near copies, and grow faster than the corpus. So a line leaves a
+bucket in which no other agrees with it in ``AGREE`` of all MinHash values, as far as ``NIBBLE`` bits of each tell; of two lines at the threshold
+with a common band that is so with a probability of 2e-11. Buckets of over ``MANY`` lines are left as they are.
+
 Null and empty texts have no lines. A null id comes before all others. Rows that repeat a document's id and text are one document and
 are cut alike; an id with several texts is several documents, in the order of their texts' hashes.
 """
@@ -23,9 +27,11 @@ from pyspark.sql import types as T
 
 from . import _packed, _text
 from ._components import bucket_components
-from ._tables import own_columns, stash
+from ._tables import own_columns, scratch, stash
 
 SHINGLE, BANDS, ROWS, SHARE = 8, 14, 3, 75
+#: Minima in which near copies agree at least, bits of each that are compared, lines of the largest bucket in which they are, and pairs compared at once.
+AGREE, NIBBLE, MANY, PAIRS = 14, 4, 4096, 1 << 18
 _INK = _text.byte_class((0x20, 0x20), (0x09, 0x0D))
 _I64 = np.int64
 
@@ -85,7 +91,7 @@ def char_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher
 
 
 def minhashes(of: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS minima of each row that has shingles, one column a row."""
+    """BANDS * ROWS minima of each row that has shingles, one column a row; 16 bits of each."""
     begin = np.flatnonzero(np.diff(of, prepend=-1))
     x = (found >> np.uint64(32)).astype(np.uint32)
     random = np.random.default_rng(11)
@@ -93,12 +99,12 @@ def minhashes(of: np.ndarray, found: np.ndarray) -> np.ndarray:
     for k, a in enumerate(random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)):
         np.multiply(x, a | np.uint32(1), out=v)  # a permutation of the 32-bit hashes
         np.minimum.reduceat(v, begin, out=out[k])
-    return out
+    return (out * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)  # all bits of a minimum count, low as it is
 
 
 def line_table(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """One row per line with ink: doc, h (its text's hash), line number, node (the line's hash), in the first of a document n_lines (how many it has) and, where a task sees the line first, its buckets."""
-    schema = T.StructType([T.StructField("doc", docs.schema[id].dataType), *T.StructType.fromDDL("h long, line int, node long, n_lines long, buckets binary").fields])
+    """One row per line with ink: doc, h (its text's hash), line number, node (the line's hash), in the first of a document n_lines (how many it has) and, where a task sees the line first, its minima."""
+    schema = T.StructType([T.StructField("doc", docs.schema[id].dataType), *T.StructType.fromDDL("h long, line int, node long, n_lines long, minima binary").fields])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.slices(batches, text, _text.SLICE_BYTES // 4):
@@ -110,33 +116,110 @@ def line_table(docs: DataFrame, id: str, text: str) -> DataFrame:
             keys = np.full(len(lines), None)
             if len(nodes):
                 of, found = char_shingles(data, starts[at], ends[at], hasher)
-                keys[at] = [k.tobytes() for k in buckets(minhashes(of, found))]
+                keys[at] = [k.tobytes() for k in minhashes(of, found).T]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(whole[rows].view(_I64)), pa.array(number.astype(np.int32)), pa.array(lines.view(_I64)), pa.array(np.bincount(rows)[rows], pa.int64(), mask=np.diff(rows, prepend=-1) == 0), pa.array(keys, pa.binary())], schema.fieldNames())
 
     return docs.select(id, text).mapInArrow(listed, schema)
 
 
 def buckets(minima: np.ndarray) -> np.ndarray:
-    """The BANDS bucket numbers of each column of ``minima``, one row a column."""
-    minima = minima.astype(np.uint64)
-    out = np.empty((minima.shape[1], BANDS), np.uint64)
-    for band in range(BANDS):
-        key = np.full(minima.shape[1], band + 1, np.uint64)
-        for row in minima[band * ROWS : band * ROWS + ROWS]:
-            key = _text.mix(key ^ row) + np.uint64(band)
-        out[:, band] = key
+    """The BANDS bucket numbers of each row of ``minima``."""
+    rows = minima.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(16 * ROWS) | rows[:, :, 0]
+    for k in range(1, ROWS):
+        out |= rows[:, :, k] << np.uint64(16 * k)
     return out
 
 
+def _minima(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
+
+
 def _shared(lines: DataFrame) -> DataFrame:
     """bucket and node of the lines that share a bucket with another."""
-    ranges = _packed.ranges_for(lines.where("buckets is not null").count() * BANDS)
+    ranges = _packed.ranges_for(lines.where("minima is not null").count() * BANDS)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = ((np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64), np.repeat(b.column(1).to_numpy().view(np.uint64), BANDS)) for b in batches)
+        pairs = ((buckets(_minima(b.column(0))).ravel(), np.repeat(b.column(1).to_numpy().view(np.uint64), BANDS)) for b in batches)
         return _packed.pack(pairs, ranges)
 
-    return _packed.shared_pairs(lines.where("buckets is not null").select("buckets", "node").mapInArrow(signed, _packed.SCHEMA))
+    return _packed.shared_pairs(lines.where("minima is not null").select("minima", "node").mapInArrow(signed, _packed.SCHEMA))
+
+
+#: Words that hold the compared bits of a line's minima, and how many minima are in each.
+WORDS, IN_WORD = -(-BANDS * ROWS * NIBBLE // 64), 64 // NIBBLE
+_LOW = np.uint64(sum(1 << k for k in range(0, 64, NIBBLE)))
+
+
+def sketches(minima: np.ndarray) -> np.ndarray:
+    """NIBBLE bits of each of the minima, one row of WORDS numbers for each row."""
+    out = np.zeros((len(minima), WORDS), np.uint64)
+    for k in range(BANDS * ROWS):
+        out[:, k // IN_WORD] |= (minima[:, k].astype(np.uint64) & np.uint64((1 << NIBBLE) - 1)) << np.uint64(k % IN_WORD * NIBBLE)
+    return out
+
+
+def agreeing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """In how many minima the sketches of each row agree."""
+    x = left ^ right
+    for k in (NIBBLE >> 1, NIBBLE >> 2):
+        x |= x >> np.uint64(k)
+    return BANDS * ROWS - np.bitwise_count(x & _LOW).sum(axis=1, dtype=_I64)
+
+
+def near_some(edges: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """Which rows of ``told`` (sketches) agree enough with another of their bucket; each bucket ends at one of the ``edges``."""
+    near = np.zeros(len(told), bool)
+    place = np.arange(len(told))
+    count = np.repeat(edges, np.diff(edges, prepend=0)) - place - 1
+    ends, low = np.cumsum(count), 0
+    while low < len(told):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PAIRS, "right")))
+        i = np.repeat(place[low:high], count[low:high])
+        j = i + 1 + np.arange(len(i)) - (np.cumsum(count[low:high]) - count[low:high])[i - low]
+        some = agreeing(told[i], told[j]) >= AGREE
+        near[i[some]] = near[j[some]] = True
+        low = high
+    return near
+
+
+def _thinned(lines: DataFrame, shared: DataFrame) -> DataFrame:
+    """``shared`` without the lines that agree with no other of a bucket."""
+    names = [f"s{k}" for k in range(WORDS)]
+    sent = lines.sparkSession.sparkContext.broadcast(_filter(shared.select("node")))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = np.flatnonzero(_passes(sent.value, batch.column(1).to_numpy().view(np.uint64)))
+            batch = batch.take(pa.array(some))
+            found = sketches(_minima(batch.column(0))).view(_I64)
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(np.ascontiguousarray(x)) for x in found.T)], ["node", *names])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            columns = [x.to_numpy() for x in batch.columns]
+            if held is not None:
+                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            edges = np.flatnonzero(np.diff(columns[0])) + 1
+            whole = int(edges[-1]) if len(edges) else 0  # the last bucket may go on
+            held = [x[whole:] for x in columns]
+            if whole:
+                yield out([x[:whole] for x in columns], edges)
+        if held is not None and len(held[0]):
+            yield out(held, np.array([len(held[0])]))
+
+    def out(columns: list[np.ndarray], edges: np.ndarray) -> pa.RecordBatch:
+        near = np.flatnonzero(near_some(edges, np.stack(columns[2:], axis=1).view(np.uint64)))
+        return pa.RecordBatch.from_arrays([pa.array(x[near]) for x in columns[:2]], ["bucket", "node"])
+
+    of = lines.where("minima is not null").select("minima", "node").mapInArrow(told, ", ".join(f"{x} long" for x in ("node", *names)))
+    of = of.groupBy("node").agg(*(F.max(x).alias(x) for x in names))
+    # such buckets are few: MANY rows of shared are one here
+    large = F.broadcast(stash(shared.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > MANY).select("bucket")))
+    met_ = shared.join(large, "bucket", "left_anti").join(of, "node").select("bucket", "node", *names)
+    met_ = met_.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(met, "bucket long, node long")
+    return met_.unionByName(shared.join(large, "bucket", "left_semi").select("bucket", "node"))
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -178,16 +261,19 @@ def _filter(nodes: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def _passes(bits: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    at = _text.mix(nodes) & np.uint64(8 * len(bits) - 1)
+    return bits[at >> np.uint64(3)] << (at & np.uint64(7)).astype(np.uint8) & 128 != 0
+
+
 def _texts(docs: DataFrame, shared: DataFrame) -> DataFrame:
     """node, line, n (shingles, repeats count) and outline of the lines of ``shared``."""
     nodes = shared.select("node")
     sent = docs.sparkSession.sparkContext.broadcast(_filter(nodes))
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
         for data, starts, ends, nodes in _once(batches):
-            at = _text.mix(nodes) & np.uint64(8 * len(bits) - 1)
-            some = np.flatnonzero(bits[at >> np.uint64(3)] << (at & np.uint64(7)).astype(np.uint8) & 128)
+            some = np.flatnonzero(_passes(sent.value, nodes))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[some].view(_I64)), _text.strings(data, starts[some], ends[some])], ["node", "line"])
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,14 +365,17 @@ def _sets(texts: DataFrame):
 
 def removed_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """All lines with ink (doc, h, line, node), and doc, h, removed (sorted numbers) of documents that lose some."""
+    spark = docs.sparkSession
     lines = stash(line_table(docs, id, text))
-    shared = stash(_shared(lines))
-    texts = stash(_texts(docs.select(F.col(text).alias("text")), shared))
-    component = bucket_components(shared, _verifier(texts), _sets(texts), SHARE)
     at = F.struct("doc", "h", "line")
-    # a line that comes once and has no links is not looked at again
-    often = lines.groupBy("node").agg(F.count("*").alias("often")).join(component, "node", "left").where("often > 1 or component is not null")
-    placed = stash(lines.join(often.select("node", F.coalesce("component", "node").alias("component")), "node").select("component", at.alias("at")))
+    with scratch(spark):
+        with scratch(spark):
+            shared = stash(_thinned(lines, stash(_shared(lines))), keep=True)
+        texts = stash(_texts(docs.select(F.col(text).alias("text")), shared))
+        component = bucket_components(shared, _verifier(texts), _sets(texts), SHARE)
+        # a line that comes once and has no links is not looked at again
+        often = lines.groupBy("node").agg(F.count("*").alias("often")).join(component, "node", "left").where("often > 1 or component is not null")
+        placed = stash(lines.join(often.select("node", F.coalesce("component", "node").alias("component")), "node").select("component", at.alias("at")), keep=True)
     keepers = placed.groupBy("component").agg(F.min("at").alias("keep"), F.max("at").alias("last")).where("keep != last").select("component", "keep")
     gone = placed.join(keepers, "component").where("at != keep")
     lost = gone.groupBy("at.doc", "at.h").agg(F.array_sort(F.collect_set("at.line")).alias("removed"))
@@ -307,8 +396,8 @@ def line_dedup_digest(docs: DataFrame, id: str = "doc_id", text: str = "text") -
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the removed lines cut out of ``text``; documents left without ink are dropped if they lost lines."""
-    _, lost = removed_lines(docs, id, text)
-    lost = stash(lost)
+    with scratch(docs.sparkSession):
+        lost = stash(removed_lines(docs, id, text)[1], keep=True)
     columns, schema = docs.columns, docs.schema
     hidden, other = own_columns(docs, "removed", "other_id").values()
     hidden = [hidden]

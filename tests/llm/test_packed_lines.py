@@ -1,9 +1,15 @@
 """What is sent and fetched of lines and of sets in large buckets."""
 
+import os
+
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tagloom.llm import _components, _text, lines
+from tagloom.session import shared_folder
+
+from . import brute
 
 
 def _sets(rng, n, drop):
@@ -69,3 +75,50 @@ def test_spans_of_lines():
     starts, ends, rows, number = lines.line_spans(data, offsets)
     found = [(r, k, bytes(data[a:b]).decode()) for a, b, r, k in zip(starts.tolist(), ends.tolist(), rows.tolist(), number.tolist(), strict=True)]
     assert found == [(r, k, x.strip(" \t\r\n\v\f")) for r, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if x.strip(" \t\r\n\v\f")]
+
+
+def _phrased(n, near):
+    """Documents of a line each: all have a phrase, and ``near`` of them nearly a whole line, in common with another."""
+    rng = np.random.default_rng(7)
+    word = lambda k: "".join(chr(97 + x) for x in rng.integers(0, 26, k))
+    texts = [f"{word(22)} few words of all {word(22)}" for _ in range(n)]
+    return dict(enumerate(texts + [x[:-1] for x in texts[:near]]))
+
+
+@pytest.mark.parametrize(("many", "most"), [(4096, 70), (5, 921)])
+def test_lines_that_meet_by_chance_are_not_fetched(spark, monkeypatch, many, most):
+    texts, fetched, real = _phrased(900, 20), [], lines._texts
+    monkeypatch.setattr(lines, "MANY", many, raising=False)
+    monkeypatch.setattr(lines, "_texts", lambda docs, shared: fetched.append(shared.select("node").distinct().count()) or real(docs, shared))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: set(r["removed_lines"]) for r in lines.line_dedup_digest(docs).collect()} == brute.lines(texts)
+    assert 40 <= fetched[0] < most
+
+
+def test_tables_in_between_go(spark):
+    docs = spark.createDataFrame(list(_phrased(50, 5).items()), "doc_id long, text string")
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    found = lines.dedup_lines(docs)
+    assert len(set(os.listdir(folder)) - before) == 1
+    assert found.count() == 50
+
+
+def test_near_copies_agree():
+    rng = np.random.default_rng(5)
+    for n in (4, 5, 8, 13, 40, 200, 900):
+        common = rng.integers(1, 1 << 62, (200, n)).astype(np.uint64)
+        sides = []
+        for _ in range(2):  # 100 * n >= 75 * (n + 2 * own)
+            found = np.concatenate([common, rng.integers(1, 1 << 62, (200, n // 6)).astype(np.uint64)], axis=1)
+            sides.append(lines.minhashes(np.repeat(np.arange(200), found.shape[1]), found.ravel()).T)
+        told = lines.agreeing(*(lines.sketches(x) for x in sides))
+        assert (told >= (sides[0] == sides[1]).sum(axis=1)).all() and told.min() >= lines.AGREE
+        assert (lines.agreeing(lines.sketches(sides[0]), lines.sketches(np.roll(sides[1], 1, axis=0))) < lines.AGREE).mean() > 0.99
+
+
+def test_buckets_are_compared_whole():
+    told = np.random.default_rng(6).integers(0, 1 << 62, (400, lines.WORDS)).astype(np.uint64)
+    told[7], told[390], told[120] = told[3], told[200], told[50]
+    edges = np.array([100, 110, 200, 400])
+    assert np.flatnonzero(lines.near_some(edges, told)).tolist() == [3, 7, 200, 390]
