@@ -132,7 +132,7 @@ def buckets(minima: np.ndarray) -> np.ndarray:
 
 
 def _minima(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
+    return _text.utf8(column)[0].view(np.uint16).reshape(-1, BANDS * ROWS)
 
 
 def _shared(lines: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tagloom.llm import _components, _text, lines
+from tagloom.llm import _components, _text, jaccard, lines
 from tagloom.session import shared_folder
 
 from . import brute
@@ -104,6 +104,16 @@ def test_tables_in_between_go(spark):
     assert found.count() == 50
 
 
+def test_tables_in_between_go_of_documents(spark):
+    words = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, words), (2, f"{words} more"), (3, "others altogether " * 9)], "doc_id long, text string")
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    found = jaccard.jaccard_components(docs)
+    assert len(set(os.listdir(folder)) - before) == 2  # keys and components
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_near_copies_agree():
     rng = np.random.default_rng(5)
     for n in (4, 5, 8, 13, 40, 200, 900):
